@@ -39,8 +39,8 @@ def group_of(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
 
 
-def running(df: DataFrame, by: list[str], group: str, order: list[Column], value: Column, out: str) -> DataFrame:
-    """Adds the sum of value over all rows before this one, within by, in the order (group, order).
+def running(df: DataFrame, by: list[str], group: str, order: list[Column], value: Column, out: str, total: str) -> DataFrame:
+    """Adds the sum of value over all rows before this one, within by, in the order (group, order), and the sum over all rows of by.
 
     No window spans a whole key: rows are ordered within (by, group) only, and the sums of
     the groups before come from a table with one row a group. group must rise with order.
@@ -48,7 +48,7 @@ def running(df: DataFrame, by: list[str], group: str, order: list[Column], value
     keys = [*by, group]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
     ahead = Window.partitionBy(*by).orderBy(group).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]

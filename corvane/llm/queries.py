@@ -14,9 +14,44 @@ def op10_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_grace_exact_dedup,)}
+def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import interleave
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("bigint").alias("text_crc32"))
+    return interleave(d, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
+
+
+def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import in_order, mix
+
+    copies = in_order(mix(table(spark, sf_dir, "documents")))
+    docs = copies.groupBy("source", "place", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken"), F.coalesce(F.min(F.when(F.col("served") > 0, F.col("ahead"))), F.lit(-1)).alias("first_word"))
+    return docs.select("doc_id", "size", "source_size", "target", "taken", "first_word")
+
+
+def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_stratified_shards, op5_fair_mix, op7_packed_sequences, op10_grace_exact_dedup)}
 
 SQL = {
+    "op5_fair_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS k FROM documents),
+        r AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
+        l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
+        t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l) * w) AS target FROM l),
+        c AS (SELECT r.*, t.source_size, t.target, p, CAST(greatest(0, least(r.size, floor(t.target) - p * t.source_size - r.before)) AS BIGINT) AS served,
+                     CASE WHEN t.target > 0 THEN (p * t.source_size + r.before + r.size) / t.target ELSE 0.0 END AS vfinish
+              FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) v(p)),
+        a AS (SELECT *, coalesce(sum(served) OVER (ORDER BY least(vfinish, 1.0), source NULLS LAST, k, p, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM c)
+        SELECT doc_id, size, source_size, target, CAST(sum(served) AS BIGINT) AS taken, CAST(coalesce(min(CASE WHEN served > 0 THEN ahead END), -1) AS BIGINT) AS first_word
+        FROM a GROUP BY doc_id, source, k, size, source_size, target, before
+    """,
     "op10_grace_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
