@@ -14,6 +14,12 @@ def op10_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import interleave
 
@@ -21,6 +27,12 @@ def op2_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(d, 8).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "fraction")
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import in_order, mix
 
@@ -29,13 +41,21 @@ def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "size", "source_size", "target", "taken", "first_word")
 
 
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import read_back, windows
+
+    told = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
+    return read_back(windows(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
 def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_stratified_shards, op5_fair_mix, op7_packed_sequences, op10_grace_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op10_grace_exact_dedup)}
 
 SQL = {
     "op5_fair_mix": r"""
