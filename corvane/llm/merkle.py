@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _SECTION, _PARAGRAPH = r"(?<=\n\n)(?!\n)", r"(?<=\n)(?!\n)"
 _LEAF = r"(?:[^\s.!?]++\s*+){1,12}+[.!?]*+\s*+|[.!?]++\s*+|\s++"
 #: Hex digits of a node that the fingerprint shows; the root is shown whole.
-_SHOWN = 12
+_SHOWN = 8
 
 
 def tree(text: Column) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RANK_GROUPS, group_of, running, shuffled_key
+from .common import RANK_GROUPS, group_of, running, shuffled_key, written
 
 #: Words are runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,6 +51,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     d = d.withColumn("_key", shuffled_key(seed, "doc_id")).withColumn("_g", group_of(F.col("_key")))
+    d = written(d, "mix")  # texts are read and counted once
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     targets = targets.withColumnRenamed("source", "_source")
     d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_g").orderBy("_key", "size")))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RANK_GROUPS, group_of, running, shuffled_key
+from .common import RANK_GROUPS, group_of, running, shuffled_key, written
 
 
 def interleave(rows: DataFrame, n_shards: int, id_col: str = "doc_id", source_col: str = "source", seed: str = "shards") -> DataFrame:
@@ -25,7 +25,7 @@ def interleave(rows: DataFrame, n_shards: int, id_col: str = "doc_id", source_co
     own = [c for c in rows.columns if c not in ("shard", "slot", "fraction")]
     kept = F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
     r = rows.select(kept, F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_src"), shuffled_key(seed, id_col).alias("_key"))
-    r = r.withColumn("_g", group_of(F.col("_key")))
+    r = written(r.withColumn("_g", group_of(F.col("_key"))), "shards")  # rows are read once; the ranks below go over them several times
     tie = F.xxhash64("_row")
     r = running(r, ["_src"], "_g", [F.col("_key"), tie], F.lit(1), "_rank", "_n")
     phase = (F.conv(F.substring(shuffled_key(f"{seed} phase", "_src"), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
