@@ -21,8 +21,8 @@ MARKS = 4
 def escape(text: Column) -> Column:
     """Every backslash becomes \\-, and the first character of a control string \\( for < and \\{ for [."""
     t = F.replace(text, F.lit("\\"), F.lit("\\-"))
-    t = F.regexp_replace(t, r"<(?=[|/<]|s>|S)", r"\\\\(")
-    return F.regexp_replace(t, r"\[(?=/?INST\])", r"\\\\{")
+    t = F.regexp_replace(t, r"<(?=[|/<]|s>|S)", r"\\(")
+    return F.regexp_replace(t, r"\[(?=/?INST\])", r"\\{")
 
 
 def unescape(text: Column) -> Column:
