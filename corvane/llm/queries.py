@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op9_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -55,7 +62,7 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op10_grace_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op9_boosted_quality, op10_grace_exact_dedup)}
 
 SQL = {
     "op5_fair_mix": r"""
