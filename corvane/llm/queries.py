@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import scores, train
 
@@ -62,7 +68,7 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op9_boosted_quality, op10_grace_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup)}
 
 SQL = {
     "op5_fair_mix": r"""

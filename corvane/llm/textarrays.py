@@ -80,8 +80,8 @@ class Chunk:
         return starts, ends, np.searchsorted(self.bounds, starts, side="right") - 1
 
 
-def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
-    """A string column cut into chunks of texts; a null is an empty text."""
+def chunks(column: pa.Array, size: int = CHUNK, most: int = 1 << 30) -> Iterator[Chunk]:
+    """A string column cut into chunks of `most` texts at most; a null is an empty text."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
@@ -90,6 +90,6 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        hi = min(lo + most, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1))
         yield Chunk(lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         lo = hi
