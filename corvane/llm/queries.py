@@ -46,6 +46,12 @@ def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeats_removed
+
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import in_order, mix
 
@@ -68,7 +74,7 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op4_repeated_substrings, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup)}
 
 SQL = {
     "op5_fair_mix": r"""
