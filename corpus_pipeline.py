@@ -1,8 +1,70 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: from documents to packed sequences, each stage written as Parquet and read again by the next.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
+the columns of documents. Where a stage drops or repeats documents, the operator decides on ids and
+small columns, and the whole rows are brought together once, by id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm.common import table, written
+from corvane.llm.exact_dedup import exact_groups
+from corvane.llm.mixing import mix
+from corvane.llm.near_dedup import near_groups
+from corvane.llm.packing import pack
+from corvane.llm.quality import passed, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, trained on the labels of this input's rows."""
+    return passed(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id."""
+    own = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_sha"))
+    return docs.join(own, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document with the least id."""
+    own = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix in its order: whole documents, once or twice; one in service when the budget ends stays if half of it was served."""
+    copies = mix(docs).where((2 * F.col("served") >= F.col("size")) & ((F.col("size") > 0) | (F.col("pass") == 0)))
+    copies = copies.select(F.col("doc_id").alias("_id"), "pass", "vfinish")
+    rows = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.orderBy("vfinish", "source", "doc_id", "pass").select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens; a document that the mix repeats is packed as often."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing sources to target weights", mixture),
+    ("packing", packing),
+]
+
+#: Trained trees, sketches and tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"stage-{i + 1}")
+    return docs

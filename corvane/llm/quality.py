@@ -168,3 +168,14 @@ def scores(docs: DataFrame, trees: Trees) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = texts.mapInArrow(lambda b: _score(b, trees), "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _passed(batches: Iterator[pa.RecordBatch], trees: Trees, text: str, at_least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [trees.score(statistics(c)) >= at_least for c in chunks(b.column(text))]
+        yield b.filter(pa.array(np.concatenate(keep))) if keep else b
+
+
+def passed(docs: DataFrame, trees: Trees, at_least: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at_least; nothing is shuffled."""
+    return docs.mapInArrow(lambda b: _passed(b, trees, "text", at_least), docs.schema)
