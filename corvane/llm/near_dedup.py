@@ -32,7 +32,8 @@ BANDS, ROWS = 32, 6
 #: Bits of a register that the short sketch keeps, and how many of its registers may differ before a pair is dropped
 #: unverified: at 0.8 a mean of 36 does, and 60 are 4.4 standard deviations above it.
 BITS, DIFFER = 4, 60
-#: Centres that every bucket's members are compared with before what is left is compared pair by pair.
+#: Each round compares the members of buckets that hold several classes with one centre, the least id after this is
+#: XORed; what then still holds several is compared pair by pair.
 CENTRES = (0, 0x5555555555555555, 0x3333333333333333)
 NO_ID = -(2**63)
 _OWNER = np.uint64(48)
@@ -163,6 +164,28 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
+    new = written(new, "near-links")
+    return new if links is None else links.union(new)
+
+
+def _mixed(buckets: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """(band, hash, doc, component) of the members of buckets that hold more than one component."""
+    if joined is None:
+        return buckets.select("band", "hash", "doc", F.col("doc").alias("component"))
+    member = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("band", "hash", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = member.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "hash")
+    return member.join(mixed, ["band", "hash"])
+
+
+def _to_centres(members: DataFrame, c: int) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's centre, its least id after c is XORed, with its members of other components."""
+    x = F.col("doc").bitwiseXOR(F.lit(c))
+    centre = members.groupBy("band", "hash").agg(F.min(F.struct(x.alias("x"), "component")).alias("m")).select("band", "hash", F.col("m.x").bitwiseXOR(F.lit(c)).alias("centre"), F.col("m.component").alias("at"))
+    p = members.join(centre, ["band", "hash"]).where("component <> at")
+    return p.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, kept for every row of docs: classes are what links of 0.8 or more connect.
 
@@ -172,34 +195,36 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     class_id is the least id of a class and its document is kept; of rows that repeat an id, one.
     Rows that repeat an id with another text are one document to the classes. A null id sorts first.
 
-    Buckets of a band's value are not expanded into pairs. Their members are compared with a few
-    centres first, which joins groups of copies at a cost linear in their size; buckets that then
-    still hold several classes are compared across classes, pair by pair, so no link that the
+    Buckets of a band's value are not expanded into pairs. In a few rounds their members are
+    compared with one centre, which joins groups of copies at a cost linear in their size; buckets
+    that then still hold several classes are compared across classes, pair by pair, so no link that the
     bands propose is lost. Sketches sort out most pairs in the join itself.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
     sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH), "near-sketches")
     own = written(sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*"), "near-distinct")
     each = own.select("doc", F.posexplode("bands").alias("k", "hash")).select("doc", (F.col("k") % bands).alias("band"), "hash").distinct()
-    least = [F.min(F.col("doc").bitwiseXOR(F.lit(c))).alias(f"c{i}") for i, c in enumerate(CENTRES)]
-    full = each.groupBy("band", "hash").agg(F.count("*").alias("size"), *least).where("size > 1")
-    buckets = written(each.join(full, ["band", "hash"]), "near-buckets")
+    size = each.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1").select("band", "hash")
+    buckets = written(each.join(size, ["band", "hash"]), "near-buckets")
     short = own.select("doc", "n", "sketch").where("n > 0")
 
-    centre = F.explode(F.array(*[F.col(f"c{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(CENTRES)]))
-    first = buckets.select("doc", centre.alias("c")).where("doc != c").select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct()
-    near = first.join(short.alias("a").withColumnRenamed("doc", "_a"), F.col("a") == F.col("_a")).join(short.alias("b").withColumnRenamed("doc", "_b"), F.col("b") == F.col("_b"))
-    first = written(near.where(_close(bands, rows)).select(F.col("_a").alias("a"), F.col("_b").alias("b")), "near-pairs")
-    links = written(_verified(first, texts), "near-links")
-    joined = components(links)
-
-    member = buckets.select("band", "hash", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = member.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "hash")
-    rest = written(member.join(mixed, ["band", "hash"]).join(short, "doc"), "near-rest")
+    tested = links = joined = None
+    for c in CENTRES:
+        pairs = _to_centres(_mixed(buckets, joined), c)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        x, y = (short.select(F.col("doc").alias(f"_{k}"), "n", "sketch").alias(k) for k in "ab")
+        near = pairs.join(x, F.col("a._a") == pairs["a"]).join(y, F.col("b._b") == pairs["b"]).where(_close(bands, rows))
+        near = written(near.select(F.col("a._a").alias("a"), F.col("b._b").alias("b")), "near-pairs")
+        tested = near if tested is None else tested.union(near)
+        links = _more(links, _verified(near, texts))
+        joined = components(links)
+
+    rest = written(_mixed(buckets, joined).join(short, "doc"), "near-rest")
     across = rest.alias("a").join(rest.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & _close(bands, rows))
-    second = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "near-pairs")
-    if not second.isEmpty():
-        joined = components(links.union(_verified(second, texts)))
+    left = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    if not left.isEmpty():
+        joined = components(_more(links, _verified(left, texts)))
 
     classes = own.select("d1", "d2", "n", F.col("doc").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("class"))
     all_rows = sketched.select("doc", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
