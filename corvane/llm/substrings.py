@@ -5,12 +5,15 @@ length with it. Every string of `length` bytes has a least hash among its short
 anchor; equal strings have equal anchors. Anchors that occur once in the corpus end there. Stretches of strings
 around the others are fragments; equal fragments are joined before they are shuffled on, so a
 passage that a third of all documents share is compared once. The distinct fragments of an
-anchor meet in one shard, where their suffixes are brought together by their complete first `length` bytes.
+anchor meet in one shard, whose suffixes are sorted by external induced sorting with common prefixes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import released, written
+from .induced import suffixes
 from .textarrays import Chunk, chunks
 
 #: Bytes of a string, and of a gram.
 LENGTH, GRAM = 100, 32
-#: Bytes of fragments that a shard brings together at a time, and suffixes that it sorts at a time.
-SHARD_BYTES, SHARD_SUFFIXES = 2 << 20, 4 << 20
+#: Bytes of fragments whose suffixes are sorted together; those of one anchor always are.
+SHARD_BYTES = 3 << 20
 NO_ID = -(2**63)
 
 
@@ -84,6 +88,17 @@ def _compressed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             yield pa.record_batch([b[0].slice(c.lo, c.hi - c.lo).take(pa.array(long_)), pa.array([pack(c.data[c.bounds[k] : c.bounds[k + 1]].tobytes()) for k in long_], pa.binary())], names=["doc", "packed"])
 
 
+def _runs(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every stretch of strings with one anchor within one text: its first and last start, its text and the anchor."""
+    _, least, whole = _grams(c, length, gram)
+    if not len(least):
+        return (np.zeros(0, np.int64),) * 4
+    change = least[1:] != least[:-1]
+    first = np.flatnonzero(whole & np.concatenate([[True], change | ~whole[:-1]]))
+    last = np.flatnonzero(whole & np.concatenate([change | ~whole[1:], [True]]))
+    return first, last, np.searchsorted(c.bounds, first, side="right") - 1, least[first].view(np.int64)
+
+
 _FRAGMENTS = "anchor bigint, f1 bigint, f2 bigint, doc bigint, start bigint, size bigint, bytes binary"
 
 
@@ -94,17 +109,9 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
         texts = pa.array([unpack(x.as_py()) for x in b.column("packed")], pa.large_binary()).view(pa.large_string())
         wanted, doc = b.column("anchors"), b.column("doc").to_numpy()
         for c in chunks(texts):
-            _, least, whole = _grams(c, length, gram)
-            if not len(least):
-                continue
-            change = least[1:] != least[:-1]
-            first = np.flatnonzero(whole & np.concatenate([[True], change | ~whole[:-1]]))
-            last = np.flatnonzero(whole & np.concatenate([change | ~whole[1:], [True]]))
-            cut = np.searchsorted(c.bounds, first, side="right") - 1
-            # a run of one anchor never crosses texts: strings do not, and starts near a text's end are not whole
+            first, last, cut, anchor = _runs(c, length, gram)
             take = np.zeros(len(first), bool)
             lows, ends = np.searchsorted(cut, np.arange(c.hi - c.lo)), np.searchsorted(cut, np.arange(c.hi - c.lo), side="right")
-            anchor = least[first].view(np.int64)
             for k in range(c.hi - c.lo):
                 take[lows[k] : ends[k]] = np.isin(anchor[lows[k] : ends[k]], wanted[c.lo + k].values.to_numpy())
             first, last, cut, anchor = first[take], last[take], cut[take], anchor[take]
@@ -117,67 +124,146 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
             )
 
 
-def later(texts: pa.Array, doc: np.ndarray, start: np.ndarray, length: int, at_once: int = SHARD_SUFFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later(texts: pa.Array, doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc, start and end of the stretches whose every string of `length` bytes is found earlier among these fragments.
 
-    Suffixes are ordered by a hash of their first `length` bytes, then by place; neighbours count as
-    equal only after their bytes are compared. A large set is taken in passes by that hash.
+    Suffixes of all fragments are sorted with their common prefixes; neighbours that share `length` bytes are one
+    string, and of its places all but the earliest are marked.
     """
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-    for c in chunks(texts, size=1 << 62):
-        begin = np.concatenate([np.arange(a, z - length + 1) for a, z in zip(c.bounds[:-1], c.bounds[1:])]) if c.hi > c.lo else np.zeros(0, np.int64)
-        owner = np.searchsorted(c.bounds, begin, side="right") - 1
-        with np.errstate(over="ignore"):
-            h = c.stretches(c.sums(), begin, begin + length)
-        window = np.lib.stride_tricks.sliding_window_view(c.data, length) if len(c.data) >= length else None
-        passes = 1 + len(begin) // at_once
-        found = np.zeros(len(begin), bool)
-        for p in range(passes):
-            own = np.flatnonzero((h >> np.uint64(20)) % np.uint64(passes) == p) if passes > 1 else np.arange(len(begin))
-            place = start[owner[own]] + begin[own] - c.bounds[owner[own]]
-            own = own[np.lexsort((place, doc[owner[own]], h[own]))]
-            same = h[own][1:] == h[own][:-1]
-            for lo in range(0, len(same), 200_000):
-                k = lo + np.flatnonzero(same[lo : lo + 200_000])
-                if len(k) and not (window[begin[own[k]]] == window[begin[own[k + 1]]]).all():
-                    raise ArithmeticError("two strings of one hash differ; change the base of the hash")
-            found[own[1:][same]] = True
-        k = np.flatnonzero(found)
-        first = k[np.concatenate([[True], (np.diff(k) > 1) | (owner[k][1:] != owner[k][:-1])])] if len(k) else k
-        last = k[np.concatenate([(np.diff(k) > 1) | (owner[k][1:] != owner[k][:-1]), [True]])] if len(k) else k
-        shift = start[owner[first]] - c.bounds[owner[first]]
-        out.append((doc[owner[first]], begin[first] + shift, begin[last] + shift + length))
-    if not out:
+    if not len(texts):
         return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out))
+    (c,) = chunks(texts, size=1 << 62)
+    size = np.diff(c.bounds)
+    begin = c.bounds[:-1] + np.arange(len(size))  # every fragment is followed by a sentinel
+    text = np.zeros(len(c.data) + len(size), np.int16)
+    text[np.arange(len(c.data)) + np.repeat(np.arange(len(size)), size)] = c.data.astype(np.int16) + 1
+    found = np.zeros(len(text), bool)
+    for at, lcp in suffixes(text, length):
+        same = lcp >= length
+        shared = same.copy()
+        shared[:-1] |= same[1:]
+        at, of = at[shared], np.cumsum(~same)[shared]
+        owner = np.searchsorted(begin, at, side="right") - 1
+        order = np.lexsort((start[owner] + at - begin[owner], doc[owner], of))
+        found[at[order][1:][of[order][1:] == of[order][:-1]]] = True
+    k = np.flatnonzero(found)
+    owner = np.searchsorted(begin, k, side="right") - 1
+    apart = (np.diff(k) > 1) | (owner[1:] != owner[:-1])
+    first, last = (k[np.concatenate(x)] if len(k) else k for x in (([True], apart), (apart, [True])))
+    owner = np.searchsorted(begin, first, side="right") - 1
+    shift = start[owner] - begin[owner]
+    return doc[owner], first + shift, last + shift + length
 
 
 _MARKS = "doc bigint, a bigint, z bigint"
 
 
-def _shards(batches: Iterator[pa.RecordBatch], length: int, room: int) -> Iterator[pa.RecordBatch]:
-    """Marks of repeats among the fragments of each anchor; they come sorted by anchor and are taken some anchors at a time."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+class _Shards:
+    """Marks of repeats among fragments that come sorted by anchor; some anchors are taken at a time.
 
-    def taken(table: pa.Table) -> pa.RecordBatch:
-        t = table.combine_chunks()
-        texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in t["bytes"].chunks]).view(pa.large_string())
-        return pa.record_batch([pa.array(x) for x in later(texts, t["doc"].to_numpy(), t["start"].to_numpy(), length)], names=["doc", "a", "z"])
+    Where the fragments of one anchor exceed `room`, they are cut anew by anchors of longer grams, which equal strings
+    share as well, dealt to files by these and taken file by file; a gram as long as the strings ends it.
+    """
 
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size > room:
-            t = pa.Table.from_batches(held)
-            anchor = t["anchor"].to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))
-            if cut:
-                yield taken(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = sum(x.nbytes for x in held) if cut > len(anchor) // 2 else 0
-    if held:
-        yield taken(pa.Table.from_batches(held))
+    def __init__(self, length: int, gram: int, room: int) -> None:
+        self.length, self.gram, self.room = length, gram, room
+
+    def marks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size, finer = 0, None
+        for b in batches:
+            t = pa.Table.from_batches([b]).select(["anchor", "doc", "start", "bytes"])
+            while len(t):
+                if finer:  # a large anchor goes on
+                    n = int(np.searchsorted(t["anchor"].to_numpy(), finer.anchor, side="right"))
+                    finer.add(t.slice(0, n))
+                    t = t.slice(n)
+                    if len(t):
+                        yield from finer.marks()
+                        finer = None
+                    continue
+                held.append(t)
+                size += t.nbytes
+                t = t.slice(0, 0)
+                if size > self.room:
+                    all_ = pa.concat_tables(held).combine_chunks()
+                    anchor = all_["anchor"].to_numpy()
+                    cut = int(np.searchsorted(anchor, anchor[-1]))
+                    if cut:
+                        yield self._sorted(all_.slice(0, cut))
+                        all_ = all_.slice(cut)
+                    held, size = [all_], all_.get_total_buffer_size() if not cut else int(all_.nbytes)
+                    if size > self.room and self.gram < self.length:
+                        finer = _Finer(self, int(anchor[-1]))
+                        finer.add(all_)
+                        held, size = [], 0
+        if finer:
+            yield from finer.marks()
+        if held:
+            yield self._sorted(pa.concat_tables(held))
+
+    def _sorted(self, t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in t["bytes"].chunks]) if len(t) else pa.array([], pa.large_binary())
+        return _marked(*later(texts.view(pa.large_string()), t["doc"].to_numpy(), t["start"].to_numpy(), self.length))
+
+
+def _marked(doc: np.ndarray, a: np.ndarray, z: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, pa.int64()) for x in (doc, a, z)], names=["doc", "a", "z"])
+
+
+class _Finer:
+    """The fragments of one large anchor, cut by longer grams and dealt to files."""
+
+    FILES = 16
+
+    def __init__(self, shards: _Shards, anchor: int) -> None:
+        self.anchor, self.room, self.length = anchor, shards.room, shards.length
+        self.gram = min(shards.length, shards.gram + (shards.length - shards.gram + 1) // 2)
+        self.folder, self.files = tempfile.mkdtemp(prefix="shards-"), {}
+
+    def add(self, t: pa.Table) -> None:
+        texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in t["bytes"].chunks]).view(pa.large_string())
+        doc, start = t["doc"].to_numpy(), t["start"].to_numpy()
+        for c in chunks(texts):
+            first, last, cut, anchor = _runs(c, self.length, self.gram)
+            raw = c.data.tobytes()
+            for f in np.unique(anchor % self.FILES):
+                k = np.flatnonzero(anchor % self.FILES == f)
+                b = pa.record_batch([pa.array(anchor[k]), pa.array(doc[c.lo + cut[k]]), pa.array(start[c.lo + cut[k]] + first[k] - c.bounds[cut[k]]), pa.array([raw[a : z + self.length] for a, z in zip(first[k].tolist(), last[k].tolist())], pa.binary())], names=["anchor", "doc", "start", "bytes"])
+                if f not in self.files:
+                    self.files[f] = pa.ipc.new_stream(f"{self.folder}/{f}", b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                self.files[f].write_batch(b)
+
+    def marks(self) -> Iterator[pa.RecordBatch]:
+        try:
+            for f, stream in self.files.items():
+                stream.close()
+                yield from self._file(f"{self.folder}/{f}")
+        finally:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+    def _file(self, path: str) -> Iterator[pa.RecordBatch]:
+        """Equal fragments are joined, as they come, with the earliest; the distinct ones are sorted."""
+        earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
+        with pa.OSFile(path) as file, pa.ipc.open_stream(file) as stream:
+            for b in stream:
+                out: list[tuple[int, int, int]] = []
+                for anchor, doc, start, raw in zip(*(x.to_pylist() for x in b.columns)):
+                    was = earliest.get((anchor, raw))
+                    if was is None or (doc, start) < was:
+                        earliest[anchor, raw] = doc, start
+                    if was is not None and (doc, start) != was:
+                        doc, start = max((doc, start), was)
+                        out.append((doc, start, start + len(raw)))
+                if out:
+                    yield _marked(*(np.array(x, np.int64) for x in zip(*out)))
+        os.unlink(path)
+        rows = sorted((anchor, doc, start, raw) for (anchor, raw), (doc, start) in earliest.items())
+        del earliest
+        step = max(1, self.room // 4096)
+        batches = (pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + step]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "doc", "start", "bytes"]) for i in range(0, len(rows), step))
+        yield from _Shards(self.length, self.gram, self.room).marks(batches)
 
 
 _REMOVED = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -233,7 +319,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     at = distinct.select(*key, F.col("doc").alias("_d"), F.col("start").alias("_s"))
     copies = found.select(*key, "doc", "start", "size").join(at, key).where((F.col("doc") != F.col("_d")) | (F.col("start") != F.col("_s")))
     shards = distinct.select("anchor", "doc", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    marks = copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z")).union(shards.mapInArrow(lambda b: _shards(b, length, room), _MARKS))
+    marks = copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z")).union(shards.mapInArrow(lambda b: _Shards(length, gram, room).marks(b), _MARKS))
     marks = written(marks.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("marks")), "repeats-marks")
     released(docs.sparkSession)
 
