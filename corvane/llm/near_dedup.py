@@ -27,14 +27,16 @@ from .textarrays import SPACE, Chunk, chunks, mix
 
 #: Words of a shingle, and the similarity from which two documents are near copies.
 WORDS, SIMILAR = 5, 0.8
-#: Registers = bands x rows. At 0.8 a pair misses all bands with probability (1 - 0.8**6)**32 = 6e-5.
-BANDS, ROWS = 32, 6
+#: Registers = bands x rows. At 0.8 a pair misses all bands with probability (1 - 0.8**8)**48 = 1.4e-4.
+BANDS, ROWS = 48, 8
 #: Bits of a register that the short sketch keeps, and how many of its registers may differ before a pair is dropped
-#: unverified: at 0.8 a mean of 36 does, and 60 are 4.4 standard deviations above it.
-BITS, DIFFER = 4, 60
+#: unverified: at 0.8 a mean of 72 does, and 106 are 4.4 standard deviations above it.
+BITS, DIFFER = 4, 106
 #: Each round compares the members of buckets that hold several classes with one centre, the least id after this is
 #: XORed; what then still holds several is compared pair by pair.
-CENTRES = (0, 0x5555555555555555, 0x3333333333333333)
+CENTRES = (0, 0x5555555555555555)
+#: Arrivals that a round draws at a time, over all shingles that are still drawing, and for one of them.
+ARRIVALS, OF_ONE = 200_000, 64
 NO_ID = -(2**63)
 _OWNER = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
@@ -71,19 +73,25 @@ def sketches(owner: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m:
     alone = many[owner] == 1
     holds.reshape(n, m)[owner[alone]] = ids[alone, None]
     own, of, rate, t = owner[~alone], ids[~alone], 1.0 / weight[~alone], np.zeros(int((~alone).sum()))
-    draw = 0
+    drawn = 0
     while len(own):
-        draw += 1
-        x = mix(of * _ODD[0] + np.uint64(draw * int(_ODD[1]) & (2**64 - 1)))
-        t = t - np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * rate
-        in_time = t < latest[own]
-        own, of, rate, t, x = own[in_time], of[in_time], rate[in_time], t[in_time], x[in_time]
-        slot = own * m + (mix(x) % np.uint64(m)).astype(np.int64)
-        np.minimum.at(first, slot, t)
-        won = first[slot] == t
-        holds[slot[won]] = of[won]
+        k = max(1, min(OF_ONE, ARRIVALS // len(own)))
+        steps = np.array([j * int(_ODD[1]) & (2**64 - 1) for j in range(drawn + 1, drawn + k + 1)], np.uint64)
+        x = mix((of * _ODD[0])[:, None] + steps)
+        gaps = -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) * rate[:, None]
+        gaps[:, 0] += t
+        times = np.cumsum(gaps, axis=1)
+        in_time = times < latest[own][:, None]
+        slot = (own * m)[:, None] + (mix(x) % np.uint64(m)).astype(np.int64)
+        slot, at, what = slot[in_time], times[in_time], np.repeat(of, in_time.sum(axis=1))
+        np.minimum.at(first, slot, at)
+        won = first[slot] == at
+        holds[slot[won]] = what[won]
         alive = np.unique(own)
         latest[alive] = first.reshape(n, m)[alive].max(axis=1)
+        on = times[:, -1] < latest[own]
+        own, of, rate, t = own[on], of[on], rate[on], times[on, -1]
+        drawn += k
     return holds.reshape(n, m)
 
 
@@ -120,7 +128,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                 of, place = again[owner], np.cumsum(again) - 1
                 weighted = _bands(sketches(place[owner[of]], ids[of], count[of].astype(float), int(again.sum()), m), bands, rows)
                 for k, w in zip(np.flatnonzero(again), weighted):
-                    keys[k] = np.concatenate([keys[k], w])
+                    keys[k] = np.unique(np.concatenate([keys[k], w]))
             with np.errstate(over="ignore"):
                 total = lambda x: np.add.reduceat(np.append(x, np.uint64(0)), np.minimum(np.searchsorted(owner, np.arange(n)), len(x))) * (sizes > 0)
                 d1, d2 = total(mix(ids * _ODD[4])), total(mix(ids * _ODD[5] + _ODD[6]))
@@ -156,7 +164,7 @@ def _close(bands: int, rows: int) -> Column:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose complete shingle sets have a Jaccard similarity of 0.8 or more."""
-    own = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    own = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     sets = texts.join(own, "doc", "left_semi").mapInArrow(_shingles, _SHINGLES)
     sets = written(sets.groupBy("doc").agg(F.min("ids").alias("ids")), "near-sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("ids").alias("y")), "b")
@@ -170,19 +178,19 @@ def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(band, hash, doc, component) of the members of buckets that hold more than one component."""
+    """(key, doc, component) of the members of buckets that hold more than one component."""
     if joined is None:
-        return buckets.select("band", "hash", "doc", F.col("doc").alias("component"))
-    member = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("band", "hash", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = member.groupBy("band", "hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "hash")
-    return member.join(mixed, ["band", "hash"])
+        return buckets.select("key", "doc", F.col("doc").alias("component"))
+    member = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return member.join(mixed, "key")
 
 
 def _to_centres(members: DataFrame, c: int) -> DataFrame:
     """Distinct pairs (a, b) of each bucket's centre, its least id after c is XORed, with its members of other components."""
     x = F.col("doc").bitwiseXOR(F.lit(c))
-    centre = members.groupBy("band", "hash").agg(F.min(F.struct(x.alias("x"), "component")).alias("m")).select("band", "hash", F.col("m.x").bitwiseXOR(F.lit(c)).alias("centre"), F.col("m.component").alias("at"))
-    p = members.join(centre, ["band", "hash"]).where("component <> at")
+    centre = members.groupBy("key").agg(F.min(F.struct(x.alias("x"), "component")).alias("m")).select("key", F.col("m.x").bitwiseXOR(F.lit(c)).alias("centre"), F.col("m.component").alias("at"))
+    p = members.join(centre, "key").where("component <> at")
     return p.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
 
 
@@ -203,9 +211,9 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
     sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH), "near-sketches")
     own = written(sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*"), "near-distinct")
-    each = own.select("doc", F.posexplode("bands").alias("k", "hash")).select("doc", (F.col("k") % bands).alias("band"), "hash").distinct()
-    size = each.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1").select("band", "hash")
-    buckets = written(each.join(size, ["band", "hash"]), "near-buckets")
+    each = own.select("doc", F.explode("bands").alias("key"))  # the key of a bucket holds the number of its band
+    size = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = written(each.join(size, "key"), "near-buckets")
     short = own.select("doc", "n", "sketch").where("n > 0")
 
     tested = links = joined = None
@@ -220,9 +228,10 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
         links = _more(links, _verified(near, texts))
         joined = components(links)
 
-    rest = written(_mixed(buckets, joined).join(short, "doc"), "near-rest")
-    across = rest.alias("a").join(rest.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.hash") == F.col("b.hash")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & _close(bands, rows))
-    left = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    rest = written(_mixed(buckets, joined).join(own.select("doc", "n", "sketch", "bands"), "doc"), "near-rest")
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")  # a pair of several buckets counts in one
+    across = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & _close(bands, rows) & once)
+    left = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).join(tested, ["a", "b"], "left_anti"), "near-pairs")
     if not left.isEmpty():
         joined = components(_more(links, _verified(left, texts)))
 
