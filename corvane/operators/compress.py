@@ -55,7 +55,8 @@ def fold(rows: Iterable[tuple[int, str]]) -> list[dict]:
 def compressed(memories: DataFrame, shard: str = "branch") -> DataFrame:
     """(category, shard, leader, members, merged, pattern): the fold over each category of each shard, ordered by id.
 
-    The fold compares with all that is kept, so it runs within a shard of a category and its cost grows with the shard.
+    The fold compares with all that is kept and its cost grows with the square of a shard's category, so shards must be
+    small, as a store is that is compressed beyond two hundred active memories.
     """
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
