@@ -34,7 +34,7 @@ BANDS, ROWS = 48, 8
 BITS, DIFFER = 4, 106
 #: Each round compares the members of buckets that hold several classes with one centre, the least id after this is
 #: XORed; what then still holds several is compared pair by pair.
-CENTRES = (0, 0x5555555555555555)
+CENTRES = (0,)
 #: Arrivals that a round draws at a time, over all shingles that are still drawing, and for one of them.
 ARRIVALS, OF_ONE = 200_000, 64
 NO_ID = -(2**63)
@@ -203,7 +203,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     class_id is the least id of a class and its document is kept; of rows that repeat an id, one.
     Rows that repeat an id with another text are one document to the classes. A null id sorts first.
 
-    Buckets of a band's value are not expanded into pairs. In a few rounds their members are
+    Buckets of a band's value are not expanded into pairs. In each round their members are
     compared with one centre, which joins groups of copies at a cost linear in their size; buckets
     that then still hold several classes are compared across classes, pair by pair, so no link that the
     bands propose is lost. Sketches sort out most pairs in the join itself.

@@ -110,18 +110,17 @@ def grow(x: np.ndarray, y: np.ndarray) -> Trees:
         feature, threshold, cut = np.zeros(inner, np.int64), np.full(inner, np.inf), np.full(inner, BINS)
         node = np.zeros(len(x), np.int64)
         for level in range(DEPTH):
-            for k in range(2**level - 1, 2 ** (level + 1) - 1):
-                at = np.flatnonzero(node == k)
-                if len(at) >= 2 * LEAST:
-                    cells = flat[at].ravel()
-                    by = lambda w: np.bincount(cells, weights=np.repeat(w[at], x.shape[1]), minlength=x.shape[1] * BINS).reshape(-1, BINS).cumsum(axis=1)  # noqa: B023, E731
-                    lg, lh, ln = by(g), by(h), by(np.ones(len(x)))
-                    ag, ah, an = lg[:, -1:], lh[:, -1:], ln[:, -1:]
-                    gain = lg**2 / (lh + L2) + (ag - lg) ** 2 / (ah - lh + L2) - ag**2 / (ah + L2)
-                    gain[(ln < LEAST) | (an - ln < LEAST)] = -1
-                    f, b = np.unravel_index(np.argmax(gain), gain.shape)
-                    if gain[f, b] > 1e-9 and b < len(edges[f]):
-                        feature[k], threshold[k], cut[k] = f, edges[f][b], b
+            first, width = 2**level - 1, x.shape[1]
+            cells = (flat + ((node - first) * width * BINS)[:, None]).ravel()
+            by = lambda w: np.bincount(cells, None if w is None else np.repeat(w, width), 2**level * width * BINS).reshape(-1, width, BINS).cumsum(axis=2)  # noqa: B023, E731
+            lg, lh, ln = by(g), by(h), by(None)
+            ag, ah, an = lg[:, :, -1:], lh[:, :, -1:], ln[:, :, -1:]
+            gain = lg**2 / (lh + L2) + (ag - lg) ** 2 / (ah - lh + L2) - ag**2 / (ah + L2)
+            gain[(ln < LEAST) | (an - ln < LEAST)] = -1
+            for k, own in enumerate(gain, first):
+                f, b = np.unravel_index(np.argmax(own), own.shape)
+                if own[f, b] > 1e-9 and b < len(edges[f]):
+                    feature[k], threshold[k], cut[k] = f, edges[f][b], b
             node = 2 * node + 1 + (binned[rows, feature[node]] > cut[node])
         leaf = node - inner
         value = -RATE * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + L2)

@@ -25,25 +25,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def _powers(n: int, base: int) -> np.ndarray:
+def _powers_of(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    size = max(CHUNK + 1, 1 << (n - 1).bit_length())
-    return (_inverse_powers if inverse else _forward_powers)(size)[:n]
-
-
-@lru_cache(1)
-def _forward_powers(n: int) -> np.ndarray:
-    return _powers.__wrapped__(n, int(_BASE))
-
-
-@lru_cache(1)
-def _inverse_powers(n: int) -> np.ndarray:
-    return _powers.__wrapped__(n, int(_INVERSE))
+    """The first n powers of the base, or of its inverse; long ones only as long as a text needs them."""
+    base = int(_INVERSE if inverse else _BASE)
+    return _powers_of(base, CHUNK + 1)[:n] if n <= CHUNK + 1 else _powers_of.__wrapped__(base, n)
 
 
 @dataclass
