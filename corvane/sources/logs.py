@@ -76,3 +76,27 @@ def markdown(memories: DataFrame) -> DataFrame:
     notes = memories.select(name.alias("name"), F.concat(F.lit("---\ncategory: "), "category", F.lit("\n---\n"), "content", F.lit("\n")).alias("text"))
     links = memories.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- [["), name, F.lit("]]")))), "\n").alias("l"))
     return notes.unionByName(links.select(F.concat(F.lit("map-"), "category").alias("name"), F.concat(F.lit("# "), "category", F.lit("\n"), "l", F.lit("\n")).alias("text")))
+
+
+def git_log(lines: DataFrame) -> DataFrame:
+    """(hash, date, author, subject, ts) from lines (value) of a log formatted as %H|%ai|%an|%s; the subject may hold bars, other lines are left out."""
+    p = F.split("value", r"\|", 4)
+    c = lines.where(F.size(p) == 4).select(p[0].alias("hash"), p[1].alias("date"), p[2].alias("author"), p[3].alias("subject"))
+    return c.withColumn("ts", F.try_to_timestamp(F.substring("date", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))).where("ts IS NOT NULL")
+
+
+def vectors_without(index: DataFrame, ids: DataFrame | None = None, namespace: str | None = None) -> DataFrame:
+    """A vector index (id, namespace, ...) without some ids, or without a whole namespace."""
+    if ids is not None:
+        index = index.join(ids.select("id"), "id", "left_anti")
+    return index if namespace is None else index.where(~F.col("namespace").eqNullSafe(F.lit(namespace)))
+
+
+def dashboard(nodes: DataFrame, edges: DataFrame, classes: int = 5000, methods: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, name) and edges (src, dst, type) to draw: files only below so many classes, methods only below so many of them."""
+    n = {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()}
+    shown = [label for label in n if (label != "File" or n.get("Class", 0) < classes) and (label != "Method" or n.get("Method", 0) < methods)]
+    kept = nodes.where(F.col("label").isin(shown))
+    ends = kept.select(F.col("id").alias("_id"))
+    e = edges.join(ends, F.col("src") == F.col("_id"), "left_semi").join(ends, F.col("dst") == F.col("_id"), "left_semi")
+    return kept, e

@@ -95,3 +95,23 @@ def test_markdown_notes(spark):
     m = spark.createDataFrame([(1, "bug", "x"), (2, "bug", "y")], "id bigint, category string, content string")
     notes = {r.name: r.text for r in L.markdown(m).collect()}
     assert notes["map-bug"] == "# bug\n- [[bug-1]]\n- [[bug-2]]\n" and notes["bug-1"].endswith("x\n")
+
+
+def test_git_log_keeps_bars_in_the_subject(spark):
+    d = spark.createDataFrame([("a1|2024-03-01 10:00:00 +0100|Ann|fix: a|b",), ("broken",), ("b2|no date|Bo|x",)], "value string")
+    assert [(r.hash, r.author, r.subject) for r in L.git_log(d).collect()] == [("a1", "Ann", "fix: a|b")]
+
+
+def test_vectors_are_deleted_by_id_and_namespace(spark):
+    v = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "id string, namespace string")
+    assert {r.id for r in L.vectors_without(v, spark.createDataFrame([("a",)], "id string")).collect()} == {"b", "c"}
+    assert {r.id for r in L.vectors_without(v, namespace="x").collect()} == {"c"}
+
+
+def test_dashboard_leaves_out_what_is_too_much(spark):
+    n = spark.createDataFrame([("f", "File", "f"), ("c1", "Class", "c"), ("c2", "Class", "d"), ("m", "Method", "m")], "id string, label string, name string")
+    e = spark.createDataFrame([("f", "c1", "DEFINES"), ("c1", "m", "HAS")], "src string, dst string, type string")
+    full, edges = L.dashboard(n, e)
+    assert full.count() == 4 and edges.count() == 2
+    some, edges = L.dashboard(n, e, classes=2)
+    assert {r.id for r in some.collect()} == {"c1", "c2", "m"} and edges.count() == 1
