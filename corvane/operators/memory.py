@@ -47,8 +47,7 @@ def sweep(memories: DataFrame, as_of: float, most: int = 200) -> DataFrame:
     m = memories.withColumn("score", retention(F.col("category"), F.col("timestamp"), F.col("access_count"), as_of)).withColumn("pinned", F.col("category").isin(W.PINNED))
     m = m.withColumn("stale", ~F.col("pinned") & (age > 90) & (F.col("access_count") == 0) & (importance <= 2))
     free = m.where("NOT pinned AND NOT stale AND score < 0.15").select("id", "score")
-    over = F.greatest(F.lit(0), F.lit(m.where("NOT stale").count() - most))
-    weak = free.withColumn("r", F.row_number().over(Window.orderBy(F.round("score", 9), "id"))).where(F.col("r") <= over)
+    weak = free.orderBy(F.round("score", 9), "id").limit(max(0, m.where("NOT stale").count() - most))
     return m.where("stale").select("id", "score", F.lit("stale").alias("reason")).union(weak.select("id", "score", F.lit("over capacity").alias("reason")))
 
 
