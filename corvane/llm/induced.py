@@ -111,71 +111,78 @@ def _types(text: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _packed(text: np.ndarray, at: np.ndarray, ends: np.ndarray, fill: int) -> np.ndarray:
-    """_PACK symbols from each position up to its end, then fill."""
-    key = np.zeros(len(at), np.int64)
-    for k in range(_PACK):
-        here = at + k
-        key = (key << 9) | np.where(here < ends, text[np.minimum(here, len(text) - 1)], fill)
-    return key
+def _packed(text: np.ndarray) -> np.ndarray:
+    """The _PACK symbols from each position on, in one number that orders as they do."""
+    out = np.zeros(len(text), np.int64)
+    for k in range(min(_PACK, len(text))):
+        out[: len(text) - k] |= text[k:].astype(np.int64) << 9 * (_PACK - 1 - k)
+    return out
 
 
-def _names(text: np.ndarray, lms: np.ndarray) -> np.ndarray:
+#: By how many symbols of a packed number count: what the others are replaced by.
+_FILL = np.array([(1 << 9 * (_PACK - k)) - 1 for k in range(_PACK + 1)], np.int64)
+
+
+def _split(name: np.ndarray, tied: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Names of the tied, which order sorts by name and key, told apart by key; returns those still tied.
+
+    A name is the least rank of its group, so what a group is split into stays below the next group.
+    """
+    tied, key = tied[order], key[order]
+    group = np.concatenate([[True], name[tied[1:]] != name[tied[:-1]]])
+    first, start = np.flatnonzero(group), np.flatnonzero(group | np.concatenate([[True], key[1:] != key[:-1]]))
+    base = np.repeat(name[tied[first]] - first, np.diff(np.append(np.searchsorted(start, first), len(start)))) + start
+    size = np.diff(np.append(start, len(tied)))
+    name[tied] = np.repeat(base, size)
+    return tied[np.repeat(size > 1, size)]
+
+
+def _names(text: np.ndarray, packed: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Ranks of the substrings from each LMS position to the next, both ends included; a sentinel's is its number."""
     ends = np.append(lms[1:] + 1, len(text))
-    sentinel = text[lms] == 0
+    sentinel = np.flatnonzero(text[lms] == 0)
     ends[sentinel] = lms[sentinel] + 1
     name = np.zeros(len(lms), np.int64)
     tied, at = np.arange(len(lms)), lms.copy()
     while len(tied):
-        key = _packed(text, at[tied], ends[tied], _END)
-        order = np.lexsort((key, name[tied]))
-        tied, key = tied[order], key[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (name[tied[1:]] != name[tied[:-1]])])
-        first = np.flatnonzero(np.concatenate([[True], name[tied[1:]] != name[tied[:-1]]]))
-        base = name[tied[first]]
-        # names leave room for the members of their group, so ranks of a group stay between its neighbours'
-        start = np.flatnonzero(new)
-        within = start - np.repeat(first, np.diff(np.append(np.searchsorted(start, first), len(start))))
-        name[tied] = np.repeat(np.repeat(base, np.diff(np.append(np.searchsorted(start, first), len(start)))) + within, np.diff(np.append(start, len(tied))))
-        size = np.diff(np.append(start, len(tied)))
-        again = np.repeat(size > 1, size)
-        tied = tied[again]
+        key = packed[np.minimum(at[tied], len(text) - 1)] | _FILL[np.minimum(ends[tied] - at[tied], _PACK)]
+        tied = _split(name, tied, np.lexsort((key, name[tied])) if name.any() else np.argsort(key), key)
         at[tied] += _PACK
-        tied = tied[at[tied] < ends[tied]]
-    # sentinels are least and differ, by their number; every other name follows
-    name[~sentinel] += int(sentinel.sum())
-    name[sentinel] = np.arange(int(sentinel.sum()))
+        tied = tied[at[tied] <= ends[tied]]  # one that ends just here sorts behind those that go on
+    name[sentinel] = np.arange(len(sentinel))  # they are the least group and differ by their number
     return name
 
 
 def _ranked(name: np.ndarray, cap: int) -> np.ndarray:
     """Ranks of the suffixes of the string of names over the first cap symbols of text: every name covers two or more."""
-    rank, h = name, 1
-    while 2 * h <= cap + 2:
-        behind = np.full(len(rank), -1, np.int64)
-        behind[:-h] = rank[h:]
-        order = np.lexsort((behind, rank))
-        new = np.concatenate([[0], ((rank[order][1:] != rank[order][:-1]) | (behind[order][1:] != behind[order][:-1])).astype(np.int64)])
-        out = np.empty(len(rank), np.int64)
-        out[order] = np.cumsum(new)
-        rank, h = out, 2 * h
-        if out.max() == len(rank) - 1:
-            break
-    return rank
+    n, h = len(name), 1
+    tied = np.flatnonzero(np.bincount(name, minlength=n)[name] > 1)
+    while len(tied) and 2 * h <= cap + 2:
+        behind = tied + h
+        key = np.where(behind < n, name[np.minimum(behind, n - 1)] + 1, 0)
+        tied = _split(name, tied, np.argsort(name[tied] * (n + 2) + key), key)
+        h *= 2
+    return name
 
 
-def _prefixes(text: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of neighbours in a list of positions, up to cap; equal sentinels are not common."""
+def _prefixes(text: np.ndarray, packed: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of neighbours in a list of positions, up to cap and to the sentinel, which is not common."""
     lcp = np.zeros(len(at), np.int32)
-    k = np.arange(1, len(at))
-    n = len(text)
-    for d in range(cap):
+    ends = np.flatnonzero(text == 0)
+    room = np.minimum(ends[np.searchsorted(ends, at)] - at, cap).astype(np.int32)
+    k, n = np.arange(1, len(at)), len(text)
+    for d in range(0, cap, _PACK):
         if not len(k):
             break
-        x, y = text[np.minimum(at[k] + d, n - 1)], text[np.minimum(at[k - 1] + d, n - 1)]
-        k = k[(x == y) & (x > 0)]
-        lcp[k] = d + 1
+        x, y = at[k] + d, at[k - 1] + d
+        differ = packed[np.minimum(x, n - 1)] ^ packed[np.minimum(y, n - 1)]
+        same = differ == 0
+        lcp[k[~same]] = d + _PACK - 1 - ((np.frexp(differ[~same].astype(np.float64))[1] - 1) // 9)
+        k = k[same]
+        lcp[k] = d + _PACK
+        k = k[room[k] > d + _PACK]
+    lcp[1:] = np.minimum(lcp[1:], np.minimum(room[1:], room[:-1]))
+    lcp[:1] = 0
     return lcp
 
 
@@ -189,8 +196,10 @@ def suffixes(text: np.ndarray, cap: int, room: int = QUEUE_BYTES):
     is_lms[1:] &= ~small[:-1]
     is_lms[0] = text[0] == 0
     lms = np.flatnonzero(is_lms)
-    order = lms[np.argsort(_ranked(_names(text, lms), cap), kind="stable")]
-    seed_lcp = _prefixes(text, order, cap)
+    packed = _packed(text)
+    order = lms[np.argsort(_ranked(_names(text, packed, lms), cap), kind="stable")]
+    seed_lcp = _prefixes(text, packed, order, cap)
+    del packed
     symbols = int(text.max()) + 1
     seed_of = np.searchsorted(text[order], np.arange(symbols + 1))
     # length of the run of one symbol that each suffix starts with

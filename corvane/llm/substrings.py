@@ -88,18 +88,28 @@ def _compressed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
             yield pa.record_batch([b[0].slice(c.lo, c.hi - c.lo).take(pa.array(long_)), pa.array([pack(c.data[c.bounds[k] : c.bounds[k + 1]].tobytes()) for k in long_], pa.binary())], names=["doc", "packed"])
 
 
-def _runs(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every stretch of strings with one anchor within one text: its first and last start, its text and the anchor."""
-    _, least, whole = _grams(c, length, gram)
+def _runs(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every stretch of strings with one anchor within one text: its first and last start, its text and the anchor; and the hashes of grams."""
+    h, least, whole = _grams(c, length, gram)
     if not len(least):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     change = least[1:] != least[:-1]
     first = np.flatnonzero(whole & np.concatenate([[True], change | ~whole[:-1]]))
     last = np.flatnonzero(whole & np.concatenate([change | ~whole[1:], [True]]))
-    return first, last, np.searchsorted(c.bounds, first, side="right") - 1, least[first].view(np.int64)
+    return first, last, np.searchsorted(c.bounds, first, side="right") - 1, least[first].view(np.int64), h.view(np.int64)
 
 
-_FRAGMENTS = "anchor bigint, f1 bigint, f2 bigint, doc bigint, start bigint, size bigint, bytes binary"
+def _inside(h: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray, width: int) -> np.ndarray:
+    """How often the anchor of each stretch is among its grams; where it is once, no two strings of the stretch are equal."""
+    if not len(first):
+        return np.zeros(0, np.int64)
+    size = last - first + width
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) + np.repeat(first - (ends - size), size)
+    return np.add.reduceat((h[at] == np.repeat(anchor, size)).astype(np.int64), ends - size)
+
+
+_FRAGMENTS = "anchor bigint, f1 bigint, f2 bigint, doc bigint, start bigint, size bigint, own int, bytes binary"
 
 
 def _fragments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -109,18 +119,19 @@ def _fragments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Ite
         texts = pa.array([unpack(x.as_py()) for x in b.column("packed")], pa.large_binary()).view(pa.large_string())
         wanted, doc = b.column("anchors"), b.column("doc").to_numpy()
         for c in chunks(texts):
-            first, last, cut, anchor = _runs(c, length, gram)
+            first, last, cut, anchor, h = _runs(c, length, gram)
             take = np.zeros(len(first), bool)
             lows, ends = np.searchsorted(cut, np.arange(c.hi - c.lo)), np.searchsorted(cut, np.arange(c.hi - c.lo), side="right")
             for k in range(c.hi - c.lo):
                 take[lows[k] : ends[k]] = np.isin(anchor[lows[k] : ends[k]], wanted[c.lo + k].values.to_numpy())
             first, last, cut, anchor = first[take], last[take], cut[take], anchor[take]
+            own = _inside(h, first, last, anchor, length - gram + 1)
             raw = c.data.tobytes()
             pieces = [raw[a : z + length] for a, z in zip(first.tolist(), last.tolist())]
             f = np.frombuffer(b"".join(xxhash.xxh3_128_digest(p) for p in pieces), np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                [pa.array(anchor), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(doc[c.lo + cut]), pa.array(first - c.bounds[cut]), pa.array(last - first + length), pa.array(pieces, pa.binary())],
-                names=["anchor", "f1", "f2", "doc", "start", "size", "bytes"],
+                [pa.array(anchor), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(doc[c.lo + cut]), pa.array(first - c.bounds[cut]), pa.array(last - first + length), pa.array(own, pa.int32()), pa.array(pieces, pa.binary())],
+                names=["anchor", "f1", "f2", "doc", "start", "size", "own", "bytes"],
             )
 
 
@@ -172,7 +183,7 @@ class _Shards:
         held: list[pa.Table] = []
         size, finer = 0, None
         for b in batches:
-            t = pa.Table.from_batches([b]).select(["anchor", "doc", "start", "bytes"])
+            t = pa.Table.from_batches([b]).select(["anchor", "doc", "start", "own", "bytes"])
             while len(t):
                 if finer:  # a large anchor goes on
                     n = int(np.searchsorted(t["anchor"].to_numpy(), finer.anchor, side="right"))
@@ -203,7 +214,10 @@ class _Shards:
             yield self._sorted(pa.concat_tables(held))
 
     def _sorted(self, t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
+        anchor = t["anchor"].to_numpy()
+        edge = np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])
+        alone = edge[:-1] & edge[1:]
+        t = t.filter(pa.array(~alone | (t["own"].to_numpy() > 1))).combine_chunks()  # a fragment alone with its anchor once repeats nothing
         texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in t["bytes"].chunks]) if len(t) else pa.array([], pa.large_binary())
         return _marked(*later(texts.view(pa.large_string()), t["doc"].to_numpy(), t["start"].to_numpy(), self.length))
 
@@ -226,11 +240,12 @@ class _Finer:
         texts = pa.concat_arrays([x.cast(pa.large_binary()) for x in t["bytes"].chunks]).view(pa.large_string())
         doc, start = t["doc"].to_numpy(), t["start"].to_numpy()
         for c in chunks(texts):
-            first, last, cut, anchor = _runs(c, self.length, self.gram)
+            first, last, cut, anchor, h = _runs(c, self.length, self.gram)
+            own = _inside(h, first, last, anchor, self.length - self.gram + 1)
             raw = c.data.tobytes()
             for f in np.unique(anchor % self.FILES):
                 k = np.flatnonzero(anchor % self.FILES == f)
-                b = pa.record_batch([pa.array(anchor[k]), pa.array(doc[c.lo + cut[k]]), pa.array(start[c.lo + cut[k]] + first[k] - c.bounds[cut[k]]), pa.array([raw[a : z + self.length] for a, z in zip(first[k].tolist(), last[k].tolist())], pa.binary())], names=["anchor", "doc", "start", "bytes"])
+                b = pa.record_batch([pa.array(anchor[k]), pa.array(doc[c.lo + cut[k]]), pa.array(start[c.lo + cut[k]] + first[k] - c.bounds[cut[k]]), pa.array(own[k], pa.int32()), pa.array([raw[a : z + self.length] for a, z in zip(first[k].tolist(), last[k].tolist())], pa.binary())], names=["anchor", "doc", "start", "own", "bytes"])
                 if f not in self.files:
                     self.files[f] = pa.ipc.new_stream(f"{self.folder}/{f}", b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                 self.files[f].write_batch(b)
@@ -245,24 +260,24 @@ class _Finer:
 
     def _file(self, path: str) -> Iterator[pa.RecordBatch]:
         """Equal fragments are joined, as they come, with the earliest; the distinct ones are sorted."""
-        earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
+        earliest: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         with pa.OSFile(path) as file, pa.ipc.open_stream(file) as stream:
             for b in stream:
                 out: list[tuple[int, int, int]] = []
-                for anchor, doc, start, raw in zip(*(x.to_pylist() for x in b.columns)):
-                    was = earliest.get((anchor, raw))
-                    if was is None or (doc, start) < was:
-                        earliest[anchor, raw] = doc, start
-                    if was is not None and (doc, start) != was:
-                        doc, start = max((doc, start), was)
+                for anchor, doc, start, own, raw in zip(*(x.to_pylist() for x in b.columns)):
+                    here, was = (doc, start, own), earliest.get((anchor, raw))
+                    if was is None or here < was:
+                        earliest[anchor, raw] = here
+                    if was is not None and here != was:
+                        doc, start, _ = max(here, was)
                         out.append((doc, start, start + len(raw)))
                 if out:
                     yield _marked(*(np.array(x, np.int64) for x in zip(*out)))
         os.unlink(path)
-        rows = sorted((anchor, doc, start, raw) for (anchor, raw), (doc, start) in earliest.items())
+        rows = sorted((anchor, *place, raw) for (anchor, raw), place in earliest.items())
         del earliest
         step = max(1, self.room // 4096)
-        batches = (pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + step]), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["anchor", "doc", "start", "bytes"]) for i in range(0, len(rows), step))
+        batches = (pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + step]), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc", "start", "own", "bytes"]) for i in range(0, len(rows), step))
         yield from _Shards(self.length, self.gram, self.room).marks(batches)
 
 
@@ -315,10 +330,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     released(docs.sparkSession)
 
     key = ["anchor", "f1", "f2"]
-    distinct = written(found.groupBy(*key).agg(F.min(F.struct("doc", "start", "bytes")).alias("m")).select(*key, "m.*"), "repeats-distinct")
+    distinct = written(found.groupBy(*key).agg(F.min(F.struct("doc", "start", "own", "bytes")).alias("m")).select(*key, "m.*"), "repeats-distinct")
     at = distinct.select(*key, F.col("doc").alias("_d"), F.col("start").alias("_s"))
     copies = found.select(*key, "doc", "start", "size").join(at, key).where((F.col("doc") != F.col("_d")) | (F.col("start") != F.col("_s")))
-    shards = distinct.select("anchor", "doc", "start", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    shards = distinct.select("anchor", "doc", "start", "own", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     marks = copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z")).union(shards.mapInArrow(lambda b: _Shards(length, gram, room).marks(b), _MARKS))
     marks = written(marks.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("marks")), "repeats-marks")
     released(docs.sparkSession)

@@ -52,10 +52,10 @@ def test_odd_rows(spark):
 
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(0)
-    for _ in range(60):
+    for _ in range(150):
         parts = []
         for _ in range(rng.integers(1, 5)):
-            p = rng.integers(1, 4, rng.integers(1, 30))
+            p = rng.integers(1, 4, rng.integers(1, 30)) if rng.random() < 0.5 else np.concatenate([np.sort(rng.integers(1, 9, rng.integers(1, 20)))[:: int(rng.choice([-1, 1]))] for _ in range(3)])
             if parts and rng.random() < 0.6:
                 p = np.concatenate([p, parts[rng.integers(len(parts))][:-1]])
             parts.append(np.append(p, 0))
