@@ -76,7 +76,35 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op4_repeated_substrings, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup)}
 
+
+def _crc_entry(c: int) -> int:
+    for _ in range(8):
+        c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
 SQL = {
+    "op2_stratified_shards": f"""
+        WITH b AS (SELECT doc_id, source, coalesce(octet_length(encode(text)), 0) + 1 AS size, md5('shards:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS k,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+        c AS (SELECT doc_id, source, size, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, ({[_crc_entry(i) for i in range(256)]})[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n,
+              (CAST('0x' || md5('shards phase:' || coalesce(source, '~'))[1:8] AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS phase FROM c),
+        f AS (SELECT *, (rank + phase) / n AS fraction FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, k) - 1 AS pos, count(*) OVER () AS total FROM f)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(pos * 8 // total AS INT) AS shard, CAST(pos - ((pos * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source, fraction FROM p
+    """,
+    "op4_repeated_substrings": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
+        r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY m ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+        i AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS new FROM r)),
+        g AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM i GROUP BY doc_id, run),
+        c AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b, a AS e FROM g UNION ALL SELECT d.doc_id, coalesce(max(z), 0), any_value(n) FROM d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id),
+        k AS (SELECT c.doc_id, sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b))) AS kept_sha256 FROM c JOIN d ON d.doc_id = c.doc_id GROUP BY 1),
+        t AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans FROM g GROUP BY 1)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, kept_sha256 FROM d JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+    """,
     "op5_fair_mix": r"""
         WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '~')) AS k FROM documents),
         r AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM d),
@@ -91,6 +119,34 @@ SQL = {
         SELECT doc_id, size, source_size, target, CAST(sum(served) AS BIGINT) AS taken, CAST(coalesce(min(CASE WHEN served > 0 THEN ahead END), -1) AS BIGINT) AS first_word
         FROM a GROUP BY doc_id, source, k, size, source_size, target, before
     """,
+    "op6_chat_windows": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) r(i)),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, len(regexp_extract_all(text, '\w+|[^\w\s]')) + 4 AS n, string_split(text, '<') AS cut FROM t),
+        s AS (SELECT *, pos = 1 AND role = 'system' AS sys, length('<|im_start|>') + length(role) + 1 + length(text) + length('<|im_end|>') + 1
+                   + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+                   + len(list_filter(cut, lambda x, i: i > 1 AND (starts_with(x, '|') OR starts_with(x, '/') OR starts_with(x, 'S') OR starts_with(x, 's>') OR (x = '' AND i < len(cut))))) AS chars FROM p),
+        b AS (SELECT *, CAST(NOT sys AND n > 256 AS BIGINT) AS big, CASE WHEN sys THEN 0 ELSE n END AS m FROM s),
+        a AS (SELECT *, coalesce(sum(m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, 2 * coalesce(sum(big) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + big AS seg0,
+                     max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_n FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+        g AS (SELECT *, CASE WHEN sys THEN coalesce(lead(seg0) OVER (PARTITION BY conv_id ORDER BY pos), 0) ELSE seg0 END AS seg FROM a),
+        c AS (SELECT *, floor((pre - min(pre) OVER (PARTITION BY conv_id, seg)) / greatest(1024 - sys_n - 448, 256)) AS span FROM g),
+        d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY seg, span) AS win FROM c),
+        f AS (SELECT conv_id, win, arg_min(pre, pos) AS at0, sum(chars) AS own FROM d GROUP BY 1, 2),
+        h AS (SELECT f.conv_id, f.win, f.own, coalesce(sum(d.chars), 0) AS past FROM f LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND ((NOT d.sys AND d.pre BETWEEN f.at0 - 192 AND f.at0 - 1) OR (d.sys AND f.win > 1)) GROUP BY 1, 2, 3),
+        z AS (SELECT conv_id, sum(own + past) AS formatted_chars FROM h GROUP BY 1),
+        y AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY 1)
+        SELECT y.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM y JOIN z ON y.conv_id IS NOT DISTINCT FROM z.conv_id
+    """,
+    "op8_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * m >= 4 * (x.n + y.n - m)),
+        r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT b, c FROM r JOIN l ON a = doc_id)
+        SELECT doc_id, min(c) AS class_id, doc_id = min(c) AS kept FROM r GROUP BY 1
+    """,
     "op10_grace_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
