@@ -94,6 +94,26 @@ SQL = {
         p AS (SELECT *, row_number() OVER (ORDER BY fraction, source NULLS LAST, k) - 1 AS pos, count(*) OVER () AS total FROM f)
         SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'rows' AS law, CAST(pos * 8 // total AS INT) AS shard, CAST(pos - ((pos * 8 // total) * total + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, source, fraction FROM p
     """,
+    "op3_merkle_fingerprints": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        n AS (SELECT doc_id, text, coalesce(lead(text) OVER o, first_value(text) OVER o) AS nxt, length(text) // 4 AS q FROM d WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        v AS (SELECT doc_id, 'own' AS kind, text FROM n UNION ALL SELECT doc_id, 'edited', substr(text, 1, length(text) - q) || substr(nxt, 1, q) FROM n),
+        s AS (SELECT doc_id, kind, text, list_concat(regexp_extract_all(text, '(?:[^\n]|\n[^\n])*?\n\n+|(?s:.+)'), CASE WHEN text = '' OR suffix(text, chr(10) || chr(10)) THEN [''] ELSE [] END) AS s FROM v),
+        p AS (SELECT doc_id, kind, text, list_transform(s, lambda x: list_transform(list_concat(regexp_extract_all(x, '[^\n]*\n+|[^\n]+'), CASE WHEN x = '' OR suffix(x, chr(10)) THEN [''] ELSE [] END),
+              lambda y: list_transform(regexp_extract_all(y, '(?:[^ \t\n\x0B\f\r.!?]+[ \t\n\x0B\f\r]*){1,12}[.!?]*[ \t\n\x0B\f\r]*|[.!?]+[ \t\n\x0B\f\r]*|[ \t\n\x0B\f\r]+'), lambda z: sha256(z)))) AS t FROM s),
+        h AS (SELECT doc_id, kind, text, list_transform(t, lambda x: list_transform(x, lambda y: {'h': sha256('paragraph' || coalesce(array_to_string(y, ''), '')), 'l': list_transform(y, lambda z: z[1:8])})) AS t FROM p),
+        g AS (SELECT doc_id, kind, text, list_transform(t, lambda x: {'h': sha256('section' || array_to_string(list_transform(x, lambda y: y.h), '')), 'p': x}) AS t FROM h),
+        r AS (SELECT doc_id, kind, text, t, sha256('root' || array_to_string(list_transform(t, lambda x: x.h), '')) AS root, list_distinct(flatten(list_transform(t, lambda x: flatten(list_transform(x.p, lambda y: y.l))))) AS l,
+              array_to_string(list_transform(t, lambda x: x.h[1:8] || '(' || array_to_string(list_transform(x.p, lambda y: y.h[1:8] || '=' || coalesce(array_to_string(y.l, '.'), '')), ',') || ')'), ';') AS shown FROM g),
+        a AS (SELECT *, lead(root) OVER o AS root1, first_value(root) OVER o AS root0, lead(l) OVER o AS l1, first_value(l) OVER o AS l0 FROM r WHERE kind = 'own' WINDOW o AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+        j AS (SELECT a.doc_id, length(a.text) AS n_chars, sha256(e.text) AS edited_sha256, a.root || '|' || a.shown AS fingerprint, e.root || '|' || e.shown AS edited_fingerprint, a.root, e.root AS er, coalesce(root1, root0) AS nr, a.l, e.l AS el, coalesce(l1, l0) AS nl,
+              list_transform(a.t, lambda x: x.h) AS ks, flatten(list_transform(a.t, lambda x: list_transform(x.p, lambda y: y.h))) AS kp, e.t AS et FROM a JOIN r e ON e.kind = 'edited' AND e.doc_id = a.doc_id)
+        SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+               CASE WHEN root = er THEN 1.0 WHEN len(l) + len(el) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(l, el)) / (len(l) + len(el)) END::DOUBLE AS near_edited,
+               CASE WHEN root = nr THEN 1.0 WHEN len(l) + len(nl) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(l, nl)) / (len(l) + len(nl)) END::DOUBLE AS near_next,
+               CAST(coalesce(len(list_filter(flatten(list_transform(list_filter(et, lambda x: NOT list_contains(ks, x.h)), lambda x: list_transform(x.p, lambda y: y.h))), lambda y: NOT list_contains(kp, y))), 0) AS INT) AS n_edits
+        FROM j
+    """,
     "op4_repeated_substrings": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
         w AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)),
