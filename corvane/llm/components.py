@@ -14,24 +14,24 @@ def _toward(edges: DataFrame, ends: DataFrame) -> DataFrame:
     return edges.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one at most, and none if a larger one has an edge to it."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 OR (down > 0 AND up > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its least node.
 
     A large star links each larger neighbour of a node to the node's least neighbour, a small
-    star each smaller one and the node itself. Rounds end when no edge changes; their number grows
+    star each smaller one and the node itself. Rounds end when all edges are stars; their number grows
     with the logarithm of the longest chain.
     """
     e = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = lambda d: tuple(d.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum((F.xxhash64("v", "u") % 1000003).cast("long"))).first())
-    seen = mark(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward(both, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _toward(large, large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         e = written(small, "edges")
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
