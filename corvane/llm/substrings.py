@@ -30,7 +30,7 @@ from .textarrays import Chunk, chunks
 #: Bytes of a string, and of a gram.
 LENGTH, GRAM = 100, 32
 #: Bytes of fragments whose suffixes are sorted together; those of one anchor always are.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 3 << 19
 NO_ID = -(2**63)
 
 
