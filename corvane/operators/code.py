@@ -63,3 +63,11 @@ def context(lines: DataFrame, hit: Column, around: int = 3, most: int = 50) -> D
 def resolved_calls(candidates: DataFrame) -> DataFrame:
     """(src, dst, confidence, reason): of all ways to resolve a call the one with most confidence, the first named of equals."""
     return candidates.groupBy("src", "dst").agg(F.max("confidence").alias("confidence"), F.min_by("reason", F.struct(-F.col("confidence"), F.col("reason"))).alias("reason"))
+
+
+def conforms(name: Column, language: Column, label: Column) -> Column:
+    """Whether a name keeps its language's rule; null for a language without one. Functions that begin with _ or @ are left out as null."""
+    ok = F.lit(None).cast("boolean")
+    for lang, rule in W.FUNCTION_NAMES.items():
+        ok = F.when(language == lang, F.when(label == "Class", name.rlike(W.CLASS_NAME)).otherwise(name.rlike(rule))).otherwise(ok)
+    return F.when((label == "Class") | ~name.rlike("^[_@]"), ok)

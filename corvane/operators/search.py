@@ -122,3 +122,23 @@ def diversified(scored: DataFrame, group: str, most: int, k: int, score: str = "
     """The best k rows with at most `most` of a group, ties by id."""
     w = Window.partitionBy(group).orderBy(F.round(score, 9).desc(), "id")
     return scored.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r").orderBy(F.round(score, 9).desc(), "id").limit(k)
+
+
+def contradictions(texts: DataFrame, id_col: str, text_col: str, least: float = 0.3) -> DataFrame:
+    """(a, b, pair, sim) of texts that speak against each other: one has a word, the other what negates it, and a's tokens lie in b by `least` or more.
+
+    Only texts with either side of a negation pair take part. Of these, a shares with b at least one of its rarest tokens, all but
+    the `least` of its token count, so candidates come from an equi-join on such tokens and the pair.
+    """
+    low = F.lower(F.col(text_col))
+    sides = F.array_compact(F.array(*[F.when(low.contains(s), F.struct(F.lit(i).alias("pair"), F.lit(k).alias("side"))) for i, p in enumerate(W.NEGATION_PAIRS) for k, s in enumerate(p)]))
+    sided = texts.select(F.col(id_col).alias("id"), F.explode(sides).alias("s")).select("id", "s.pair", "s.side")
+    c = counts(texts, id_col, text_col).join(sided.select("id").distinct(), "id", "left_semi")
+    ordered = Window.partitionBy("id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("n").over(ordered), F.lit(0))
+    rare = c.join(document_frequency(c), "token").withColumns({"before": before, "total": F.sum("n").over(Window.partitionBy("id"))}).where(F.col("before") <= F.col("total") * (1 - least) + 1e-9)
+    a = rare.select(F.col("id").alias("a"), "token").join(sided.where("side = 0").select(F.col("id").alias("a"), "pair"), "a")
+    b = c.select(F.col("id").alias("b"), "token").join(sided.where("side = 1").select(F.col("id").alias("b"), "pair"), "b")
+    pairs = a.join(b, ["token", "pair"]).where("a <> b").select("a", "b", "pair").distinct()
+    sims = containment(pairs.select("a", "b").distinct(), c, c).where(F.col("sim") >= least - 1e-12)
+    return pairs.join(sims, ["a", "b"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as A
 from ..operators import collections as C
-from .base import query, read, rounded
+from .base import query, read
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lang = 'en' AND source = 'src0'")

@@ -203,13 +203,8 @@ _NAMES = f"n AS (SELECT c_custkey, {_NAME} AS name, {_LANG} AS lang FROM custome
 
 
 def _names(spark, sf_dir):
-    from ..functions import words as W
-
     n = read(spark, sf_dir, "customer").select("c_custkey", F.expr(_NAME).alias("name"), F.expr(_LANG).alias("lang"))
-    ok = F.lit(None).cast("boolean")
-    for lang, rule in W.FUNCTION_NAMES.items():
-        ok = F.when(F.col("lang") == lang, F.col("name").rlike(rule)).otherwise(ok)
-    return n.withColumn("ok", ok)
+    return n.withColumn("ok", C.conforms(F.col("name"), F.col("lang"), F.lit("Function")))
 
 
 @query(f"WITH {_NAMES} SELECT lang, count(*) AS total, count(*) FILTER (ok) AS conforming, round(count(*) FILTER (ok) / count(*), 2) AS share FROM k GROUP BY 1")

@@ -132,3 +132,9 @@ def test_folds_merge_and_cluster(spark):
     d = spark.createDataFrame([(i, "bug", "main", f"null pointer in parser case {i}") for i in range(6)] + [(9, "todo", "main", "write docs")], "id long, category string, branch string, content string")
     rows = {r.leader: r for r in compressed(d).collect()}
     assert rows[0].members == list(range(6)) and rows[9].members == [9]
+
+
+def test_contradictions(spark):
+    rows = [(1, "always use tabs in go files"), (2, "never use tabs in go files"), (3, "always brush your teeth"), (4, "enable the cache for search"), (5, "disable the cache for search"), (6, "plain")]
+    got = {(r.a, r.b) for r in S.contradictions(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
+    assert (1, 2) in got and (4, 5) in got and not any(3 in p or 6 in p for p in got)
