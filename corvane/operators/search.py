@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..functions.text import tokens
 
 
-def counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, n): how often each token occurs in each text."""
-    return df.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+def counts(df: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """(id, token, n): how often each token occurs in each text; only some tokens if named, which are sorted out where the text lies."""
+    found = tokens(F.col(text_col))
+    if only is not None:
+        found = F.filter(found, lambda t: t.isin(only))
+    return df.select(F.col(id_col).alias("id"), F.explode(found).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
 def top_concepts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
@@ -35,10 +39,8 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def query_weights(spark, text: str, synonyms: bool = True) -> DataFrame:
-    """(token, w) of a query: counts, and synonyms that it lacks at 0.49 of the word's weight."""
-    import re
-
+def query_terms(text: str, synonyms: bool = True) -> dict[str, float]:
+    """Weights of a query's tokens: counts, and synonyms that it lacks at 0.49 of the word's weight."""
     w: dict[str, float] = {}
     for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ")):
         w[t] = w.get(t, 0.0) + 1.0
@@ -48,7 +50,12 @@ def query_weights(spark, text: str, synonyms: bool = True) -> DataFrame:
                 if t in group:
                     for other in group:
                         w.setdefault(other, 0.49 * w[t])
-    return spark.createDataFrame(sorted(w.items()) or [("", 0.0)], "token string, w double")
+    return w
+
+
+def query_weights(spark: SparkSession, terms: dict[str, float]) -> DataFrame:
+    """(token, w) of a query's terms."""
+    return spark.createDataFrame(sorted(terms.items()) or [("", 0.0)], "token string, w double")
 
 
 def sparse_scores(occurrences: DataFrame, weights: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:

@@ -39,11 +39,17 @@ def token_df_idf(spark, sf_dir):
     return S.document_frequency(S.counts(d, "doc_id", "text")).select("token", "df", rounded(S.idf(F.col("df"), d.count())).alias("idf"))
 
 
+def _sparse(spark, d):
+    """Scores of documents for the query; only its own tokens are counted and shuffled."""
+    terms = S.query_terms(ASK)
+    c = S.counts(d, "doc_id", "text", list(terms))
+    return S.sparse_scores(c, S.query_weights(spark, terms), S.document_frequency(c), d.count())
+
+
 @query(f"WITH {_SPARSE} SELECT id, round(score, 6) AS score FROM sparse")
 def sparse_overlap_score(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    c = S.counts(d, "doc_id", "text")
-    return S.sparse_scores(c, S.query_weights(spark, ASK), S.document_frequency(c), d.count()).select("id", rounded(F.col("score")).alias("score"))
+    return _sparse(spark, d).select("id", rounded(F.col("score")).alias("score"))
 
 
 @query()
@@ -158,8 +164,7 @@ _STREAMS = f"""{_SPARSE}, {MEM},
 def _fusion(spark, sf_dir):
     v, m, d = _vectors(spark, sf_dir), memories(spark, sf_dir), read(spark, sf_dir, "documents")
     dense = S.nearest(v, _probe(v), 30)
-    c = S.counts(d, "doc_id", "text")
-    sparse = S.sparse_scores(c, S.query_weights(spark, ASK), S.document_frequency(c), d.count())
+    sparse = _sparse(spark, d)
     best = [F.round("score", 9).desc(), F.col("id")]
     lists = {
         "kw": (S.ranked(m.where(F.lower("content").contains("the thth")).select("id"), [F.col("id")], 30), 0.4),
@@ -191,8 +196,7 @@ def diversify_per_group(spark, sf_dir):
 def graph_rrf_merge(spark, sf_dir):
     """Keyword ranks at 1 / (61 + rank) and graph hits at 1 / (61 + rank) + 0.5 / (1 + distance)."""
     d = read(spark, sf_dir, "documents")
-    c = S.counts(d, "doc_id", "text")
-    sparse = S.sparse_scores(c, S.query_weights(spark, ASK), S.document_frequency(c), d.count())
+    sparse = _sparse(spark, d)
     kw = S.ranked(sparse, [F.round("score", 9).desc(), F.col("id")], 20).select("id", (1 / (61 + F.col("rank"))).alias("s"))
     v = _vectors(spark, sf_dir).where("label < 3")
     g = S.ranked(v, [F.col("id")], 20).join(v.select("id", "label"), "id").select("id", (1 / (61 + F.col("rank")) + 0.5 / (1 + F.col("label"))).alias("s"))
