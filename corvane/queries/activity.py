@@ -143,9 +143,9 @@ def episodes_sessions(spark, sf_dir):
     return A.sessions(read(spark, sf_dir, "events"), "user_id", "ts", "5 minutes")
 
 
-@query("SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 3) AS avg_price, grouping(p_brand) + 2 * grouping(p_type) AS level FROM part GROUP BY CUBE (p_brand, p_type)")
+@query("SELECT p_brand, p_type, count(*) AS n, CAST(sum(CAST(round(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS cents, grouping(p_brand) + 2 * grouping(p_type) AS level FROM part GROUP BY CUBE (p_brand, p_type)")
 def cube_report(spark, sf_dir):
-    p = read(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 3).alias("avg_price"), (F.grouping("p_brand") + 2 * F.grouping("p_type")).cast("bigint").alias("level"))
+    p = read(spark, sf_dir, "part").cube("p_brand", "p_type").agg(F.count("*").alias("n"), F.sum(F.round(F.col("p_retailprice") * 100).cast("bigint")).alias("cents"), (F.grouping("p_brand") + 2 * F.grouping("p_type")).cast("bigint").alias("level"))
     return p
 
 

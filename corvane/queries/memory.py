@@ -125,12 +125,12 @@ def lesson_reinforce(spark, sf_dir):
     return g.agg(F.min("doc_id").alias("first_id"), n.alias("reinforced"), rounded(M.reinforced(n)).alias("confidence"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, 0.7::DOUBLE - CASE WHEN doc_id % 365 >= 7 THEN 0.05::DOUBLE * ((doc_id % 365) // 7) ELSE 0 END AS c FROM documents) SELECT doc_id, round(c, 6) AS confidence, c <= 0.1 + 1e-9 AS deleted FROM l""")
+@query(f"""WITH l AS (SELECT doc_id, 0.7::DOUBLE - CASE WHEN doc_id % 365 >= 7 THEN 0.05::DOUBLE * ((doc_id % 365) // 7) ELSE 0 END AS c FROM documents) SELECT doc_id, round(c, 6) + 0.0 AS confidence, c <= 0.1 + 1e-9 AS deleted FROM l""")
 def lesson_decay(spark, sf_dir):
     """A lesson loses 0.05 for every full week without reinforcement and is deleted at 0.1."""
     weeks = F.floor(F.col("doc_id") % 365 / 7)
     c = 0.7 - F.when(F.col("doc_id") % 365 >= 7, 0.05 * weeks).otherwise(0.0)
-    return read(spark, sf_dir, "documents").select("doc_id", rounded(c).alias("confidence"), (c <= 0.1 + 1e-9).alias("deleted"))
+    return read(spark, sf_dir, "documents").select("doc_id", (rounded(c) + 0.0).alias("confidence"), (c <= 0.1 + 1e-9).alias("deleted"))
 
 
 @query("SELECT event_id, round(0.9::DOUBLE * pow(0.995::DOUBLE, date_diff('day', CAST(ts AS DATE), DATE '2024-02-15')), 6) AS confidence FROM events WHERE event_type = 'error'")
