@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def top_per_group(counts: DataFrame, group: str, value: str, tie: str, k: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(F.desc(value), tie)
-    return counts.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return counts.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)
 
 
 def instability(changes: DataFrame, key: str, ts: str, as_of: str, k: int) -> DataFrame:

@@ -50,14 +50,14 @@ def findings(lines: DataFrame, rules: list[tuple[str, str, str, str]] = W.SECURI
 
 def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, line, text) with lines from 1."""
-    return df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "text")).withColumn("line", (F.col("line") + 1).cast("bigint"))
 
 
 def context(lines: DataFrame, hit: Column, around: int = 3, most: int = 50) -> DataFrame:
     """Lines within `around` of a line that hits, the first `most` of each text."""
     w = Window.partitionBy("id").orderBy("line")
     near = F.max(hit.cast("int")).over(w.rowsBetween(-around, around)) == 1
-    return lines.withColumn("near", near).where("near").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).drop("near")
+    return lines.withColumn("near", near).where("near").withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= most).drop("near")
 
 
 def resolved_calls(candidates: DataFrame) -> DataFrame:

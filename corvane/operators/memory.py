@@ -37,7 +37,7 @@ def budgeted(rows: DataFrame, by: list[str], order: list[Column], size: Column,
 
 def last_rows(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group in the order, with their place."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col("place") <= n)
 
 
 def sweep(memories: DataFrame, as_of: float, most: int = 200) -> DataFrame:

@@ -26,7 +26,7 @@ def top_concepts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataF
     t = df.select(id_col, F.explode(found).alias("concept")).where((F.length("concept") >= 3) & ~F.col("concept").isin(W.STOP_WORDS))
     t = t.groupBy(id_col, "concept").agg(F.count("*").alias("tf"))
     w = Window.partitionBy(id_col).orderBy((F.col("tf") * (10 + F.length("concept"))).desc(), F.col("concept").desc())
-    return t.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return t.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def document_frequency(occurrences: DataFrame) -> DataFrame:

@@ -54,4 +54,4 @@ def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, least: float = 0.
 
     cells = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(cell, "query bigint, id bigint, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return cells.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return cells.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)

@@ -100,7 +100,7 @@ def working_context(spark, sf_dir):
     SELECT * FROM r UNION ALL SELECT * FROM (SELECT 'regression', event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS p FROM events WHERE event_type = 'error' QUALIFY p <= 1) UNION ALL SELECT * FROM (SELECT 'step', o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS p FROM orders WHERE o_orderstatus = 'O' QUALIFY p <= 1)""")
 def recall_compact(spark, sf_dir):
     """The three best memories, the last regression and the next step."""
-    top = lambda d, name, key, order, k: d.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order))).select(F.lit(name).alias("section"), F.col(key).alias("id"), "place")
+    top = lambda d, name, key, order, k: d.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select(F.lit(name).alias("section"), F.col(key).alias("id"), "place")
     m = top(_scored(spark, sf_dir), "memory", "id", [F.round("retention", 9).desc(), F.col("id")], 3)
     e = top(read(spark, sf_dir, "events").where("event_type = 'error'"), "regression", "event_id", [F.desc("ts"), F.desc("event_id")], 1)
     o = top(read(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), "step", "o_orderkey", [F.col("o_orderdate"), F.col("o_orderkey")], 1)
