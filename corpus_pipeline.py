@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import table, written
 from corvane.llm.exact_dedup import exact_groups
 from corvane.llm.mixing import mix
-from corvane.llm.near_dedup import near_groups
+from corvane.llm.near_dedup import near_rows, text_sha
 from corvane.llm.packing import pack
 from corvane.llm.quality import passed, train
 
@@ -31,9 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id."""
-    own = near_groups(docs).where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(own, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each class of near copies the document with the least id; rows are told apart by id and text, as ids may be null or repeated."""
+    own = near_rows(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_sha(docs["text"]) == F.col("_sha"))
+    return docs.join(own, same, "left_semi").withColumn("_text_sha256", text_sha(F.col("text"))).dropDuplicates(["doc_id", "_text_sha256"]).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,7 +95,7 @@ def sketches(owner: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m:
     return holds.reshape(n, m)
 
 
-_SKETCH = "doc bigint, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
+_SKETCH = "id bigint, sha string, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
 
 
 def _bands(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -132,10 +132,9 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             with np.errstate(over="ignore"):
                 total = lambda x: np.add.reduceat(np.append(x, np.uint64(0)), np.minimum(np.searchsorted(owner, np.arange(n)), len(x))) * (sizes > 0)
                 d1, d2 = total(mix(ids * _ODD[4])), total(mix(ids * _ODD[5] + _ODD[6]))
-            docs = b[0].slice(c.lo, n).fill_null(NO_ID)
             yield pa.record_batch(
-                [docs, pa.array(d1.astype(np.uint64).view(np.int64)), pa.array(d2.astype(np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([k if s else k[:0] for k, s in zip(keys, sizes)], pa.list_(pa.int64())), pa.array(list(_short(unit)), pa.list_(pa.int64()))],
-                names=["doc", "d1", "d2", "n", "bands", "sketch"],
+                [b[0].slice(c.lo, n), b[2].slice(c.lo, n), pa.array(d1.astype(np.uint64).view(np.int64)), pa.array(d2.astype(np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([k if s else k[:0] for k, s in zip(keys, sizes)], pa.list_(pa.int64())), pa.array(list(_short(unit)), pa.list_(pa.int64()))],
+                names=["id", "sha", "d1", "d2", "n", "bands", "sketch"],
             )
 
 
@@ -162,10 +161,11 @@ def _close(bands: int, rows: int) -> Column:
     return (5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")) & (differ <= DIFFER)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose complete shingle sets have a Jaccard similarity of 0.8 or more."""
-    own = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    sets = texts.join(own, "doc", "left_semi").mapInArrow(_shingles, _SHINGLES)
+def _verified(pairs: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose complete shingle sets have a Jaccard similarity of 0.8 or more; own names the text (id, sha) of each doc."""
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    ends = own.select("doc", "id", "sha").join(ends, "doc", "left_semi")
+    sets = texts.join(ends, ["id", "sha"]).select("doc", "text").mapInArrow(_shingles, _SHINGLES)
     sets = written(sets.groupBy("doc").agg(F.min("ids").alias("ids")), "near-sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("ids").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -194,23 +194,35 @@ def _to_centres(members: DataFrame, c: int) -> DataFrame:
     return p.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
 
 
+def text_sha(text: Column) -> Column:
+    """Digest of a text; null is as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, kept for every row of docs: classes are what links of 0.8 or more connect.
+    """doc_id, class_id, kept of near_rows."""
+    return near_rows(docs, bands, rows, id_col, text_col).select("doc_id", "class_id", "kept")
+
+
+def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_sha256, class_id, kept for every row of docs: classes are what links of 0.8 or more connect.
 
     Words are runs of other than ASCII white space in lower case. A text without words, null included, is
     a near copy of every other such and of nothing else; one of one to four words of those with
     the same words. Documents with equal shingle sets are joined before anything is compared.
-    class_id is the least id of a class and its document is kept; of rows that repeat an id, one.
-    Rows that repeat an id with another text are one document to the classes. A null id sorts first.
+    Classes are of texts, whatever their ids: each distinct shingle set has a number of its own, in the order of its
+    least id and then digest. class_id is the least id of a class and exactly one row with it is kept, of
+    several the one with the least digest. A null id sorts first; classes with null ids are apart though their class_id is null.
 
     Buckets of a band's value are not expanded into pairs. In each round their members are
     compared with one centre, which joins groups of copies at a cost linear in their size; buckets
     that then still hold several classes are compared across classes, pair by pair, so no link that the
     bands propose is lost. Sketches sort out most pairs in the join itself.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), F.lower(F.col(text_col).cast("string")).alias("text"))
-    sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH), "near-sketches")
-    own = written(sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*"), "near-distinct")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), text_sha(F.col(text_col)).alias("sha"))
+    sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    own = sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "sha", "row", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*")
+    own = written(own.orderBy("id", "sha").withColumn("doc", F.monotonically_increasing_id()), "near-distinct")  # written once, so numbers hold
     each = own.select("doc", F.explode("bands").alias("key"))  # the key of a bucket holds the number of its band
     size = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = written(each.join(size, "key"), "near-buckets")
@@ -225,7 +237,7 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
         near = pairs.join(x, F.col("a._a") == pairs["a"]).join(y, F.col("b._b") == pairs["b"]).where(_close(bands, rows))
         near = written(near.select(F.col("a._a").alias("a"), F.col("b._b").alias("b")), "near-pairs")
         tested = near if tested is None else tested.union(near)
-        links = _more(links, _verified(near, texts))
+        links = _more(links, _verified(near, texts, own))
         joined = components(links)
 
     rest = written(_mixed(buckets, joined).join(own.select("doc", "n", "sketch", "bands"), "doc"), "near-rest")
@@ -233,9 +245,12 @@ def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: s
     across = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & _close(bands, rows) & once)
     left = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).join(tested, ["a", "b"], "left_anti"), "near-pairs")
     if not left.isEmpty():
-        joined = components(_more(links, _verified(left, texts)))
+        joined = components(_more(links, _verified(left, texts, own)))
 
-    classes = own.select("d1", "d2", "n", F.col("doc").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("class"))
-    all_rows = sketched.select("doc", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
+    heads = own.select(F.col("doc").alias("component"), F.col("id").alias("class")).join(joined.select("component").distinct(), "component")
+    of = joined.join(heads, "component").select(F.col("node").alias("doc"), "component", "class")
+    head = F.when(F.coalesce("component", "doc") == F.col("doc"), F.col("row"))
+    classes = own.select("d1", "d2", "n", "doc", "id", "row").join(of, "doc", "left").select("d1", "d2", "n", F.coalesce("class", "id").alias("class"), head.alias("head"))
+    all_rows = sketched.select("id", "sha", "row", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
     real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return all_rows.select(real("doc").alias("doc_id"), real("class").alias("class_id"), (F.col("doc") == F.col("class")).alias("kept"))
+    return all_rows.select(real("id").alias("doc_id"), F.col("sha").alias("text_sha256"), real("class").alias("class_id"), F.col("row").eqNullSafe(F.col("head")).alias("kept"))

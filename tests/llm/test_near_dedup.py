@@ -1,10 +1,11 @@
+import hashlib
 from collections import Counter, defaultdict
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
 
-from corvane.llm.near_dedup import near_groups, shingles, sketches
+from corvane.llm.near_dedup import near_groups, near_rows, shingles, sketches
 from corvane.llm.textarrays import chunks
 from llm import cases
 
@@ -72,6 +73,24 @@ def test_odd_rows(spark):
     assert got[4] == got[5] == {None} and got[10] == {10} and got[12] == {12}
 
 
+def repeated_ids():
+    """Clean texts that share a null or repeated id, and near copies of some under ids of their own."""
+    text = lambda k: " ".join(f"t{k}w{i}" for i in range(120))
+    docs = [(None, text(k)) for k in range(6)] + [(7, text(k)) for k in range(6, 10)] + [(7, text(6)), (None, text(0)), (None, None), (8, "")]
+    return docs + [(20 + k, text(k).replace(f"t{k}w60", "other")) for k in range(10)]
+
+
+def test_texts_of_null_and_repeated_ids_are_apart(spark):
+    docs = repeated_ids()
+    rows = near_rows(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert len(rows) == len(docs)
+    kept = Counter((r.doc_id, r.text_sha256) for r in rows if r.kept)
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert kept == Counter({(i, sha(t)) for i, t in docs[:10]} | {(None, sha(None))})
+    want = {20 + k: None if k < 6 else 7 for k in range(10)} | {8: None, 7: 7, None: None}
+    assert all(r.class_id == want[r.doc_id] for r in rows)
+
+
 def test_registers_agree_with_probability_jaccard():
     n, m = 200, 192
     shared, own = 60, 40

@@ -5,7 +5,7 @@ from collections import Counter
 import corpus_pipeline as P
 from corvane.llm.common import written
 from llm import cases
-from llm.test_near_dedup import closure, word_sets
+from llm.test_near_dedup import closure, repeated_ids, word_sets
 
 
 def test_stages_on_real_tables(spark, sf_dir):
@@ -48,5 +48,12 @@ def test_odd_rows_go_through(spark, sf_dir):
     assert len(exact) == len({hashlib.sha256((r[1] or "").encode()).hexdigest() for r in cases.rows()})
 
 
+def test_near_keeps_each_text_of_null_and_repeated_ids(spark, sf_dir):
+    docs = repeated_ids()
+    d = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = Counter((r.doc_id, r.text or "") for r in P.near(spark, d, sf_dir).collect())
+    assert got == Counter({(i, t) for i, t in docs[:10]} | {(None, "")})
+
+
 def test_run(spark, sf_dir):
     assert P.run(spark, sf_dir).where("length > 1024").count() == 0
