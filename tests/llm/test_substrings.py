@@ -50,6 +50,19 @@ def test_odd_rows(spark):
     assert repeats_removed(cases.none(spark)).count() == 0
 
 
+@pytest.mark.parametrize("room", [500, 3 << 20])
+def test_texts_of_null_and_repeated_ids_are_apart(spark, room):
+    rng = np.random.default_rng(2)
+    own = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    a, b = own(150), own(130)
+    docs = [(None, own(50) + a + own(40)), (None, own(20) + a + own(300)), (None, own(500)), (None, None), (4, own(300)), (4, own(10) + b + b), (4, own(33) + b + own(70)), (5, own(200) + a)]
+    docs += [docs[2], (9, docs[1][1])]
+    rows = repeats_removed(spark.createDataFrame(docs, "doc_id bigint, text string"), room=room).collect()
+    key = lambda i, t: (-1 if i is None else i, hashlib.sha256((t or "").encode()).hexdigest())
+    want = brute([(key(i, t), t or "") for i, t in sorted(set(docs), key=lambda x: key(*x))], 100)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted((key(i, t)[0], *want[key(i, t)]) for i, t in docs)
+
+
 def test_suffix_order_and_common_prefixes():
     rng = np.random.default_rng(0)
     for _ in range(150):
