@@ -17,15 +17,17 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "guess")
-#: Credential contexts: a name, a sign and a value up to white space or its closing quote; a user and password in a URL; an authorization header.
+#: Credential contexts: a name, which may end any identifier, a sign and a value up to white space or its closing quote; a user and password in a URL; an authorization header.
 CONTEXT = re.compile(
-    r"""(?<![a-z0-9])(?:[a-z0-9]{1,32}[_-])?(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api_?key|access_?key|auth)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api_?key|access_?key|auth)["']?\x20*(?::=|=>|[:=])\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;]+))"""
     r"""|[a-z][a-z0-9+.-]{0,19}://[^\s:@/]{1,64}:([^\s@/]+)@"""
     r"""|authorization\x20*:\x20*(?:bearer|basic)\x20+(\S+)""",
     re.IGNORECASE | re.ASCII,
 )
 #: A value with so many bits or more is a secret.
 BITS = 40.0
+#: No name in CONTEXT is longer.
+NAME = 16
 _NAMED = re.compile(r"pass|pwd|secret|token|credential|key|auth|://", re.IGNORECASE | re.ASCII)
 
 
@@ -39,11 +41,15 @@ def guess_spans(text: str, bits: float = BITS, words: tuple[str, ...] = COMMON_W
     """Values in a credential context whose cheapest segmentation takes 2**bits guesses or more."""
     found = []
     if _NAMED.search(text):
-        for m in CONTEXT.finditer(text):
+        at = 0
+        while m := CONTEXT.search(text, at):
             k = m.lastindex
             cost = segments(m[k], words)[0]
+            at = m.end()
             if cost >= bits:
                 found.append(("guess", m.start(k), m.end(k), cost))
+            elif at == m.end(k):  # what seemed an easy value may be the name of the next one
+                at = max(m.start(k), at - NAME)
     return found
 
 

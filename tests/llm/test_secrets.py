@@ -29,6 +29,18 @@ def test_weak_values_are_cheap(value, kind):
     assert guess_spans(f"passphrase: {value}") == []
 
 
+@pytest.mark.parametrize("name", ["dbPassword", "clientSecret", "userPassword", "app.dbPassword", "my_long-serviceToken", "x" * 200 + "Secret", "password", "db_password"])
+def test_names_that_end_in_a_keyword(name):
+    value = "x9$Kq!v2@Lm"
+    for text in (f'{name} = "{value}"', f"{name}: '{value}'", f"{name}={value} end"):
+        assert [text[a:b] for _, a, b, _ in guess_spans(text)] == [value]
+
+
+def test_an_easy_value_may_be_a_name():
+    text = 'bypass: secret = "x9$Kq!v2@Lm" compass: north ' + "token:" * 20000
+    assert [text[a:b] for _, a, b, _ in guess_spans(text)][:1] == ["x9$Kq!v2@Lm"]
+
+
 def test_segments_cover_the_value_and_cost_no_more_than_brute_force():
     for value in ("x7$Kq9!zL2mP", "p@ssw0rd2020zz", "correct-horse-1987", "a", "ab" * 500):
         cost, found = segments(value)
