@@ -52,16 +52,18 @@ def fold(rows: Iterable[tuple[int, str]]) -> list[dict]:
     return out
 
 
-def compressed(memories: DataFrame, shard: str = "branch") -> DataFrame:
+def compressed(memories: DataFrame, shard: str | None = "branch") -> DataFrame:
     """(category, shard, leader, members, merged, pattern): the fold over each category of each shard, ordered by id.
 
-    The fold compares with all that is kept and its cost grows with the square of a shard's category, so shards must be
-    small, as a store is that is compressed beyond two hundred active memories.
+    Without a shard a category is folded over all its rows and the column is left out. The fold compares with all that is kept: a
+    category's rows are in one task, and its cost grows with their square.
     """
+    keys = {"category": "string"} | ({shard: "string"} if shard else {})
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         got = fold(zip(pdf["id"], pdf["content"].fillna("")))
-        return pd.DataFrame({"category": key[0], shard: key[1], "leader": [g["ids"][0] for g in got], "members": [g["ids"] for g in got], "merged": [g["merged"] for g in got], "pattern": [g["pattern"] for g in got]})
+        return pd.DataFrame(dict(zip(keys, key)) | {"leader": [g["ids"][0] for g in got], "members": [g["ids"] for g in got], "merged": [g["merged"] for g in got], "pattern": [g["pattern"] for g in got]})
 
-    return memories.select("id", "category", F.col(shard), "content").groupBy("category", shard).applyInPandas(one, f"category string, {shard} string, leader bigint, members array<bigint>, merged string, pattern array<string>")
+    schema = ", ".join(f"{k} {t}" for k, t in keys.items()) + ", leader bigint, members array<bigint>, merged string, pattern array<string>"
+    return memories.select("id", *keys, "content").groupBy(*keys).applyInPandas(one, schema)

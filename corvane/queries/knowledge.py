@@ -212,8 +212,7 @@ def audit_findings(spark, sf_dir):
 
 @query()
 def greedy_cluster_compress(spark, sf_dir):
-    """Memories of each category of a store, merged and clustered in order; a store holds 512 of a category."""
+    """Memories of each category, merged and clustered in order over the whole table."""
     from ..operators.compress import compressed
 
-    store = F.concat("branch", F.lit(":"), F.floor(F.col("id") / (512 * 7)).cast("string"))
-    return compressed(memories(spark, sf_dir).where(F.col("timestamp") <= AS_OF).withColumn("store", store), "store")
+    return compressed(memories(spark, sf_dir).where(F.col("timestamp") <= AS_OF), None)

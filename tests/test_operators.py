@@ -134,6 +134,18 @@ def test_folds_merge_and_cluster(spark):
     assert rows[0].members == list(range(6)) and rows[9].members == [9]
 
 
+def test_compress_query_folds_whole_categories(spark, tmp_path):
+    """Copies meet though their ids are far apart and their branches differ."""
+    from corvane.queries import QUERIES
+
+    same, other = "alpha beta gamma delta epsilon", "one two three four five"
+    docs = [(0, same, "a"), (7, other, "a"), (7000, same, "a"), (70000, same, "b"), (1, same, "a")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {tuple(r.members) for r in QUERIES["greedy_cluster_compress"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 7000, 70000), (7,), (1,)}
+
+
 def test_contradictions(spark):
     rows = [(1, "always use tabs in go files"), (2, "never use tabs in go files"), (3, "always brush your teeth"), (4, "enable the cache for search"), (5, "disable the cache for search"), (6, "plain")]
     got = {(r.a, r.b) for r in S.contradictions(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()}
