@@ -1,21 +1,27 @@
-"""Shared pieces of the training-data operators: written tables, seeded order and distributed ranks."""
+"""Shared pieces of the training-data operators: written tables, rows told apart, seeded order and distributed ranks."""
 
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Groups that a distributed rank or running sum is cut into, a power of 16.
-RANK_GROUPS = 4096
+#: Two numbers that tell every row of a table apart.
+ROW = ["__file", "__at"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the cluster names none (tests), a local one."""
+    """The folder that driver and executors share. Where the session names none, only a local master may use a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -36,31 +42,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with the columns ROW, which stay the same whenever and by whomever a row is read again.
+
+    A row of a Parquet table has them by its place: a 64-bit digest of its file's path, and its
+    number there. Any other table is written first, with numbers of its own.
+    """
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    except AnalysisException:
+        return written(df.select("*", F.lit(0).cast("bigint").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1])), "numbered")
+
+
 def shuffled_key(seed: str, *cols: str) -> Column:
     """32 hex digits that put rows into a seeded random order, the same in every engine that has MD5."""
     return F.md5(F.concat(F.lit(f"{seed}:"), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols]))
 
 
-def group_of(key: Column) -> Column:
-    """The rank group of a shuffled key: its first three hex digits. Groups are even, whatever the data."""
-    return F.conv(F.substring(key, 1, 3), 16, 10).cast("int")
+def ranged(df: DataFrame, order: list[Column], tag: str) -> DataFrame:
+    """df, written, with _g: the number of the range of the order that a row lies in.
+
+    Ranges are cut at sampled quantiles and their number is that of the shuffle partitions, so they are even where order
+    tells rows apart, whatever a single column holds.
+    """
+    return written(df.repartitionByRange(*order).withColumn("_g", F.spark_partition_id()), tag)
 
 
-def running(df: DataFrame, by: list[str], group: str, order: list[Column], value: Column, out: str, total: str) -> DataFrame:
-    """Adds the sum of value over all rows before this one, within by, in the order (group, order), and the sum over all rows of by.
+def running(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str, total: str) -> DataFrame:
+    """Adds the sum of value over all rows before this one, within by, in the order, and the sum over all rows of by.
 
-    No window spans a whole key: rows are ordered within (by, group) only, and the sums of
-    the groups before come from a table with one row a group. group must rise with order.
+    df comes from ranged, by an order that begins with by. No window spans a whole key: rows are ordered within
+    (by, _g) only, and the sums of the ranges before come from a table with one row a key and range.
     """
-    keys = [*by, group]
+    keys = [*by, "_g"]
     sums = df.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    ahead = Window.partitionBy(*by).orderBy(group).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*by).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"), F.sum("_sum").over(Window.partitionBy(*by)).alias(total))
     within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     both = df.join(sums, on=_all(same), how="inner")
-    return both.withColumn(out, F.col("_ahead") + F.col("_within")).drop("_within", "_ahead", *[f"_k{i}" for i in range(len(keys))])
+    return both.withColumn(out, F.col("_ahead") + F.col("_within")).drop("_within", "_ahead", "_g", *[f"_k{i}" for i in range(len(keys))])
 
 
 def _all(tests: list[Column]) -> Column:

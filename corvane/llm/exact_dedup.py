@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ROW, written
 
 #: Bytes of contents and row numbers that one table may hold before the rest is spilled.
 TABLE_BYTES = 48 << 20
@@ -108,7 +108,7 @@ def grace(records: Iterator[tuple[bytes, tuple]], room: int = TABLE_BYTES, fanou
 
     A record that finds its content in the table joins it. Once the table is full, other
     records go to spill files by a hash of this depth. The table holds one content at least,
-    so the recursion ends; copies of one content add only their row numbers.
+    so the recursion ends; copies of one content add only their rows' numbers.
     """
     kept, spills, folder = ContentTable(), [], None
     seen = 0
@@ -135,7 +135,7 @@ def grace(records: Iterator[tuple[bytes, tuple]], room: int = TABLE_BYTES, fanou
             shutil.rmtree(folder, ignore_errors=True)
 
 
-_LOCAL = "doc bigint, part bigint, rep bigint, lead boolean, n bigint, content binary"
+_LOCAL = "doc bigint, file bigint, at bigint, part bigint, rep bigint, lead boolean, n bigint, content binary"
 
 
 def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
@@ -144,25 +144,25 @@ def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBa
 
     def records():
         for b in batches:
-            ids = b[0].to_pylist()
-            for i, c in zip(ids, b[1].to_pylist()):
-                yield c or b"", (NO_ID if i is None else i,)
+            ids, files, ats = (b[i].to_pylist() for i in (0, 1, 2))
+            for i, f, a, c in zip(ids, files, ats, b[3].to_pylist()):
+                yield c or b"", (NO_ID if i is None else i, f, a)
 
     for t in grace(records(), room):
         for lo in range(0, len(t.contents), 2000):
             some = range(lo, min(lo + 2000, len(t.contents)))
-            docs = np.concatenate([np.frombuffer(t.rows[e], np.int64) for e in some])
-            sizes = np.array([len(t.rows[e]) for e in some])
+            docs = np.concatenate([np.frombuffer(t.rows[e], np.int64).reshape(-1, 3) for e in some])
+            sizes = np.array([len(t.rows[e]) // 3 for e in some])
             starts = np.cumsum(sizes) - sizes
             lead = np.zeros(len(docs), bool)
             content = [None] * len(docs)
             for e, s, n in zip(some, starts, sizes):
-                at = s + int(np.argmax(docs[s : s + n]))
+                at = s + int(np.argmax(docs[s : s + n, 0]))
                 lead[at] = True
                 content[at] = t.contents[e]
             yield pa.record_batch(
-                [pa.array(docs), pa.array(np.full(len(docs), part)), pa.array(np.repeat(np.arange(rep, rep + len(sizes)), sizes)), pa.array(lead), pa.array(np.repeat(sizes, sizes)), pa.array(content, pa.binary())],
-                names=["doc", "part", "rep", "lead", "n", "content"],
+                [*(pa.array(docs[:, k]) for k in range(3)), pa.array(np.full(len(docs), part)), pa.array(np.repeat(np.arange(rep, rep + len(sizes)), sizes)), pa.array(lead), pa.array(np.repeat(sizes, sizes)), pa.array(content, pa.binary())],
+                names=["doc", "file", "at", "part", "rep", "lead", "n", "content"],
             )
             rep += len(sizes)
 
@@ -200,14 +200,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of rows that repeat this id, one. A null id sorts before all others. Other columns
     are not read. No row is dropped; an empty table gives an empty result.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("content"))
+    return exact_rows(docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("bigint").alias(ROW[0]), F.lit(0).cast("bigint").alias(ROW[1]), F.col(text_col).alias("text")), room=room).drop(*ROW)
+
+
+def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = TABLE_BYTES) -> DataFrame:
+    """exact_groups of docs that come from numbered, with the columns ROW of each row."""
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), *ROW, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("content"))
     local = written(texts.mapInArrow(lambda b: _local(b, room), _LOCAL), "exact-local")
     distinct = local.where("lead").select("doc", "part", "rep", "n", "content")
     spread = distinct.repartition(F.xxhash64("content"), F.length("content"))
     classes = spread.mapInArrow(lambda b: _global(b, room), _GLOBAL)
-    members = local.select("doc", "part", "rep", "lead")
+    members = local.select("doc", F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), "part", "rep", "lead")
     null_id = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
     return (
         members.join(classes, ["part", "rep"])
-        .select(null_id("doc").alias("doc_id"), null_id("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("lead") & F.col("stays")).alias("kept"), F.col("sha").alias("text_sha256"))
+        .select(*ROW, null_id("doc").alias("doc_id"), null_id("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("lead") & F.col("stays")).alias("kept"), F.col("sha").alias("text_sha256"))
     )

@@ -2,9 +2,9 @@
 
 Each source serves its documents in a seeded random order, again from the start where its target
 exceeds its size. A document's virtual finish time is the source's words up to its end divided by
-the source's target; sorting all copies by it interleaves the sources at their weights, and the
-total budget is reached at virtual time 1. What is served then is the mix: a document in service
-at that moment counts with the words served so far.
+the source's target. All copies that begin before virtual time 1 are range-sorted by it, which interleaves the
+sources at their weights; words are counted along that order and the mix ends where the total budget is
+reached. A document still in service at virtual time 1 is offered with the words that time has seen of it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RANK_GROUPS, group_of, running, shuffled_key, written
+from .common import ranged, running, shuffled_key, written
 
 #: Words are runs of other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,7 +23,7 @@ def words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
-    """source, source_size, target from one row a source (source, source_size).
+    """source, source_size, target, and the budget of all, from one row a source (source, source_size).
 
     Sources by code point, null last, take the weights in turn. Targets share `share` of all
     sizes by weight; one above `most` times its source's size stops there and the excess is shared
@@ -38,35 +38,34 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     rest = F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing))
     budget = F.sum("source_size").over(everything) * F.lit(float(share))
     s = s.withColumn("_level", (budget - before) / rest)
-    return s.select("source", "source_size", F.least("_cap", F.max("_level").over(everything) * F.col("_w")).alias("target"))
+    ends = F.floor(F.sum("source_size").over(everything) * F.lit(float(min(share, most)))).cast("bigint")
+    return s.select("source", "source_size", F.least("_cap", F.max("_level").over(everything) * F.col("_w")).alias("target"), ends.alias("budget"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, seed: str = "mix") -> DataFrame:
-    """Every copy of a document that may be served: doc_id, source, size, source_size, target, pass, place, vstart, vfinish, served.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every document's first copy and all others that begin before virtual time 1: doc_id, source, row, size, source_size, target, pass, vstart, vfinish, ahead, taken.
 
-    place tells the rows of a source apart. served is the number of words that virtual time 1 has seen of the copy, from 0 to size. A
-    null or empty text has size 0 and is served nothing; a null source is a source; rows that
-    repeat an id are documents of their own. Sums over hash groups give the running words, so
-    no window spans a source. most bounds how often a document repeats.
+    row tells the rows of a source apart; columns named in keep stay. ahead is the number of words that the mix has before the copy, taken those it
+    has of it, from 0 to size; a copy that begins later has an ahead of null and nothing is taken of it. Words taken sum up to the
+    budget, floor(share x all sizes). A null or empty text has size 0 and nothing is taken; a null source is a
+    source; rows that repeat an id are documents of their own, in the order of their sizes. No window spans a source, and
+    ranges are cut where rows differ, so null ids or one repeated id stay spread. most bounds how often a document repeats.
     """
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
-    d = d.withColumn("_key", shuffled_key(seed, "doc_id")).withColumn("_g", group_of(F.col("_key")))
-    d = written(d, "mix")  # texts are read and counted once
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), *keep)
+    d = written(d.withColumn("_key", shuffled_key(seed, "doc_id")).withColumn("row", F.monotonically_increasing_id()), "mix")  # texts are read and counted once
     targets = source_targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    targets = targets.withColumnRenamed("source", "_source")
-    d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_g").orderBy("_key", "size")))
-    d = running(d, ["source"], "_g", [F.col("_nth")], F.col("size"), "_before", "_total")
+    shuffled = [F.col("_key"), F.col("size"), F.col("row")]
+    d = running(ranged(d, [F.col("source"), *shuffled], "mix"), ["source"], shuffled, F.col("size"), "_before", "_total")
+    targets = written(targets.withColumnRenamed("source", "_source"), "mix-targets")
     d = d.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    passes = F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1)))
-    d = d.withColumn("pass", passes)
+    d = d.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
     start = F.col("pass") * F.col("source_size") + F.col("_before")
-    served = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start)).cast("bigint")
     vtime = lambda x: F.when(F.col("target") > 0, x / F.col("target")).otherwise(F.lit(0.0))
-    return d.select("doc_id", "source", "size", "source_size", "target", "pass", "_key", F.struct("_g", "_nth").alias("place"), vtime(start).alias("vstart"), vtime(start + F.col("size")).alias("vfinish"), served.alias("served"))
-
-
-def in_order(copies: DataFrame) -> DataFrame:
-    """The copies in the order of the mix, with `ahead`: the words served before each. Range-sorted by virtual finish time."""
-    at = F.least("vfinish", F.lit(1.0))
-    c = copies.withColumn("_at", at).withColumn("_g", F.floor(at * RANK_GROUPS).cast("int"))
-    return running(c, [], "_g", [F.col("_at"), F.col("source").asc_nulls_last(), F.col("_key"), F.col("pass"), F.col("size")], F.col("served"), "ahead", "in_mix").drop("_at", "_g")
+    offered = F.greatest(F.lit(0), F.least(F.col("size"), F.ceil("target") - start)).cast("bigint")
+    d = d.withColumns({"vstart": vtime(start), "vfinish": vtime(start + F.col("size")), "_offered": offered})
+    d = written(d.where("pass = 0 OR vstart < 1").drop("_total", "_before"), "mix-copies")
+    order = [F.col("vfinish"), F.col("source").asc_nulls_last(), F.col("_key"), F.col("pass"), F.col("size"), F.col("row")]
+    served = running(ranged(d.where("vstart < 1"), order, "mix-order"), [], order, F.col("_offered"), "ahead", "_all").drop("_all")
+    out = served.unionByName(d.where("vstart >= 1"), allowMissingColumns=True)
+    taken = F.greatest(F.lit(0), F.least(F.col("_offered"), F.col("budget") - F.coalesce("ahead", "budget"))).cast("bigint")
+    return out.select("doc_id", "source", "row", *keep, "size", "source_size", "target", "pass", "vstart", "vfinish", "ahead", taken.alias("taken"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ROW, numbered, written
 from .components import components
 from .textarrays import SPACE, Chunk, chunks, mix
 
@@ -32,9 +32,9 @@ BANDS, ROWS = 48, 8
 #: Bits of a register that the short sketch keeps, and how many of its registers may differ before a pair is dropped
 #: unverified: at 0.8 a mean of 72 does, and 106 are 4.4 standard deviations above it.
 BITS, DIFFER = 4, 106
-#: Each round compares the members of buckets that hold several classes with one centre, the least id after this is
-#: XORed; what then still holds several is compared pair by pair.
-CENTRES = (0,)
+#: Rounds compare the members of buckets that hold several classes with one centre each, while the pairs that are left exceed
+#: this many a member and a round halves them. Pairs that are left then are compared in blocks of so many members.
+PAIRS, BLOCK = 64, 256
 #: Arrivals that a round draws at a time, over all shingles that are still drawing, and for one of them.
 ARRIVALS, OF_ONE = 200_000, 64
 NO_ID = -(2**63)
@@ -95,7 +95,7 @@ def sketches(owner: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m:
     return holds.reshape(n, m)
 
 
-_SKETCH = "id bigint, sha string, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
+_SKETCH = "id bigint, sha string, file bigint, at bigint, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
 
 
 def _bands(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -133,8 +133,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                 total = lambda x: np.add.reduceat(np.append(x, np.uint64(0)), np.minimum(np.searchsorted(owner, np.arange(n)), len(x))) * (sizes > 0)
                 d1, d2 = total(mix(ids * _ODD[4])), total(mix(ids * _ODD[5] + _ODD[6]))
             yield pa.record_batch(
-                [b[0].slice(c.lo, n), b[2].slice(c.lo, n), pa.array(d1.astype(np.uint64).view(np.int64)), pa.array(d2.astype(np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([k if s else k[:0] for k, s in zip(keys, sizes)], pa.list_(pa.int64())), pa.array(list(_short(unit)), pa.list_(pa.int64()))],
-                names=["id", "sha", "d1", "d2", "n", "bands", "sketch"],
+                [*(b[k].slice(c.lo, n) for k in (0, 2, 3, 4)), pa.array(d1.astype(np.uint64).view(np.int64)), pa.array(d2.astype(np.uint64).view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array([k if s else k[:0] for k, s in zip(keys, sizes)], pa.list_(pa.int64())), pa.array(list(_short(unit)), pa.list_(pa.int64()))],
+                names=["id", "sha", "file", "at", "d1", "d2", "n", "bands", "sketch"],
             )
 
 
@@ -162,11 +162,10 @@ def _close(bands: int, rows: int) -> Column:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose complete shingle sets have a Jaccard similarity of 0.8 or more; own names the text (id, sha) of each doc."""
+    """The pairs (a, b) whose complete shingle sets have a Jaccard similarity of 0.8 or more; own names the row of each doc's text."""
     ends = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    ends = own.select("doc", "id", "sha").join(ends, "doc", "left_semi")
-    sets = texts.join(ends, ["id", "sha"]).select("doc", "text").mapInArrow(_shingles, _SHINGLES)
-    sets = written(sets.groupBy("doc").agg(F.min("ids").alias("ids")), "near-sets")
+    ends = own.select("doc", "file", "at").join(ends, "doc", "left_semi")
+    sets = written(texts.join(ends, ["file", "at"]).select("doc", "text").mapInArrow(_shingles, _SHINGLES), "near-sets")
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("ids").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("ids").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -178,34 +177,51 @@ def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, joined: DataFrame | None) -> DataFrame:
-    """(key, doc, component) of the members of buckets that hold more than one component."""
-    if joined is None:
-        return buckets.select("key", "doc", F.col("doc").alias("component"))
-    member = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
-    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    """(key, doc, component, members) of the members of buckets that hold more than one component."""
+    member = buckets.withColumn("component", F.col("doc"))
+    if joined is not None:
+        member = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
     return member.join(mixed, "key")
 
 
-def _to_centres(members: DataFrame, c: int) -> DataFrame:
-    """Distinct pairs (a, b) of each bucket's centre, its least id after c is XORed, with its members of other components."""
-    x = F.col("doc").bitwiseXOR(F.lit(c))
-    centre = members.groupBy("key").agg(F.min(F.struct(x.alias("x"), "component")).alias("m")).select("key", F.col("m.x").bitwiseXOR(F.lit(c)).alias("centre"), F.col("m.component").alias("at"))
-    p = members.join(centre, "key").where("component <> at")
+def _centres(members: DataFrame) -> DataFrame:
+    """(key, centre, its component): the least member of each bucket."""
+    centre = members.groupBy("key").agg(F.min(F.struct("doc", "component")).alias("m"))
+    return centre.select("key", F.col("m.doc").alias("centre"), F.col("m.component").alias("home"))
+
+
+def _to_centres(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each bucket's centre with its members of other components."""
+    p = members.join(centres, "key").where("component <> home")
     return p.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
 
 
+def _across(rest: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket and different components that can be similar.
+
+    A bucket of many members is dealt over as many joins as it has blocks of BLOCK: each member meets the blocks one by one.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("bigint")
+    a = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))).alias("a")
+    b = rest.withColumn("block", F.pmod(F.xxhash64("doc"), blocks)).alias("b")
+    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")  # a pair of several buckets counts in one
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component"))
+    return a.join(b, same & _close(bands, rows) & once).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b"))
+
+
 def text_sha(text: Column) -> Column:
     """Digest of a text; null is as empty."""
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
 def near_groups(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, kept of near_rows."""
-    return near_rows(docs, bands, rows, id_col, text_col).select("doc_id", "class_id", "kept")
+    """doc_id, class_id, kept of near_rows, for any table."""
+    return near_rows(numbered(docs), bands, rows, id_col, text_col).select("doc_id", "class_id", "kept")
 
 
 def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_sha256, class_id, kept for every row of docs: classes are what links of 0.8 or more connect.
+    """ROW, doc_id, text_sha256, class_id, kept for every row of docs, which come from numbered: classes are what links of 0.8 or more connect.
 
     Words are runs of other than ASCII white space in lower case. A text without words, null included, is
     a near copy of every other such and of nothing else; one of one to four words of those with
@@ -215,22 +231,25 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
     several the one with the least digest. A null id sorts first; classes with null ids are apart though their class_id is null.
 
     Buckets of a band's value are not expanded into pairs. In each round their members are
-    compared with one centre, which joins groups of copies at a cost linear in their size; buckets
-    that then still hold several classes are compared across classes, pair by pair, so no link that the
+    compared with one centre, which joins groups of copies at a cost linear in their size and then leaves the bucket, as nothing about it
+    is open; what is left of buckets that hold several classes is compared across classes, block by block, so no link that the
     bands propose is lost. Sketches sort out most pairs in the join itself.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), text_sha(F.col(text_col)).alias("sha"))
-    sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH).withColumn("row", F.monotonically_increasing_id()), "near-sketches")
-    own = sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "sha", "row", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*")
-    own = written(own.orderBy("id", "sha").withColumn("doc", F.monotonically_increasing_id()), "near-distinct")  # written once, so numbers hold
+    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), text_sha(F.col(text_col)).alias("sha"), F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at"))
+    sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH), "near-sketches")
+    own = sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "sha", "file", "at", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*")
+    own = written(own.orderBy("id", "sha", "file", "at").withColumn("doc", F.monotonically_increasing_id()), "near-distinct")  # written once, so numbers hold
     each = own.select("doc", F.explode("bands").alias("key"))  # the key of a bucket holds the number of its band
     size = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = written(each.join(size, "key"), "near-buckets")
     short = own.select("doc", "n", "sketch").where("n > 0")
 
     tested = links = joined = None
-    for c in CENTRES:
-        pairs = _to_centres(_mixed(buckets, joined), c)
+    left = float("inf")
+    while True:
+        members = _mixed(buckets, joined)
+        centres = written(_centres(members), "near-centres")
+        pairs = _to_centres(members, centres)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         x, y = (short.select(F.col("doc").alias(f"_{k}"), "n", "sketch").alias(k) for k in "ab")
@@ -239,18 +258,25 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
         tested = near if tested is None else tested.union(near)
         links = _more(links, _verified(near, texts, own))
         joined = components(links)
-
-    rest = written(_mixed(buckets, joined).join(own.select("doc", "n", "sketch", "bands"), "doc"), "near-rest")
-    once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")  # a pair of several buckets counts in one
-    across = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.doc") < F.col("b.doc")) & (F.col("a.component") != F.col("b.component")) & _close(bands, rows) & once)
-    left = written(across.select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    if not left.isEmpty():
-        joined = components(_more(links, _verified(left, texts, own)))
+        buckets = buckets.join(centres.select("key", F.col("centre").alias("doc")), ["key", "doc"], "left_anti")
+        rest = written(_mixed(buckets, joined), "near-rest")
+        n, pairs_left = rest.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
+        if pairs_left <= PAIRS * n or 2 * pairs_left > left:
+            break
+        left, buckets = pairs_left, rest.select("key", "doc")
+
+    if n:
+        across = _across(rest.join(own.select("doc", "n", "sketch", "bands"), "doc"), bands, rows)
+        last = written(across.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        if not last.isEmpty():
+            joined = components(_more(links, _verified(last, texts, own)))
 
     heads = own.select(F.col("doc").alias("component"), F.col("id").alias("class")).join(joined.select("component").distinct(), "component")
     of = joined.join(heads, "component").select(F.col("node").alias("doc"), "component", "class")
-    head = F.when(F.coalesce("component", "doc") == F.col("doc"), F.col("row"))
-    classes = own.select("d1", "d2", "n", "doc", "id", "row").join(of, "doc", "left").select("d1", "d2", "n", F.coalesce("class", "id").alias("class"), head.alias("head"))
-    all_rows = sketched.select("id", "sha", "row", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
+    is_head = F.coalesce("component", "doc") == F.col("doc")
+    head = [F.when(is_head, F.col(c)).alias(f"head_{c}") for c in ("file", "at")]
+    classes = own.select("d1", "d2", "n", "doc", "id", "file", "at").join(of, "doc", "left").select("d1", "d2", "n", F.coalesce("class", "id").alias("class"), *head)
+    all_rows = sketched.select("id", "sha", "file", "at", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
     real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
-    return all_rows.select(real("id").alias("doc_id"), F.col("sha").alias("text_sha256"), real("class").alias("class_id"), F.col("row").eqNullSafe(F.col("head")).alias("kept"))
+    kept = F.col("file").eqNullSafe(F.col("head_file")) & F.col("at").eqNullSafe(F.col("head_at"))
+    return all_rows.select(F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), real("id").alias("doc_id"), F.col("sha").alias("text_sha256"), real("class").alias("class_id"), kept.alias("kept"))

@@ -53,11 +53,11 @@ def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import in_order, mix
+    from .mixing import mix
 
-    copies = in_order(mix(table(spark, sf_dir, "documents")))
-    docs = copies.groupBy("source", "place", "doc_id", "size", "source_size", "target").agg(F.sum("served").alias("taken"), F.coalesce(F.min(F.when(F.col("served") > 0, F.col("ahead"))), F.lit(-1)).alias("first_word"))
-    return docs.select("doc_id", "size", "source_size", "target", "taken", "first_word")
+    copies = mix(table(spark, sf_dir, "documents"))
+    docs = copies.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum("taken").alias("taken"), F.coalesce(F.min(F.when(F.col("taken") > 0, F.col("ahead"))), F.lit(-1)).alias("first_word"))
+    return docs.drop("row")
 
 
 def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,12 +132,13 @@ SQL = {
         w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
         l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
         t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM l) * w) AS target FROM l),
-        c AS (SELECT r.*, t.source_size, t.target, p, CAST(greatest(0, least(r.size, floor(t.target) - p * t.source_size - r.before)) AS BIGINT) AS served,
+        c AS (SELECT r.*, t.source_size, t.target, p, CAST(greatest(0, least(r.size, ceil(t.target) - p * t.source_size - r.before)) AS BIGINT) AS offered,
                      CASE WHEN t.target > 0 THEN (p * t.source_size + r.before + r.size) / t.target ELSE 0.0 END AS vfinish
               FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source, (VALUES (0), (1)) v(p)),
-        a AS (SELECT *, coalesce(sum(served) OVER (ORDER BY least(vfinish, 1.0), source NULLS LAST, k, p, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM c)
-        SELECT doc_id, size, source_size, target, CAST(sum(served) AS BIGINT) AS taken, CAST(coalesce(min(CASE WHEN served > 0 THEN ahead END), -1) AS BIGINT) AS first_word
-        FROM a GROUP BY doc_id, source, k, size, source_size, target, before
+        a AS (SELECT *, coalesce(sum(offered) OVER (ORDER BY vfinish, source NULLS LAST, k, p, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM c),
+        m AS (SELECT *, greatest(0, least(offered, (SELECT floor(sum(source_size) * 1.5::DOUBLE) FROM s) - ahead)) AS taken FROM a)
+        SELECT doc_id, size, source_size, target, CAST(sum(taken) AS BIGINT) AS taken, CAST(coalesce(min(CASE WHEN taken > 0 THEN ahead END), -1) AS BIGINT) AS first_word
+        FROM m GROUP BY doc_id, source, k, size, source_size, target, before
     """,
     "op6_chat_windows": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

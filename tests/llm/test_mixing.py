@@ -1,6 +1,6 @@
 import re
 
-from corvane.llm.mixing import in_order, mix
+from corvane.llm.mixing import mix
 from llm import cases
 
 
@@ -29,8 +29,9 @@ def check(rows, docs):
     for s, n in size.items():
         own = [r for r in rows if r.source == s]
         assert all(r.source_size == n and abs(r.target - want[s]) < 1e-6 for r in own)
-        assert abs(sum(r.served for r in own) - want[s]) < 1
-        assert all(0 <= r.served <= r.size for r in own)
+        assert abs(sum(r.taken for r in own) - want[s]) < len(size) + 1
+        assert all(0 <= r.taken <= r.size for r in own)
+    assert sum(r.taken for r in rows) == int(1.5 * sum(size.values()))
 
 
 def test_targets_are_met(spark, sf_dir):
@@ -41,18 +42,33 @@ def test_targets_are_met(spark, sf_dir):
 def test_odd_rows(spark):
     d = cases.odd(spark).select("doc_id", "source", "text")
     rows = mix(d).collect()
-    assert len(rows) == 2 * d.count()
+    assert sum(r["pass"] == 0 for r in rows) == d.count() and len({(r.row, r["pass"]) for r in rows}) == len(rows)
     check(rows, d.collect())
 
 
-def test_order_is_by_virtual_finish_and_reruns_agree(spark, sf_dir):
+def test_null_and_repeated_ids_are_spread_and_served_twice_at_most(spark):
+    d = spark.createDataFrame([(None if i % 3 else 7, "s", "w " * (i % 5 + 1)) for i in range(600)], "doc_id bigint, source string, text string")
+    rows = mix(d).collect()
+    check(rows, d.collect())
+    taken = {}
+    for r in rows:
+        taken[r.row] = taken.get(r.row, 0) + r.taken
+    assert len(taken) == 600
+
+
+def test_taken_follows_the_order_and_reruns_agree(spark, sf_dir):
     d = cases.real(spark, sf_dir)
-    rows = sorted(in_order(mix(d)).collect(), key=lambda r: (r.ahead, r.served))
-    finish = [min(r.vfinish, 1) for r in rows if r.served]
-    assert finish == sorted(finish)
-    assert sum(r.served for r in rows) <= 1.5 * sum(r.size for r in rows) / 2
-    again = {(r.doc_id, r["pass"]): r.served for r in mix(d.repartition(5)).collect()}
-    assert again == {(r.doc_id, r["pass"]): r.served for r in rows}
+    rows = sorted((r for r in mix(d).collect() if r.ahead is not None), key=lambda r: (r.vfinish, r.ahead))
+    ahead, total = 0, {}
+    for r in d.collect():
+        total[r.source] = total.get(r.source, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    budget = int(1.5 * sum(total.values()))
+    for r in rows:
+        assert r.ahead == ahead or r.taken == 0
+        ahead += r.taken
+    assert ahead == budget and all(r.vfinish <= 1 or r.vstart < 1 for r in rows)
+    again = {(r.doc_id, r["pass"]): r.taken for r in mix(d.repartition(5)).collect() if r.ahead is not None}
+    assert again == {(r.doc_id, r["pass"]): r.taken for r in rows}
 
 
 def test_empty_table(spark):

@@ -5,6 +5,8 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 
+from corvane.llm import near_dedup
+from corvane.llm.common import numbered
 from corvane.llm.near_dedup import near_groups, near_rows, shingles, sketches
 from corvane.llm.textarrays import chunks
 from llm import cases
@@ -63,6 +65,24 @@ def test_spread_group(spark):
     assert len(set(want.values())) > 1
 
 
+def test_rounds_and_blocks_find_the_same_links(spark, monkeypatch):
+    """Every kind of end: many rounds of centres, or blocks at once, however small."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(60):
+        w = [f"w{k}" for k in range(60)]
+        for at in rng.integers(0, 60, rng.integers(0, 5)):
+            w[at] = f"x{rng.integers(1 << 30)}"
+        docs.append((i, " ".join(w)))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = closure(word_sets(docs))
+    for pairs, block in ((0, 256), (64, 3)):
+        monkeypatch.setattr(near_dedup, "PAIRS", pairs)
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in near_groups(d, bands=48, rows=4).collect()}
+        assert got == want
+
+
 def test_odd_rows(spark):
     got = defaultdict(set)
     rows = near_groups(cases.odd(spark)).collect()
@@ -82,7 +102,7 @@ def repeated_ids():
 
 def test_texts_of_null_and_repeated_ids_are_apart(spark):
     docs = repeated_ids()
-    rows = near_rows(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    rows = near_rows(numbered(spark.createDataFrame(docs, "doc_id bigint, text string"))).collect()
     assert len(rows) == len(docs)
     kept = Counter((r.doc_id, r.text_sha256) for r in rows if r.kept)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
