@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return
 the columns of documents. Where a stage drops or repeats documents, the operator decides on ids and
-small columns, and the whole rows are brought together once, by id.
+small columns, and the whole rows are brought together once, by the place of each row in the table before, so null or
+repeated ids are rows like any other.
 """
 
 from __future__ import annotations
@@ -10,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm.common import table, written
-from corvane.llm.exact_dedup import exact_groups
+from corvane.llm.common import ROW, numbered, table, written
+from corvane.llm.exact_dedup import exact_rows
 from corvane.llm.mixing import mix
-from corvane.llm.near_dedup import near_rows, text_sha
+from corvane.llm.near_dedup import near_rows
 from corvane.llm.packing import pack
 from corvane.llm.quality import passed, train
 
@@ -25,24 +26,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    own = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("_sha"))
-    return docs.join(own, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    rows = numbered(docs)
+    return rows.join(exact_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the least id; rows are told apart by id and text, as ids may be null or repeated."""
-    own = near_rows(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (text_sha(docs["text"]) == F.col("_sha"))
-    return docs.join(own, same, "left_semi").withColumn("_text_sha256", text_sha(F.col("text"))).dropDuplicates(["doc_id", "_text_sha256"]).select(docs.columns)
+    """Of each class of near copies the document with the least id."""
+    rows = numbered(docs)
+    return rows.join(near_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: whole documents, once or twice; one in service when the budget ends stays if half of it was served."""
-    copies = mix(docs).where((2 * F.col("served") >= F.col("size")) & ((F.col("size") > 0) | (F.col("pass") == 0)))
-    copies = copies.select(F.col("doc_id").alias("_id"), "pass", "vfinish")
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.orderBy("vfinish", "source", "doc_id", "pass").select(docs.columns)
+    rows = numbered(docs)
+    copies = mix(rows, keep=tuple(ROW)).where((2 * F.col("taken") >= F.col("size")) & ((F.col("size") > 0) | (F.col("pass") == 0)))
+    copies = copies.select(*ROW, "pass", F.col("vfinish").alias("_vfinish"))
+    return rows.join(copies, ROW).orderBy("_vfinish", "source", "doc_id", "pass").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
