@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .guesses import COMMON_WORDS, segments
+from .guesses import Words, dictionary, segments
 
 #: The patterns of the base scan, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -37,7 +37,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, bits: float = BITS, words: tuple[str, ...] = COMMON_WORDS) -> list[tuple[str, int, int, float]]:
+def guess_spans(text: str, bits: float = BITS, words: Words | None = None) -> list[tuple[str, int, int, float]]:
     """Values in a credential context whose cheapest segmentation takes 2**bits guesses or more."""
     found = []
     if _NAMED.search(text):
@@ -60,7 +60,8 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 _OUT = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_guess bigint, max_bits double"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], bits: float, words: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], bits: float, known: Callable[[], Words]) -> Iterator[pa.RecordBatch]:
+    words = known()
     for b in batches:
         out = [[] for _ in range(8)]
         for doc, text in zip(b[0].to_pylist(), b[1]):
@@ -74,10 +75,10 @@ def _scan(batches: Iterator[pa.RecordBatch], bits: float, words: tuple[str, ...]
         yield pa.record_batch([pa.array(o, t) for o, t in zip(out, types)], names=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, words: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, words: Callable[[], Words] = dictionary) -> DataFrame:
     """One row a document: counts of each base kind, the digest of the base spans, all spans, the number of hard-to-guess values and the most bits of one.
 
     Texts are read whole; a null text is empty and has no spans. Rows are independent: nothing is
-    shuffled, rows that repeat an id each give a row, null ids stay null.
+    shuffled, rows that repeat an id each give a row, null ids stay null. words gives the dictionary, where texts are read.
     """
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lambda b: _scan(b, bits, words), _OUT)
