@@ -147,14 +147,15 @@ SQL = {
         s AS (SELECT *, pos = 1 AND role = 'system' AS sys, length('<|im_start|>') + length(role) + 1 + length(text) + length('<|im_end|>') + 1
                    + length(text) - length(replace(text, '\', '')) + (length(text) - length(replace(text, '[INST]', ''))) // 6 + (length(text) - length(replace(text, '[/INST]', ''))) // 7
                    + len(list_filter(cut, lambda x, i: i > 1 AND (starts_with(x, '|') OR starts_with(x, '/') OR starts_with(x, 'S') OR starts_with(x, 's>') OR (x = '' AND i < len(cut))))) AS chars FROM p),
-        b AS (SELECT *, CAST(NOT sys AND n > 256 AS BIGINT) AS big, CASE WHEN sys THEN 0 ELSE n END AS m FROM s),
-        a AS (SELECT *, coalesce(sum(m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, 2 * coalesce(sum(big) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + big AS seg0,
-                     max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_n FROM b WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
-        g AS (SELECT *, CASE WHEN sys THEN coalesce(lead(seg0) OVER (PARTITION BY conv_id ORDER BY pos), 0) ELSE seg0 END AS seg FROM a),
-        c AS (SELECT *, floor((pre - min(pre) OVER (PARTITION BY conv_id, seg)) / greatest(1024 - sys_n - 448, 256)) AS span FROM g),
-        d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY seg, span) AS win FROM c),
-        f AS (SELECT conv_id, win, arg_min(pre, pos) AS at0, sum(chars) AS own FROM d GROUP BY 1, 2),
-        h AS (SELECT f.conv_id, f.win, f.own, coalesce(sum(d.chars), 0) AS past FROM f LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND ((NOT d.sys AND d.pre BETWEEN f.at0 - 192 AND f.at0 - 1) OR (d.sys AND f.win > 1)) GROUP BY 1, 2, 3),
+        o AS (SELECT *, greatest(1024 - max(CASE WHEN sys THEN n ELSE 0 END) OVER (PARTITION BY conv_id), 0) AS room, floor(turn / 4096) AS st FROM s),
+        b AS (SELECT *, CAST(NOT sys AND n > room // 4 AS BIGINT) AS big, CASE WHEN sys THEN 0 ELSE n END AS m FROM o),
+        a AS (SELECT *, coalesce(sum(m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pre, 2 * coalesce(sum(big) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + big AS seg0 FROM b WINDOW w AS (PARTITION BY conv_id, st ORDER BY pos)),
+        g AS (SELECT *, CASE WHEN sys THEN coalesce(lead(seg0) OVER (PARTITION BY conv_id, st ORDER BY pos), 0) ELSE seg0 END AS seg FROM a),
+        c AS (SELECT *, floor((pre - min(pre) OVER (PARTITION BY conv_id, st, seg)) / greatest(room - least(192, room // 4) - room // 4, 1)) AS span FROM g),
+        d AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id, st ORDER BY seg, span) AS win FROM c),
+        f AS (SELECT conv_id, st, win, arg_min(pre, pos) AS at0, sum(chars) AS own, any_value(room) - sum(m) AS fits, bool_or(sys) AS has_sys FROM d GROUP BY 1, 2, 3),
+        h AS (SELECT f.conv_id, f.st, f.win, f.own, coalesce(sum(d.chars), 0) AS past FROM f LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM f.conv_id
+              AND ((NOT d.sys AND d.st IS NOT DISTINCT FROM f.st AND d.pre BETWEEN f.at0 - least(192, f.fits) AND f.at0 - 1) OR (d.sys AND NOT f.has_sys)) GROUP BY 1, 2, 3, 4),
         z AS (SELECT conv_id, sum(own + past) AS formatted_chars FROM h GROUP BY 1),
         y AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS said, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY 1)
         SELECT y.conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM y JOIN z ON y.conv_id IS NOT DISTINCT FROM z.conv_id

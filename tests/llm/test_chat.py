@@ -48,6 +48,26 @@ def test_windows_keep_the_budget_and_the_system_turn(spark):
     assert targets == [x for _, _, role, x in rows if role == "assistant"]
 
 
+@pytest.mark.parametrize("system", [0, 3, 300, 904, 1100])
+def test_budget_beside_long_system_turns(spark, system):
+    rows = [(1, 0, "system", "S " * system)] if system else []
+    rows += [(1, i, ("user", "assistant")[i % 2], f"t{i} " * ((i * 37) % 90 + 1 + 900 * (i % 50 == 7))) for i in range(1, 200)]
+    d = windows(spark.createDataFrame(rows, SCHEMA))
+    for r in d.collect():
+        turns = r.formatted.count("<|im_start|>")
+        assert r.n_tokens <= 1024 or turns - bool(system) == 1, (r.window, r.n_tokens, turns)
+    assert told(d) == expected(rows)
+
+
+def test_a_long_conversation_is_many_groups(spark):
+    rows = [(1, 0, "system", "S")] + [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(1, 400)] + [(1, None, "user", "first")]
+    d = windows(spark.createDataFrame(rows, SCHEMA), 60, 20, stretch=50)
+    assert len({r.stretch for r in d.collect()}) == 9 and told(d) == expected(rows)
+    rows = rows[:-1]
+    d = windows(spark.createDataFrame(rows, SCHEMA), 60, 20, stretch=50)
+    assert told(d) == expected(rows) and all(r.formatted.startswith("<|im_start|>system\nS<|im_end|>\n") and r.n_tokens <= 60 for r in d.collect())
+
+
 def test_escape_is_reversible_and_leaves_no_control_string(spark):
     texts = ["", "\\", "\\(<|", "<s></s><<SYS>>[/INST][INST]", "a<b [x] <", "\\-\\{", "<<|"]
     d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escape(F.col("t")).alias("e")).select("t", "e", unescape(F.col("e")).alias("u")).collect()
