@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-#: Parts that the edges of one node are dealt to, so that the centre of a large star isn't one task's.
-PARTS = 16
-
-
 def _toward(edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """edges (u, v) with the least of v and u over all edges of u; a hot u is summed up before it is shuffled, and its edges lie in PARTS parts."""
-    least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_p"))
-    return edges.join(least, (F.col("u") == F.col("_u")) & (F.pmod(F.xxhash64("v"), F.lit(PARTS)) == F.col("_p"))).drop("_u", "_p")
+    """edges (u, v) with the least of v and u over all edges of u.
+
+    A hot u is summed up before it is shuffled; in the join, which has one row a node on the other side, adaptive execution splits its edges.
+    """
+    least = ends.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("m", "u").alias("m"))
+    return edges.join(least, F.col("u") == F.col("_u")).drop("_u")
 
 
 def _stars(edges: DataFrame) -> bool:

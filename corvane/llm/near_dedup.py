@@ -34,7 +34,7 @@ BANDS, ROWS = 48, 8
 BITS, DIFFER = 4, 106
 #: Rounds compare the members of buckets that hold several classes with one centre each, while the pairs that are left exceed
 #: this many a member and a round halves them. Pairs that are left then are compared in blocks of so many members.
-PAIRS, BLOCK = 64, 256
+PAIRS, BLOCK = 1024, 256
 #: Arrivals that a round draws at a time, over all shingles that are still drawing, and for one of them.
 ARRIVALS, OF_ONE = 200_000, 64
 NO_ID = -(2**63)
@@ -171,9 +171,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
     return both.where(5 * shared >= 4 * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
-def _more(links: DataFrame | None, new: DataFrame) -> DataFrame:
-    new = written(new, "near-links")
-    return new if links is None else links.union(new)
+def _joined(joined: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Components of all links: new ones (a, b) and the stars that earlier ones have made."""
+    return components(new if joined is None else new.union(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
 
 def _mixed(buckets: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -244,7 +244,7 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
     buckets = written(each.join(size, "key"), "near-buckets")
     short = own.select("doc", "n", "sketch").where("n > 0")
 
-    tested = links = joined = None
+    tested = joined = None
     left = float("inf")
     while True:
         members = _mixed(buckets, joined)
@@ -256,8 +256,7 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
         near = pairs.join(x, F.col("a._a") == pairs["a"]).join(y, F.col("b._b") == pairs["b"]).where(_close(bands, rows))
         near = written(near.select(F.col("a._a").alias("a"), F.col("b._b").alias("b")), "near-pairs")
         tested = near if tested is None else tested.union(near)
-        links = _more(links, _verified(near, texts, own))
-        joined = components(links)
+        joined = _joined(joined, _verified(near, texts, own))
         buckets = buckets.join(centres.select("key", F.col("centre").alias("doc")), ["key", "doc"], "left_anti")
         rest = written(_mixed(buckets, joined), "near-rest")
         n, pairs_left = rest.agg(F.count("*"), F.coalesce(F.sum("members"), F.lit(0))).first()
@@ -269,7 +268,7 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
         across = _across(rest.join(own.select("doc", "n", "sketch", "bands"), "doc"), bands, rows)
         last = written(across.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         if not last.isEmpty():
-            joined = components(_more(links, _verified(last, texts, own)))
+            joined = _joined(joined, _verified(last, texts, own))
 
     heads = own.select(F.col("doc").alias("component"), F.col("id").alias("class")).join(joined.select("component").distinct(), "component")
     of = joined.join(heads, "component").select(F.col("node").alias("doc"), "component", "class")
