@@ -1,4 +1,4 @@
-"""A suffix stemmer over distinct tokens.
+"""A suffix stemmer.
 
 The order of its rules and its measure are those of the reference model, which differs from the textbook in
 counting consonant runs by letters; rules are data, applied by one routine.
@@ -7,11 +7,6 @@ counting consonant runs by letters; rules are data, applied by one routine.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 # Suffixes and what takes their place; the first that fits decides.
 STEP2 = {
@@ -75,14 +70,3 @@ def stem(word: str) -> str:
         if m > 1 or (m == 1 and not short_end(w[:-1])):
             return w[:-1]
     return w[:-1] if w.endswith("ll") and measure(w[:-1]) > 1 else w
-
-
-def _stems(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield b.assign(stem=b["token"].map(stem, na_action="ignore"))
-
-
-def with_stems(occurrences: DataFrame, token: str = "token") -> DataFrame:
-    """Adds stem to every occurrence; the stemmer sees each distinct token once."""
-    distinct = occurrences.select(F.col(token).alias("token")).distinct().mapInPandas(_stems, "token string, stem string")
-    return occurrences.join(distinct.withColumnRenamed("token", token), token, "left")

@@ -113,8 +113,20 @@ def summary(text: Column, cat: Column) -> Column:
 
 
 def ask_intent(text: Column) -> Column:
-    """The intent with most of its words in a question, the first named of equals; search where there are none."""
-    low = F.lower(text)
-    hits = lambda ws: sum((low.contains(w).cast("int") for w in ws.split()), F.lit(0))
-    best = F.array_max(F.array(*[F.struct(hits(ws).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, ws) in enumerate(W.ASK_INTENTS.items())]))
-    return F.when(best["n"] > 0, best["k"]).otherwise("search")
+    """The intent with most of its words in a question, the first named of equals; general where there are none."""
+    s = spaced(text)
+    best = F.array_max(F.array(*[F.struct(occurrences(s, ws).alias("n"), F.lit(-i).alias("i"), F.lit(k).alias("k")) for i, (k, ws) in enumerate(W.ASK_INTENTS.items())]))
+    return F.when(best["n"] > 0, best["k"]).otherwise("general")
+
+
+def ask_entity(text: Column) -> Column:
+    """The subject of a question: its first quoted string, else a name with a usual ending, else a capitalised word, else the longest other word."""
+    first = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    words = F.filter(F.split(text, r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(W.ASK_STOP_WORDS))
+    longest = F.aggregate(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    return F.coalesce(
+        first(r"""["']([^"']+)["']"""),
+        first(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]+(?:Service|Handler|Controller|Repository|Manager|Factory))(?![A-Za-z0-9_])"),
+        first(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]{3,})(?![A-Za-z0-9_])"),
+        longest,
+    )

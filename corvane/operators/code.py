@@ -39,12 +39,13 @@ def unused(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return nodes.join(edges.where("src <> dst").select(F.col("dst").alias(key)).distinct(), key, "left_anti")
 
 
-def findings(lines: DataFrame, rules: list[tuple[str, str, str, str]] = W.SECURITY_RULES) -> DataFrame:
-    """(id, line, rule, severity, match) of rules (name, severity, pattern, excuse) over lines (id, line, text), case-insensitive.
+def findings(lines: DataFrame, rules: list[tuple[str, str, str]] = W.SECURITY_RULES) -> DataFrame:
+    """(id, line, rule, severity, match) of rules (name, severity, pattern) over lines (id, line, text), case-insensitive with ASCII word boundaries.
 
     Each line is read once; the patterns are constants of the plan.
     """
-    hits = F.array(*[F.when(F.col("text").rlike(f"(?i){p}") & (F.lit(not x) | ~F.col("text").rlike(f"(?i){x or 'x'}")), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.substring(F.regexp_extract("text", f"(?i){p}", 0), 1, 80).alias("match"))) for n, s, p, x in rules])
+    ascii_ = [(n, s, "(?i)" + p.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")) for n, s, p in rules]
+    hits = F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"), F.substring(F.regexp_extract("text", p, 0), 1, 80).alias("match"))) for n, s, p in ascii_])
     return lines.select("id", "line", F.explode(F.array_compact(hits)).alias("h")).select("id", "line", "h.*")
 
 

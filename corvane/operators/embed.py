@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.stemmer import stem
+from .search import _stem as stem
 
 SIZE = 384
 

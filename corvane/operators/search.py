@@ -3,21 +3,59 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..functions.text import tokens
+from ..functions.stemmer import stem
+from ..plans.cut import cut
 
+#: Weight of a synonym that a text lacks.
+SYNONYM = 0.49
+_GROUP = {t: group for group in W.SYNONYMS for t in group}
+_stem = lru_cache(1 << 18)(stem)
 
-def counts(df: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
-    """(id, token, n): how often each token occurs in each text; only some tokens if named, which are sorted out where the text lies."""
-    found = tokens(F.col(text_col))
-    if only is not None:
-        found = F.filter(found, lambda t: t.isin(only))
-    return df.select(F.col(id_col).alias("id"), F.explode(found).alias("token")).groupBy("id", "token").agg(F.count("*").alias("n"))
+
+def vector(text: str | None, synonyms: bool = True) -> dict[str, float]:
+    """Weights of a text's stems: counts, and SYNONYM for the synonyms that it lacks. An underscore separates words."""
+    v: dict[str, float] = Counter(map(_stem, re.findall("[a-z0-9]+", (text or "").lower().replace("_", " "))))
+    if synonyms:
+        for t in list(v):
+            for other in _GROUP.get(t, ()):
+                v.setdefault(other, SYNONYM)
+    return v
+
+
+def contains(a: dict[str, float], b: dict[str, float]) -> float:
+    """How much of a's weight b has: the sum of lesser weights over the sum of a's, which counts as 1 at least."""
+    return sum(min(n, b[t]) for t, n in a.items() if t in b) / max(sum(a.values()), 1)
+
+
+def counts(df: DataFrame, id_col: str, text_col: str, only: list[str] | None = None, synonyms: bool = True) -> DataFrame:
+    """(id, token, n): the weight of each stem of each text, counted where the text lies; only some if named. A weight below 1 is that of a synonym."""
+    wanted = None if only is None else frozenset(only)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, weights, sizes = [], [], []
+            for text in b[1].to_pylist():
+                v = vector(text, synonyms)
+                if wanted is not None:
+                    v = {t: n for t, n in v.items() if t in wanted}
+                tokens += v
+                weights += v.values()
+                sizes.append(len(v))
+            yield pa.record_batch([b[0].take(pa.array(np.repeat(np.arange(len(sizes)), sizes))), pa.array(tokens, pa.string()), pa.array(weights, pa.float64())], names=["id", "token", "n"])
+
+    d = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return d.mapInArrow(each, f"id {d.schema['id'].dataType.simpleString()}, token string, n double")
 
 
 def top_concepts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
@@ -30,8 +68,8 @@ def top_concepts(df: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataF
 
 
 def document_frequency(occurrences: DataFrame) -> DataFrame:
-    """(token, df) from (id, token, ...) with one row for each id and token."""
-    return occurrences.groupBy("token").agg(F.count("*").alias("df"))
+    """(token, df) from (id, token, n) with one row for each id and token; synonyms don't count."""
+    return occurrences.where("n >= 1").groupBy("token").agg(F.count("*").alias("df"))
 
 
 def idf(df: Column, n: Column | int) -> Column:
@@ -39,23 +77,9 @@ def idf(df: Column, n: Column | int) -> Column:
     return F.log((n + 1) / (df + 1)) + 1
 
 
-def query_terms(text: str, synonyms: bool = True) -> dict[str, float]:
-    """Weights of a query's tokens: counts, and synonyms that it lacks at 0.49 of the word's weight."""
-    w: dict[str, float] = {}
-    for t in re.findall("[a-z0-9]+", text.lower().replace("_", " ")):
-        w[t] = w.get(t, 0.0) + 1.0
-    if synonyms:
-        for t in list(w):
-            for group in (g.split() for g in W.SYNONYMS):
-                if t in group:
-                    for other in group:
-                        w.setdefault(other, 0.49 * w[t])
-    return w
-
-
 def query_weights(spark: SparkSession, terms: dict[str, float]) -> DataFrame:
     """(token, w) of a query's terms."""
-    return spark.createDataFrame(sorted(terms.items()) or [("", 0.0)], "token string, w double")
+    return spark.createDataFrame([(t, float(w)) for t, w in sorted(terms.items())] or [("", 0.0)], "token string, w double")
 
 
 def sparse_scores(occurrences: DataFrame, weights: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
@@ -74,26 +98,42 @@ def containment(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFram
     return both.groupBy("a", "b").agg((F.sum(F.least("na", F.coalesce("nb", F.lit(0)))) / F.greatest(F.sum("na"), F.lit(1))).alias("sim"))
 
 
-def lookback(rows: DataFrame, pos: str, k: int) -> DataFrame:
-    """Pairs (a, b) of a row's position and each of the k before it that exists; positions are dense."""
-    p = rows.select(F.col(pos).alias("a"))
-    return p.select("a", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("d")).select("a", (F.col("a") - F.col("d")).alias("b")).where("b >= 0")
+def lookback(rows: DataFrame, pos: str, text_col: str, k: int, least: float, below: float = float("inf"), step: int = 1, size: int = 512) -> DataFrame:
+    """(a, b, sim): a row's position and that of one of the k before it, a multiple of step away, that holds so much of its weight.
+
+    Positions are unique numbers. Rows are dealt once, by stretches of `size` positions, each with the k rows before it, and compared there.
+    """
+    p = F.col(pos).cast("bigint")
+    places = F.when(F.pmod(p, F.lit(size)) >= size - k, F.array(F.floor(p / size), F.floor(p / size) + 1)).otherwise(F.array(F.floor(p / size)))
+    r = rows.select(p.alias("pos"), F.col(text_col).cast("string").alias("text"), F.explode(places).alias("stretch"))
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = dict(zip(pdf["pos"].tolist(), map(vector, pdf["text"].tolist())))
+        out = [(a, a - d, contains(x, v[a - d])) for a, x in v.items() if a // size == key[0] for d in range(step, k + 1, step) if a - d in v]
+        return pd.DataFrame([o for o in out if least <= o[2] < below], columns=["a", "b", "sim"]).astype({"a": "int64", "b": "int64", "sim": "float64"})
+
+    return r.groupBy("stretch").applyInPandas(one, "a bigint, b bigint, sim double")
 
 
 def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, jaccard) of a < b whose token sets (id, tokens: distinct array) have a Jaccard similarity of `least` or more.
 
-    Two such sets share one of the rarest tokens of each: of n tokens, ordered by frequency, only the first
-    n - ceil(least n) + 1 are joined, and candidates are verified on the whole sets.
+    Tokens are 64-bit hashes, in the order of their frequency in all sets. Two such sets share one of the rarest tokens of each: of n tokens only the first
+    n - ceil(least n) + 1 are joined; what two sets can share behind such a token, by its places, sorts out most pairs, and candidates are
+    verified on the whole sets.
     """
-    each = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = each.join(document_frequency(each), "token").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
-    rare = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "n", "token")
+    h = cut(sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
+    each = h.select("id", F.explode("tokens").alias("t"))
+    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
+    ordered = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
+    ordered = cut(ordered.withColumn("n", F.size("o")), "sets")
+    rare = ordered.select("id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("p", "t"))
     a, b = rare.alias("a"), rare.alias("b")
-    close = (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9)
+    room = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + F.least("a.p", "b.p")
+    close = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (room * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-9)
     pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    x = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
+    x = ordered.select(F.col("id").alias("a"), F.col("o").alias("x"))
+    y = ordered.select(F.col("id").alias("b"), F.col("o").alias("y"))
     full = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
     return full.select("a", "b", (F.col("i") / (F.size("x") + F.size("y") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
 

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it names none, only a local master may use a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return named.rstrip("/")
 
 
 def cut(df: DataFrame, tag: str = "round") -> DataFrame:
-    """df, written as Parquet and read again. The folder is spark.checkpoint.dir, a local one only where that is unset."""
+    """df, written as Parquet and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -32,13 +32,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as memories: id, content, category, branch, timestamp."""
+    kind = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), kind.alias("category"), F.col("source").alias("branch"), (F.lit(AS_OF) - (F.col("doc_id") % 365) * DAY).alias("timestamp"))
+
+
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as memories: id, content, category, branch, timestamp, access_count, recall_count."""
+    """contents with access_count."""
     views = read(spark, sf_dir, "events").where("event_type = 'view'").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("access_count"))
-    d = read(spark, sf_dir, "documents")
-    kind = F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.col("doc_id") % 7 + 1).cast("int"))
-    m = d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), kind.alias("category"), F.col("source").alias("branch"), (F.lit(AS_OF) - (F.col("doc_id") % 365) * DAY).alias("timestamp"))
-    return m.join(views, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
+    return contents(spark, sf_dir).join(views, "id", "left").withColumn("access_count", F.coalesce("access_count", F.lit(0)))
 
 
 MEM = f"""mem AS (

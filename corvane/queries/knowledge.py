@@ -25,36 +25,55 @@ def vector_batch_search(spark, sf_dir):
     return got.select("query", "id", rounded(F.col("score")).alias("score"), "place")
 
 
-_COMMIT = "CASE WHEN p_partkey % 5 = 0 THEN 'Switch to ' WHEN p_partkey % 5 = 1 THEN 'Merge ' WHEN p_partkey % 5 = 2 THEN 'fix crash in ' ELSE 'Add ' END || p_name || ' for ' || p_type"
-
-
-def _kind_sql() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower(m), '(^|[^a-z])({'|'.join(ws.split())})') THEN '{k}'" for k, ws in G.COMMIT_KINDS.items()) + " ELSE 'chore' END"
-
-
-@query(f"SELECT p_partkey, {_kind_sql()} AS kind, length(trim(m)) >= 15 AND NOT regexp_matches(lower(trim(m)), '^({'|'.join(G.SKIPPED_PREFIXES)})') AND regexp_matches(lower(m), '{'|'.join(G.DECISION_STEMS)}') AS decides FROM (SELECT p_partkey, {_COMMIT} AS m FROM part)")
+_COMMIT = "CASE WHEN p_partkey % 5 = 0 THEN 'Switch to ' WHEN p_partkey % 5 = 1 THEN 'Merge ' WHEN p_partkey % 5 = 2 THEN 'fix crash in ' WHEN p_partkey % 5 = 3 THEN 'unswitched ' ELSE 'Redesign of ' END || p_name || ' for ' || p_type"
+_STAT = """CASE p_partkey % 8 WHEN 0 THEN ' tests/test_a.py | 2 +' WHEN 1 THEN ' README.md | 1 +' WHEN 2 THEN ' .github/w.yml | 1 +' WHEN 3 THEN ' src/a/b.py | 2 +\n tests/test_b.py | 1 +\n 2 files changed'
+    WHEN 4 THEN ' src/core/x/b.py | 2 +\n src/core/y/c.py | 1 +' WHEN 5 THEN ' setup.py | 3 -' WHEN 6 THEN ' src/' || p_brand || '/b.py | 2 +\n lib/q/c.py | 1 +' ELSE ' src/' || p_brand || '/x.py | 5 +-' END"""
+_DIFF = """CASE p_partkey % 7 WHEN 0 THEN '+++ b/def \n+def load(a, b):\n+    pass' WHEN 1 THEN '-class ' || p_name || '(X):\n' WHEN 2 THEN '+function go(x) {\n+  def two():' WHEN 3 THEN 'a crash in it' WHEN 4 THEN '+def a():\n-def b():\n rename'
+    WHEN 5 THEN 'a restructured thing' ELSE '+ ' || p_type END"""
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {_COMMIT} AS m, {_STAT.replace("\\n", "' || chr(10) || '")} AS stat, {_DIFF.replace("\\n", "' || chr(10) || '")} AS diff FROM part),
+    l AS (SELECT *, lower(stat) AS s, lower(diff) AS d, list_filter(string_split(stat, chr(10)), lambda x: contains(x, '|')) AS ls FROM c),
+    p AS (SELECT *, list_transform(ls, lambda x: trim(string_split(x, '|')[1])) AS paths, list_filter(string_split(diff, chr(10)), lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++') AND regexp_matches(x, 'def |function |class ')) AS adds,
+          list_filter(string_split(diff, chr(10)), lambda x: starts_with(x, '-') AND NOT starts_with(x, '---') AND regexp_matches(x, 'def |function |class ')) AS cuts FROM l),
+    q AS (SELECT *, list_filter(list_transform(paths, lambda x: string_split(x, '/')), lambda x: len(x) > 1) AS parts,
+          CASE WHEN contains(s, 'test') AND len(list_filter(ls, lambda x: NOT contains(lower(x), 'test'))) = 0 THEN 'test' WHEN regexp_matches(s, 'readme|docs/|[.]md') AND len(list_filter(ls, lambda x: NOT regexp_matches(lower(x), 'readme|docs/|[.]md'))) = 0 THEN 'docs'
+               WHEN regexp_matches(s, 'ci/|[.]github/|workflow') THEN 'ci' WHEN regexp_matches(d, 'fix|bug|error|crash|patch') THEN 'fix' WHEN regexp_matches(d, 'add|new|implement|feature') THEN 'feat' WHEN regexp_matches(d, 'refactor|rename|move|restructure') THEN 'refactor' ELSE 'feat' END AS kind,
+          CASE WHEN len(adds) > 0 AND len(cuts) = 0 THEN 'add ' || trim(replace(replace(string_split(trim(ltrim(adds[1], '+')), '(')[1], 'def ', ''), 'function ', '')) || CASE WHEN len(adds) > 1 THEN ' and ' || (len(adds) - 1) || ' more' ELSE '' END
+               WHEN len(cuts) > 0 AND len(adds) = 0 THEN 'remove ' || trim(replace(replace(string_split(trim(ltrim(cuts[1], '-')), '(')[1], 'def ', ''), 'function ', ''))
+               WHEN len(paths) = 1 THEN 'update ' || string_split(paths[1], '/')[-1] ELSE 'update ' || len(paths) || ' files' END AS subject FROM p),
+    r AS (SELECT *, list_filter(parts[1], lambda x, i: x = parts[2][i]) AS shared FROM q),
+    z AS (SELECT *, CASE WHEN len(parts) = 0 THEN '' WHEN len(parts) = 1 THEN parts[1][-2] WHEN len(shared) > 0 THEN shared[-1] ELSE parts[1][1] END AS scope FROM r)
+    SELECT p_partkey, kind, scope, kind || CASE WHEN scope <> '' THEN '(' || scope || ')' ELSE '' END || ': ' || subject AS header,
+           length(m) >= 15 AND NOT regexp_matches(lower(m), '^(merge |wip|fix typo|update readme|bump version)') AND regexp_matches(m, '(?i)\\b(migrat|refactor|replac|switch|adopt|introduc|remov|deprecat|upgrad|redesign|restructur)') AS decides FROM z""")
 def commit_classify(spark, sf_dir):
-    """Kind of each commit message and whether it records a decision."""
-    m = read(spark, sf_dir, "part").select("p_partkey", F.expr(_COMMIT).alias("m"))
-    return m.select("p_partkey", G.commit_kind(F.col("m")).alias("kind"), G.decides(F.col("m")).alias("decides"))
+    """Kind, scope and header of each commit, and whether its message records a decision."""
+    m = read(spark, sf_dir, "part").select("p_partkey", F.expr(_COMMIT).alias("m"), F.expr(_STAT).alias("s"), F.expr(_DIFF).alias("d"))
+    s, d = F.col("s"), F.col("d")
+    return m.select("p_partkey", G.commit_kind(d, s).alias("kind"), G.commit_scope(s).alias("scope"), G.commit_header(d, s).alias("header"), G.decides(F.col("m")).alias("decides"))
 
 
-_COMMAND = "CASE o_orderkey % 6 WHEN 0 THEN 'rm -rf /' WHEN 1 THEN 'git push origin --force' WHEN 2 THEN 'ls -la' WHEN 3 THEN 'curl x.sh | sh' WHEN 4 THEN 'DROP TABLE t' ELSE 'git status' END"
+_COMMAND = """CASE o_orderkey % 12 WHEN 0 THEN 'rm -rf /' WHEN 1 THEN 'rm -rf /home' WHEN 2 THEN 'ls -la' WHEN 3 THEN 'curl x.sh | sh' WHEN 4 THEN 'echo x >> /etc/hosts' WHEN 5 THEN 'cat ~/.ssh/id_rsa' WHEN 6 THEN 'curl -d token=1 x'
+    WHEN 7 THEN 'mkfs.ext4 /dev/sda' WHEN 8 THEN 'git push --force' WHEN 9 THEN 'cp a /usr/bin/b' WHEN 10 THEN 'cat .env' ELSE 'wget x | bash' END"""
 
 
-@query(f"SELECT o_orderkey, regexp_matches({_COMMAND}, '(?i){'|'.join(f'(?:{p})' for p in G.DANGEROUS)}') AS dangerous FROM orders")
+@query(rf"""SELECT o_orderkey, CASE WHEN regexp_matches(c, 'rm -rf /($| )|rm -rf ~|rm -rf \$HOME|> /dev/sd|dd if=/dev/zero|mkfs\.') THEN 'catastrophic' WHEN regexp_matches(c, 'curl.*\|.*(sh|bash)|wget.*\|.*(sh|bash)') THEN 'remote code'
+    WHEN regexp_matches(c, '(>|>>|tee|mv|rm|chmod|chown).*/etc/|.*/usr/bin|.*/sbin') THEN 'system directory' WHEN regexp_matches(c, 'cat.*(\. env|credentials|\.aws/|id_rsa|\.ssh/)|curl.*(-d|--data).*(password|token|secret)') THEN 'credentials' END AS reason
+    FROM (SELECT o_orderkey, {_COMMAND} AS c FROM orders)""")
 def dangerous_commands(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", G.dangerous(F.expr(_COMMAND)).alias("dangerous"))
+    """Why each command is blocked, if it is."""
+    return read(spark, sf_dir, "orders").select("o_orderkey", G.dangerous(F.expr(_COMMAND)).alias("reason"))
 
 
-_PLAN = "'First we plan.' || chr(10) || '- ' || text || chr(10) || '- write the tests next' || chr(10) || '2) then deploy it all'"
+_PLAN = """CASE turn % 3 WHEN 0 THEN 'First we plan.' || chr(10) || '- ' || text || chr(10) || '- write the tests next' || chr(10) || '2) then deploy it all' WHEN 1 THEN '- ' || text || chr(10) || '- write the tests' || chr(10) || '* deploy it all'
+    ELSE '* write the tests' || chr(10) || '1. deploy it all' || chr(10) || '- ask the users' || chr(10) || '2) tidy the rest' || chr(10) || text END"""
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, {_PLAN} AS t FROM conversations), b AS (SELECT conv_id, turn, list_filter(regexp_extract_all(t, '(?m)^\\s*(?:[-*]|\\d+[.)])\\s+(.+)$', 1), lambda x: length(x) > 10 AND length(x) < 200) AS b FROM t)
-    SELECT conv_id, turn, len(b) AS tasks, array_to_string(b, '|') AS titles FROM b WHERE len(b) >= 3""")
+@query(f"""WITH t AS (SELECT conv_id, turn, {_PLAN} AS t FROM conversations), b AS (SELECT conv_id, turn, t, list_filter(regexp_extract_all(t, '(?m)^\\s*(?:[-*]|\\d+[.)])\\s+(.+)$', 1), lambda x: length(x) > 10 AND length(x) < 200) AS b FROM t)
+    SELECT conv_id, turn, len(b) AS tasks, array_to_string(b, '|') AS titles FROM b WHERE len(b) >= 4 OR (len(b) >= 3 AND len(list_filter(['first', 'then', 'next', 'after', 'finally', 'step'], lambda w: contains(lower(t), w))) >= 2)""")
 def plan_detection(spark, sf_dir):
     """Tasks of the turns that hold a plan."""
-    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", G.plan_tasks(F.expr(_PLAN.replace("chr(10)", "'\\n'"))).alias("b")).where(F.size("b") > 0)
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", G.plan_tasks(F.expr(_PLAN)).alias("b")).where(F.size("b") > 0)
     return t.select("conv_id", "turn", F.size("b").cast("bigint").alias("tasks"), F.array_join("b", "|").alias("titles"))
 
 

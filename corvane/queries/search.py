@@ -6,43 +6,31 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as S
-from .base import MEM, memories, query, read, rounded
+from ..plans.cut import cut
+from .base import MEM, contents, memories, query, read, rounded
+from .stems import DOC_COUNTS
 
-ASK = "the erre reor of ththe on database design"
-_TOKENS = "regexp_extract_all(replace(lower({0}), '_', ' '), '[a-z0-9]+')"
-_COUNTS = f"tok AS (SELECT doc_id AS id, unnest({_TOKENS.format('text')}) AS token FROM documents), cnt AS (SELECT id, token, count(*) AS n FROM tok GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM cnt GROUP BY 1)"
+ASK = "the erre reor of ththe on database designs and error logging"
+#: Weights of the query: its stems, and synonyms at 0.49.
+_WEIGHTS = """qs(token, w) AS (VALUES ('the', 1.0::DOUBLE), ('erre', 1.0), ('reor', 1.0), ('of', 1.0), ('ththe', 1.0), ('on', 1.0), ('databas', 1.0), ('design', 1.0), ('and', 1.0), ('error', 1.0), ('log', 1.0),
+    ('err', 0.49), ('exception', 0.49), ('logging', 0.49), ('logs', 0.49))"""
 
 
-def _weights_sql() -> str:
-    import re
-
-    from ..functions import words as W
-
-    w: dict[str, float] = {}
-    for t in re.findall("[a-z0-9]+", ASK.lower()):
-        w[t] = w.get(t, 0.0) + 1
-    for t in list(w):
-        for g in (g.split() for g in W.SYNONYMS):
-            if t in g:
-                for o in g:
-                    w.setdefault(o, 0.49 * w[t])
-    return "qw(token, w) AS (VALUES " + ", ".join(f"('{t}', {x}::DOUBLE)" for t, x in w.items()) + ")"
-
-
-_SPARSE = f"""{_COUNTS}, {_weights_sql()}, q AS (SELECT qw.token, w * (ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1) AS q, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1 AS i FROM qw LEFT JOIN df USING (token)),
+_SPARSE = f"""{DOC_COUNTS}, {_WEIGHTS}, q AS (SELECT qs.token, w * (ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1) AS q, ln(((SELECT count(*) FROM documents) + 1) / (coalesce(df, 0) + 1)) + 1 AS i FROM qs LEFT JOIN df USING (token)),
     sparse AS (SELECT id, sum(least(q, n * i)) / greatest(1.0, (SELECT sum(q) FROM q)) AS score FROM cnt JOIN q USING (token) GROUP BY 1)"""
 
 
-@query(f"WITH {_COUNTS} SELECT token, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM df")
+@query(f"WITH {DOC_COUNTS} SELECT token, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM df")
 def token_df_idf(spark, sf_dir):
+    """Document frequency of every stem; a text's stems are counted where it lies."""
     d = read(spark, sf_dir, "documents")
-    return S.document_frequency(S.counts(d, "doc_id", "text")).select("token", "df", rounded(S.idf(F.col("df"), d.count())).alias("idf"))
+    return S.document_frequency(S.counts(d, "doc_id", "text", synonyms=False)).select("token", "df", rounded(S.idf(F.col("df"), d.count())).alias("idf"))
 
 
 def _sparse(spark, d):
-    """Scores of documents for the query; only its own tokens are counted and shuffled."""
-    terms = S.query_terms(ASK)
-    c = S.counts(d, "doc_id", "text", list(terms))
+    """Scores of documents for the query; texts are read once, and only the weights of its own stems leave them."""
+    terms = S.vector(ASK)
+    c = cut(S.counts(d, "doc_id", "text", list(terms)), "counts")
     return S.sparse_scores(c, S.query_weights(spark, terms), S.document_frequency(c), d.count())
 
 
@@ -52,13 +40,11 @@ def sparse_overlap_score(spark, sf_dir):
     return _sparse(spark, d).select("id", rounded(F.col("score")).alias("score"))
 
 
-@query()
+@query(f"WITH {DOC_COUNTS} SELECT token AS stem, count(*) AS df, CAST(sum(n) AS BIGINT) AS n FROM own GROUP BY 1")
 def stemmed_df(spark, sf_dir):
-    """Document frequency of stems; each distinct token is stemmed once."""
-    from ..functions.stemmer import with_stems
-
-    c = with_stems(S.counts(read(spark, sf_dir, "documents"), "doc_id", "text"))
-    return c.groupBy("stem").agg(F.countDistinct("id").alias("df"), F.sum("n").alias("n"))
+    """How many texts have a stem, and how often."""
+    c = S.counts(read(spark, sf_dir, "documents"), "doc_id", "text", synonyms=False)
+    return c.groupBy(F.col("token").alias("stem")).agg(F.count("*").alias("df"), F.sum("n").cast("bigint").alias("n"))
 
 
 @query(f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> ''))) AS t FROM documents),
@@ -68,34 +54,35 @@ def stemmed_df(spark, sf_dir):
 def jaccard_pairs(spark, sf_dir):
     """Pairs of distinct word sets with a Jaccard similarity of 0.7 or more; equal sets are one."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda x: x != ""))).alias("tokens"))
-    sets = d.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("doc_id").alias("id"), "tokens")).alias("s")  # equal sets by a digest of 128 bits
+    sets = d.where(F.size("tokens") > 0).groupBy(F.md5(F.array_join("tokens", " "))).agg(first).select("s.*")
     return S.similar_sets(sets, 0.7).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
-_LOOK = f"""WITH {_COUNTS}, tot AS (SELECT id, sum(n) AS total FROM cnt GROUP BY 1),
-    s AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS m FROM cnt x JOIN cnt y ON x.token = y.token AND y.id < x.id AND y.id >= x.id - {{0}} GROUP BY 1, 2)
-    SELECT a, b, round(m / total, 6) AS sim FROM s JOIN tot ON tot.id = a WHERE m / total >= {{1}} AND m / total < {{2}}"""
+_LOOK = f"""WITH {DOC_COUNTS}, tot AS (SELECT id, greatest(sum(n), 1.0) AS total FROM cnt GROUP BY 1),
+    s AS (SELECT x.id AS a, y.id AS b, sum(least(x.n, y.n)) AS m FROM cnt x JOIN cnt y ON x.token = y.token AND y.id < x.id AND y.id >= x.id - <back> GROUP BY 1, 2)
+    SELECT a, b, round(m / total, 6) AS sim FROM s JOIN tot ON tot.id = a WHERE m / total >= <least> AND m / total < <below>"""
 
 
-def _lookback(spark, sf_dir, k, low, high, same=None):
-    d = read(spark, sf_dir, "documents")
-    c = S.counts(d, "doc_id", "text")
-    p = S.lookback(d, "doc_id", k)
-    if same:
-        p = p.where(same)
-    return S.containment(p, c, c).where((F.col("sim") >= low) & (F.col("sim") < high)).select("a", "b", rounded(F.col("sim")).alias("sim"))
+def _look(back: str, least: str, below: str) -> str:
+    return _LOOK.replace("<back>", back).replace("<least>", least).replace("<below>", below)
+
+
+def _lookback(spark, sf_dir, k, least, below=float("inf"), step=1):
+    got = S.lookback(read(spark, sf_dir, "documents"), "doc_id", "text", k, least, below, step)
+    return got.select("a", "b", rounded(F.col("sim")).alias("sim"))
 
 
-@query(_LOOK.format(20, 0.85, 1e9))
+@query(_look("20", "0.85", "1e9"))
 def near_duplicate_dedup(spark, sf_dir):
     """A memory that shares 0.85 or more of its tokens with one of the 20 before it refreshes that one."""
-    return _lookback(spark, sf_dir, 20, 0.85, 1e9)
+    return _lookback(spark, sf_dir, 20, 0.85)
 
 
-@query(_LOOK.format(28, 0.6, 0.85).replace("y.id >= x.id - 28", "y.id >= x.id - 28 AND (x.id - y.id) % 7 = 0"))
+@query(_look("28 AND (x.id - y.id) % 7 = 0", "0.6", "0.85"))
 def contradiction_supersede(spark, sf_dir):
     """Of the same category among the 28 before it: a similarity of 0.6 to 0.85 supersedes."""
-    return _lookback(spark, sf_dir, 28, 0.6, 0.85, "(a - b) % 7 = 0")
+    return _lookback(spark, sf_dir, 28, 0.6, 0.85, 7)
 
 
 _VEC = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -162,7 +149,7 @@ _STREAMS = f"""{_SPARSE}, {MEM},
 
 
 def _fusion(spark, sf_dir):
-    v, m, d = _vectors(spark, sf_dir), memories(spark, sf_dir), read(spark, sf_dir, "documents")
+    v, m, d = _vectors(spark, sf_dir), contents(spark, sf_dir), read(spark, sf_dir, "documents")
     dense = S.nearest(v, _probe(v), 30)
     sparse = _sparse(spark, d)
     best = [F.round("score", 9).desc(), F.col("id")]

@@ -120,9 +120,19 @@ def datamark_text(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_MARKED.replace("\n", "\\n")).alias("t")).select("conv_id", "turn", X.datamarked(F.col("t")).alias("marked"))
 
 
-_ASK = {i: f"({' + '.join(f'CAST(contains(lower(text), {w!r}) AS INT)' for w in ws.split())})" for i, ws in W.ASK_INTENTS.items()}
-
-
-@query(f"""SELECT doc_id, CASE WHEN greatest({", ".join(_ASK.values())}) = 0 THEN 'search' {" ".join(f"WHEN {x} = greatest({', '.join(_ASK.values())}) THEN '{i}'" for i, x in _ASK.items())} END AS intent FROM documents""")
+_ASK_WORDS = """a(intent, w) AS (VALUES ('architecture', ['architecture', 'structure', 'design', 'layers', 'services']), ('impact', ['impact', 'break', 'change', 'affect', 'depend']), ('why', ['why', 'reason', 'purpose', 'exist', 'introduced']),
+    ('ownership', ['who', 'owner', 'team', 'expert', 'touch']), ('health', ['health', 'quality', 'complexity', 'debt', 'hotspot']), ('security', ['security', 'secret', 'vulnerab', 'inject', 'leak']),
+    ('history', ['history', 'incident', 'error', 'bug', 'regression', 'past']), ('plan', ['plan', 'task', 'progress', 'status', 'next', 'todo']))"""
+_QUESTION = "CASE doc_id % 5 WHEN 0 THEN 'why does \"Cosmos Db\" exist, and who owns the design? ' WHEN 1 THEN 'what would break if the AuthService changes, changed or change? break ' WHEN 2 THEN 'designs of Payments and plan next task status ' ELSE '' END || text"
+
+
+@query(f"""WITH {_ASK_WORDS}, q AS (SELECT doc_id, {_QUESTION} AS t FROM documents), n AS (SELECT doc_id, intent, len(list_filter(regexp_extract_all(lower(t), '[a-z0-9_]+'), lambda x: list_contains(w, x))) AS n FROM q, a),
+    b AS (SELECT doc_id, max(n) AS most FROM n GROUP BY 1), o AS (SELECT intent, row_number() OVER () AS place FROM a),
+    i AS (SELECT doc_id, arg_min(intent, place) AS intent FROM n JOIN o USING (intent) JOIN b USING (doc_id) WHERE n = most AND n > 0 GROUP BY 1),
+    e AS (SELECT doc_id, nullif(regexp_extract(t, '["'']([^"'']+)["'']', 1), '') AS quoted, nullif(regexp_extract(t, '\\b([A-Z][a-zA-Z]+(?:Service|Handler|Controller|Repository|Manager|Factory))\\b', 1), '') AS named,
+          nullif(regexp_extract(t, '\\b([A-Z][a-zA-Z]{{3,}})\\b', 1), '') AS capital, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) > 3 AND x NOT IN ('what', 'does', 'this', 'that', 'from', 'with')) AS words FROM q)
+    SELECT doc_id, coalesce(intent, 'general') AS intent, coalesce(quoted, named, capital, list_filter(words, lambda x: length(x) = list_max(list_transform(words, lambda y: length(y))))[1], '') AS entity FROM e LEFT JOIN i USING (doc_id)""")
 def ask_routing(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", X.ask_intent(F.col("text")).alias("intent"))
+    """Intent and subject of each question."""
+    q = read(spark, sf_dir, "documents").select("doc_id", F.expr(_QUESTION).alias("t"))
+    return q.select("doc_id", X.ask_intent(F.col("t")).alias("intent"), X.ask_entity(F.col("t")).alias("entity"))

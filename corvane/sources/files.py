@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 # Languages by extension, folders that are left out, the largest file in bytes, manifests with their languages.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".cs": "csharp", ".go": "go", ".java": "java",
-    ".rs": "rust", ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".kt": "kotlin", ".swift": "swift", ".scala": "scala", ".vue": "javascript",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".tsx": "typescript", ".jsx": "javascript", ".vue": "javascript", ".go": "go", ".cs": "csharp", ".java": "java", ".rs": "rust",
+    ".rb": "ruby", ".php": "php", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift", ".scala": "scala", ".sc": "scala",
 }
-IGNORED = ["node_modules", ".git", "bin", "obj", "dist", "build", "__pycache__", ".venv", "venv", "vendor", "target", ".idea", ".vs"]
+IGNORED = [
+    "node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".tox", ".mypy_cache", "egg-info", "bin", "obj", "packages", ".vs", "wwwroot", "publish",
+    "artifacts", "TestResults", "target", "vendor", ".gradle", ".idea", ".next", "_next", "out",
+]
 LARGEST = 200_000
 MANIFESTS = {"pyproject.toml": "python", "package.json": "javascript", "go.mod": "go", "Cargo.toml": "rust", "pom.xml": "java", "build.gradle": "java", "composer.json": "php"}
 
