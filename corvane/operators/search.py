@@ -119,19 +119,24 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, jaccard) of a < b whose token sets (id, tokens: distinct array) have a Jaccard similarity of `least` or more.
 
     Tokens are 64-bit hashes, in the order of their frequency in all sets. Two such sets share one of the rarest tokens of each: of n tokens only the first
-    n - ceil(least n) + 1 are joined; what two sets can share behind such a token, by its places, sorts out most pairs, and candidates are
-    verified on the whole sets.
+    n - ceil(least n) + 1 are joined. In the join, what two sets can share by the places of such a token, and how many bits of their bitmaps differ, which
+    are no more than their tokens that do, sort out most pairs; candidates are verified on the whole sets.
     """
+    words = 8  # of a bitmap
     h = cut(sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
     each = h.select("id", F.explode("tokens").alias("t"))
     ranked = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
     ordered = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
-    ordered = cut(ordered.withColumn("n", F.size("o")), "sets")
-    rare = ordered.select("id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("p", "t"))
+    bit = lambda k: F.aggregate("o", F.lit(0).cast("bigint"), lambda a, t: F.when(F.pmod(t, F.lit(words)) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(t, 3), F.lit(64)).cast("int")))).otherwise(a))
+    ordered = cut(ordered.select("id", "o", F.size("o").alias("n"), F.array(*[bit(k) for k in range(words)]).alias("bits")), "sets")
+    rare = ordered.select("id", "n", "bits", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("p", "t"))
     a, b = rare.alias("a"), rare.alias("b")
     room = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + F.least("a.p", "b.p")
     close = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (room * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-9)
-    pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    differ = reduce(Column.__add__, [F.bit_count(F.get(F.col("a.bits"), F.lit(k)).bitwiseXOR(F.get(F.col("b.bits"), F.lit(k)))) for k in range(words)])
+    close &= differ * (1 + least) <= (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work, so they stay dealt
+    pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).repartition(parts, "a", "b").distinct()
     x = ordered.select(F.col("id").alias("a"), F.col("o").alias("x"))
     y = ordered.select(F.col("id").alias("b"), F.col("o").alias("y"))
     full = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
