@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,17 +30,22 @@ def tool_metrics(calls: DataFrame, tool: str, order: list[Column], value: str, f
 def fresh_calls(calls: DataFrame, key: list[str], ts: str, tie: str, ttl: int) -> DataFrame:
     """Calls that are no repeats: a call repeats if one that was let through with its key began less than ttl seconds before.
 
-    A repeat does not renew the time, so what is let through depends on what was let through before. After a gap of ttl
-    any call is let through; only the calls of a run without such a gap are folded together, in order.
+    A repeat does not renew the time, so what is let through depends on what was let through before: calls of a key are read in order,
+    row by row, and only the time of the last one let through is held.
     """
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = Window.partitionBy(*key).orderBy("_t", tie)
-    c = calls.select(*key, tie, t.alias("_t")).withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(w) >= ttl * 1_000_000).cast("int"), F.lit(1)))
-    c = c.withColumn("_run", F.sum("_new").over(w))
-    g = c.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col("_t").alias("t"), F.col(tie).alias("id")))).alias("all"))
-    passed = F.expr(f"""aggregate(all, struct(cast(null AS bigint) AS last, cast(array() AS array<struct<t:bigint,id:bigint>>) AS kept),
-        (a, x) -> if(a.last IS NULL OR x.t - a.last >= {ttl}000000, struct(x.t AS last, a.kept || array(x) AS kept), a), a -> a.kept)""")
-    return g.select(*key, F.explode(passed).alias("x")).select(*key, F.col("x.id").alias(tie))
+    c = calls.select(*key, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).repartition(*key).sortWithinPartitions(*key, "_t", tie)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for b in batches:
+            keys, times, kept = list(zip(*(b[i].to_pylist() for i in range(len(key))))), b[len(key) + 1].to_pylist(), []
+            for i, (k, t) in enumerate(zip(keys, times)):
+                if k != now or t - last >= ttl * 1_000_000:
+                    now, last = k, t
+                    kept.append(i)
+            yield b.take(pa.array(kept, pa.int64())).select([*range(len(key) + 1)])
+
+    return c.mapInArrow(passed, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in c.schema.fields[:-1]))
 
 
 def breaker(calls: DataFrame, key: str, seconds: str, failed: Column, window: int = 60, most: int = 3) -> DataFrame:

@@ -40,17 +40,6 @@ def last_rows(rows: DataFrame, by: list[str], order: list[Column], n: int) -> Da
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col("place") <= n)
 
 
-def sweep(memories: DataFrame, as_of: float, most: int = 200) -> DataFrame:
-    """(id, score, reason) of memories to evict: unused for 90 days at low importance, or beyond `most` and weak; pinned categories stay."""
-    importance = mapped(W.IMPORTANCE, F.col("category"), 2)
-    age = (F.lit(as_of) - F.col("timestamp")) / DAY
-    m = memories.withColumn("score", retention(F.col("category"), F.col("timestamp"), F.col("access_count"), as_of)).withColumn("pinned", F.col("category").isin(W.PINNED))
-    m = m.withColumn("stale", ~F.col("pinned") & (age > 90) & (F.col("access_count") == 0) & (importance <= 2))
-    free = m.where("NOT pinned AND NOT stale AND score < 0.15").select("id", "score")
-    weak = free.orderBy(F.round("score", 9), "id").limit(max(0, m.where("NOT stale").count() - most))
-    return m.where("stale").select("id", "score", F.lit("stale").alias("reason")).union(weak.select("id", "score", F.lit("over capacity").alias("reason")))
-
-
 def fold_decisions(events: DataFrame) -> DataFrame:
     """(id, date, scope, branch, active, superseded_by): events folded in order of date; a redacted decision is gone, a superseded one inactive.
 

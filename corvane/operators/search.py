@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import words as W
 from ..functions.stemmer import stem
 from ..plans.cut import cut
+from ..plans.ranks import ranked as place
 
 #: Weight of a synonym that a text lacks.
 SYNONYM = 0.49
@@ -163,6 +164,29 @@ def ranked(hits: DataFrame, order: list[Column], k: int) -> DataFrame:
     return first.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
 
 
+def ranked_all(hits: DataFrame, order: list[Column]) -> DataFrame:
+    """(id, rank) of all hits, ranks from 0, without a window over them."""
+    return place(hits, order).select("id", (F.col("rank") - 1).alias("rank"))
+
+
+def question_category(question: str) -> str | None:
+    """The category whose words a question has most of, the first named of equals; None where it has none."""
+    low = " ".join(re.findall("[a-z0-9_]+", question.lower()))
+    n = {c: sum(len(re.findall(rf"(?<![a-z0-9_]){w}(?![a-z0-9_])", low)) for w in ws) for c, ws in W.CATEGORY_WORDS.items()}
+    best = max(n, key=n.get)
+    return best if n[best] else None
+
+
+def with_fallback(vectors: DataFrame, query: list[float], where: Column, k: int, least: int = 3) -> DataFrame:
+    """(id, rank) of the k nearest rows that a filter lets through; if these are fewer than `least`, the k nearest of all follow them."""
+    best = [F.col("_s").desc(), F.col("id")]
+    of = lambda d: ranked(d.withColumn("_s", F.round("score", 9)), best, k)
+    kept, all_ = of(nearest(vectors, query, k, where=where)), of(nearest(vectors, query, k))
+    both = kept.select("id", F.lit(0).alias("late"), "rank").unionByName(all_.join(kept, "id", "left_anti").select("id", F.lit(1).alias("late"), "rank"))
+    few = F.count(F.when(F.col("late") == 0, 1)).over(Window.partitionBy()) < least
+    return both.withColumn("few", few).where("late = 0 OR few").select("id", (F.row_number().over(Window.orderBy("late", "rank")) - 1).alias("rank"))
+
+
 def fused(lists: dict[str, tuple[DataFrame, float]], missing: int, k: int = 60) -> DataFrame:
     """(id, score): the sum of weight / (k + rank) over ranked lists; an id that a list lacks has the rank `missing` there."""
     long_ = reduce(DataFrame.unionByName, [d.select("id", "rank", F.lit(name).alias("list")) for name, (d, _) in lists.items()])

@@ -56,13 +56,6 @@ def recall_capped(spark, sf_dir):
 _IMP = "CASE " + " ".join(f"WHEN category = '{c}' THEN {v}" for c, v in W.IMPORTANCE.items()) + " ELSE 2 END"
 
 
-@query(f"""WITH {MEM}, s AS (SELECT id, {_RET} AS score, category IN ('architecture', 'preference', 'decision') AS pinned, ({AS_OF!r}::DOUBLE - timestamp) / {DAY!r}::DOUBLE > 90 AND access_count = 0 AND {_IMP} <= 2 AS old FROM mem),
-    t AS (SELECT *, NOT pinned AND old AS stale FROM s), w AS (SELECT id, score, row_number() OVER (ORDER BY round(score, 9), id) AS r FROM t WHERE NOT pinned AND NOT stale AND score < 0.15)
-    SELECT id, round(score, 6) AS score, 'stale' AS reason FROM t WHERE stale UNION ALL SELECT id, round(score, 6), 'over capacity' FROM w WHERE r <= greatest(0, (SELECT count(*) FROM t WHERE NOT stale) - 200)""")
-def forget_sweep(spark, sf_dir):
-    return M.sweep(memories(spark, sf_dir), AS_OF).select("id", rounded(F.col("score")).alias("score"), "reason")
-
-
 @query(f"""WITH {MEM} SELECT id, CASE WHEN category = 'todo' AND age > 14400 THEN 'deleted' WHEN category = 'general' AND age > 604800 AND access_count < 2 THEN 'archived' WHEN category = 'general' AND age > 604800 THEN 'persistent' ELSE 'kept' END AS state
     FROM (SELECT *, {AS_OF!r}::DOUBLE - timestamp AS age FROM mem)""")
 def ttl_expiry(spark, sf_dir):
