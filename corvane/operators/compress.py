@@ -22,28 +22,58 @@ def containment(a: Counter, b: Counter) -> float:
     return sum((a & b).values()) / max(sum(a.values()), 1)
 
 
+class _Index:
+    """Kept entries by some of their words: those that a new one can resemble, in the order in which they came."""
+
+    def __init__(self) -> None:
+        self.of: dict[str, list[int]] = {}
+
+    def add(self, k: int, words: Iterable[str]) -> None:
+        for w in words:
+            self.of.setdefault(w, []).append(k)
+
+    def like(self, words: Iterable[str]) -> list[int]:
+        return sorted({k for w in words for k in self.of.get(w, ())})
+
+
 def fold(rows: Iterable[tuple[int, str]]) -> list[dict]:
     """Memories of one category in order: a text that shares over half its words with a kept one is merged into it, up to
     LONGEST characters; what is left joins the first leader that it resembles. One dict a cluster, with its members and the
-    words that three fifths of three or more members share."""
+    words that three fifths of three or more members share.
+
+    Entries are found by their rarest words: two sets that share over MERGE of their words share one of the rarest of each, all but that part of them; a
+    leader that holds CLUSTER of a text's words has one of its rarest, as many as make up the rest.
+    """
+    rows = [(i, text, set(text.lower().split())) for i, text in rows]
+    often = Counter(w for _, _, words in rows for w in words)
+    rare = lambda words: sorted(words, key=lambda w: (often[w], w))
     kept: list[dict] = []
-    for i, text in rows:
-        words = set(text.lower().split())
-        for k in kept:
-            if jaccard(words, k["words"]) > MERGE:
-                k["ids"].append(i)
-                k["text"] = f"{k['text']} | {text}"[:LONGEST]
-                break
+    index = _Index()
+    for i, text, words in rows:
+        some = rare(words)[: int(len(words) * (1 - MERGE)) + 1]
+        k = next((kept[k] for k in (index.like(some) if words else ()) if jaccard(words, kept[k]["words"]) > MERGE), None)
+        if k:
+            k["ids"].append(i)
+            k["text"] = f"{k['text']} | {text}"[:LONGEST]
         else:
+            index.add(len(kept), some)
             kept.append({"ids": [i], "text": text, "words": words})
     clusters: list[list[dict]] = []
+    index = _Index()
     for k in kept:
         k["count"] = Counter(k["text"].lower().split())
-        home = next((c for c in clusters if containment(k["count"], c[0]["count"]) >= CLUSTER), None)
+        least, some = (1 - CLUSTER) * sum(k["count"].values()), []
+        for w in rare(k["count"]):
+            some.append(w)
+            least -= k["count"][w]
+            if least < 0:
+                break
+        home = next((c for c in index.like(some) if containment(k["count"], clusters[c][0]["count"]) >= CLUSTER), None)
         if home is None:
+            index.add(len(clusters), k["count"])
             clusters.append([k])
         else:
-            home.append(k)
+            clusters[home].append(k)
     out = []
     for c in clusters:
         shared = Counter(w for k in c for w in k["words"] if len(w) > 2 and w not in W.STOP_WORDS)
@@ -55,8 +85,8 @@ def fold(rows: Iterable[tuple[int, str]]) -> list[dict]:
 def compressed(memories: DataFrame, shard: str | None = "branch") -> DataFrame:
     """(category, shard, leader, members, merged, pattern): the fold over each category of each shard, ordered by id.
 
-    Without a shard a category is folded over all its rows and the column is left out. The fold compares with all that is kept: a
-    category's rows are in one task, and its cost grows with their square.
+    Without a shard a category is folded over all its rows and the column is left out. The fold depends on its order, so a category's rows are in
+    one task; each is compared only with what shares rare words with it.
     """
     keys = {"category": "string"} | ({shard: "string"} if shard else {})
 

@@ -45,12 +45,6 @@ def distances(edges: DataFrame, starts: DataFrame, most: float) -> DataFrame:
     return best
 
 
-def mentions(texts: DataFrame, symbols: DataFrame, id_col: str, text_col: str, symbol_col: str = "symbol", least: int = 4) -> DataFrame:
-    """(id, symbol) where a symbol of `least` letters or more is a word of the text, case-sensitive: an equi-join on words."""
-    words = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z]+"), F.lit(0)))).alias(symbol_col))
-    return words.join(symbols.where(F.length(symbol_col) >= least).select(symbol_col).distinct(), symbol_col).select("id", symbol_col)
-
-
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): weighted label propagation from (src, dst, weight); communities of one are left out.
 

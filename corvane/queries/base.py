@@ -67,19 +67,21 @@ DEC = """dec AS (
     FROM events WHERE event_type IN ('signup', 'purchase', 'error'))"""
 
 
-def calls(spark: SparkSession, sf_dir: str, least: float) -> DataFrame:
-    """Calls between parts (src, dst, confidence): consecutive lines of an order, the best confidence of a pair, `least` or more."""
+def calls(spark: SparkSession, sf_dir: str, least: float, project: str | None = None) -> DataFrame:
+    """Calls between parts (src, dst, confidence): consecutive lines of an order, the best confidence of a pair, `least` or more; those of a project, a return flag, alone if named."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    li = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.round(1 - F.col("l_discount"), 2).alias("c"))
+    li = read(spark, sf_dir, "lineitem")
+    li = li if project is None else li.where(F.col("l_returnflag") == project)
+    li = li.select("l_orderkey", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), F.round(1 - F.col("l_discount"), 2).alias("c"))
     return li.where("dst IS NOT NULL AND dst <> src").groupBy("src", "dst").agg(F.max("c").alias("confidence")).where(F.col("confidence") >= least)
 
 
-def calls_sql(least: float) -> str:
+def calls_sql(least: float, project: str | None = None) -> str:
     return f"""calls AS (
     SELECT src, dst, max(c) AS confidence FROM (
-        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, round(1 - l_discount, 2) AS c FROM lineitem)
+        SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, round(1 - l_discount, 2) AS c FROM lineitem{f' WHERE l_returnflag = {project!r}' if project else ''})
     WHERE dst IS NOT NULL AND dst <> src GROUP BY 1, 2 HAVING max(c) >= {least})"""
 
 

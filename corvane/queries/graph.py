@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import code as C
 from ..operators import graph as G
+from ..operators import resolve as R
 from .base import calls, calls_sql, query, read, rounded
 
 _STRICT = calls_sql(0.99)
@@ -22,11 +23,11 @@ def graph_stats(spark, sf_dir):
     return out
 
 
-@query(f"""WITH {_STRICT}, p AS (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')
+@query(f"""WITH {calls_sql(0.0)}, p AS (SELECT p_partkey FROM part WHERE p_name LIKE '%ring%')
     SELECT * FROM (SELECT 'out' AS way, src, dst, confidence FROM calls WHERE src IN (FROM p) ORDER BY src, dst LIMIT 10) UNION ALL SELECT * FROM (SELECT 'in', src, dst, confidence FROM calls WHERE dst IN (FROM p) ORDER BY src, dst LIMIT 10)""")
 def graph_neighbors(spark, sf_dir):
     """Ten calls from and ten to functions whose name contains a word."""
-    e, p = calls(spark, sf_dir, 0.99), read(spark, sf_dir, "part").where(F.col("p_name").contains("ring")).select("p_partkey")
+    e, p = calls(spark, sf_dir, 0.0), read(spark, sf_dir, "part").where(F.col("p_name").contains("ring")).select("p_partkey")
     of = lambda way, end: e.join(p, F.col(end) == F.col("p_partkey"), "left_semi").orderBy("src", "dst").limit(10).select(F.lit(way).alias("way"), "src", "dst", "confidence")
     return of("out", "src").union(of("in", "dst"))
 
@@ -95,6 +96,15 @@ def impact_downstream(spark, sf_dir):
     return _impact(spark, sf_dir, "src", "dst")
 
 
+@query(f"""WITH RECURSIVE {_STRICT}, e AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), s AS (SELECT p_partkey AS start FROM part WHERE p_brand = 'Brand#12' AND p_size < 3),
+    r(start, node, depth) AS (SELECT start, dst, 1 FROM s JOIN e ON src = start UNION SELECT start, dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2""")
+def impact_both(spark, sf_dir):
+    """Callers and callees of each function of a file, to depth two."""
+    e = calls(spark, sf_dir, 0.99).select("src", "dst")
+    of_file = read(spark, sf_dir, "part").where("p_brand = 'Brand#12' AND p_size < 3").select(F.col("p_partkey").alias("start"))
+    return G.reach(e.union(e.select("dst", "src")), of_file, 2)
+
+
 @query(f"""WITH RECURSIVE {_STRICT}, e AS (SELECT src, dst, 3 AS w FROM calls UNION ALL SELECT dst, src, 3 FROM calls), s AS (SELECT p_partkey AS node FROM part WHERE p_name = 'small ring'),
     r(node, dist) AS (SELECT node, 0 FROM s UNION SELECT dst, dist + w FROM r JOIN e ON src = node WHERE dist + w <= 9),
     b AS (SELECT node, min(dist) AS dist FROM r GROUP BY 1) SELECT doc_id AS memory, CAST(dist + 1 AS DOUBLE) AS dist FROM documents JOIN b ON node = doc_id % (SELECT count(*) FROM part) ORDER BY dist, memory LIMIT 50""")
@@ -108,12 +118,11 @@ def dijkstra_memories(spark, sf_dir):
     return d.join(near, "node").select("memory", (F.col("dist") + 1).alias("dist")).orderBy("dist", "memory").limit(50)
 
 
-@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS symbol FROM benchmark), d AS (SELECT doc_id AS id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]+'))) AS symbol FROM documents)
-    SELECT id, symbol FROM d JOIN s USING (symbol) WHERE length(symbol) >= 4""")
+@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS symbol FROM benchmark) SELECT doc_id AS id, symbol FROM documents JOIN s ON contains(text, symbol) WHERE length(symbol) >= 4""")
 def autolink_mentions(spark, sf_dir):
-    """Documents linked to every symbol of four letters or more that they mention."""
+    """Documents linked to every symbol of four letters or more that they contain, within longer words too."""
     s = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("symbol"))
-    return G.mentions(read(spark, sf_dir, "documents"), s, "doc_id", "text")
+    return R.contained(read(spark, sf_dir, "documents"), s, "doc_id", "text", 4, "A-Za-z")
 
 
 @query()
@@ -122,6 +131,13 @@ def community_membership(spark, sf_dir):
     return G.communities(calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2))
 
 
+@query()
+def community_modularity(spark, sf_dir):
+    """How good the communities of the graph of certain calls are."""
+    e = calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2)
+    return R.modularity(e, G.communities(e)).select(rounded(F.col("modularity")).alias("modularity"))
+
+
 @query("""WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages) SELECT s[1] AS community, replace(min(array_to_string(s[1:3], '/')), '/', '-') AS name, count(*) AS members FROM p GROUP BY 1""")
 def community_names(spark, sf_dir):
     """Each community's least prefix of three path segments."""
@@ -144,11 +160,15 @@ def layout_hashed(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", at(1).alias("x"), at(9).alias("y"))
 
 
-@query(f"WITH {_STRICT} SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls) AND p_name NOT LIKE '%test%' AND p_name NOT LIKE '\\_%' ESCAPE '\\' AND p_name NOT IN ('main', 'cli', 'setup', 'configure')")
+@query(f"""WITH {calls_sql(0.0, 'R')} SELECT 'function' AS type, p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls) AND p_name NOT LIKE '%test%' AND NOT starts_with(p_name, '_') AND p_name NOT IN ('main', 'cli', 'setup', 'configure')
+    UNION ALL SELECT 'class', c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_name NOT LIKE '%test%' AND NOT starts_with(c_name, '_')""")
 def dead_symbols(spark, sf_dir):
-    """Functions that nothing calls, but for tests, private names and entry points."""
-    p = read(spark, sf_dir, "part").where(~F.col("p_name").contains("test") & ~F.col("p_name").startswith("_") & ~F.col("p_name").isin("main", "cli", "setup", "configure"))
-    return C.unused(p, calls(spark, sf_dir, 0.99), "p_partkey").select("p_partkey", "p_name")
+    """Functions of a project that nothing there calls and classes that none of its files refers to, but for tests, private names and entry points."""
+    named = lambda t, key, name: read(spark, sf_dir, t).select(F.col(key).alias("id"), F.col(name).alias("name")).where(~F.col("name").contains("test") & ~F.col("name").startswith("_"))
+    functions = C.unused(named("part", "p_partkey", "p_name").where(~F.col("name").isin("main", "cli", "setup", "configure")), calls(spark, sf_dir, 0.0, "R"), "id")
+    refers = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
+    classes = C.unused(named("customer", "c_custkey", "c_name"), refers, "id")
+    return functions.select(F.lit("function").alias("type"), "id", "name").union(classes.select(F.lit("class"), "id", "name"))
 
 
 @query("""WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, md5(text || CASE WHEN doc_id % 10 = 2 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 10 <> 1)
@@ -303,3 +323,17 @@ def api_endpoints(spark, sf_dir):
 def knowledge_context_lines(spark, sf_dir):
     """Lines around each hit of a word, the first fifty of a document."""
     return C.context(C.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text"), F.lower("text").contains("token"))
+
+
+_PATH_OF = "'src/' || replace(lower(p_brand), '#', '') || '/m' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.cs' ELSE '.java' END"
+_DIR = "replace(lower(p_brand), '#', '')"
+_IMPORT = f"""CASE p_partkey % 5 WHEN 0 THEN 'from src.' || {_DIR} || '.m' || (p_partkey + 4) || ' import x' WHEN 1 THEN 'm' || (p_partkey + 50) WHEN 2 THEN chr(39) || '../' || {_DIR} || '/m' || (p_partkey - 25) || chr(39) || ';'
+    WHEN 3 THEN 'import ' || {_DIR} || '.m' || (p_partkey + 1000) ELSE 'java.util.*' END"""
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS id, {_DIR} AS dir, {_PATH_OF} AS path, {_IMPORT} AS import, p_partkey % 5 AS kind, CASE p_partkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 50 WHEN 2 THEN -25 WHEN 3 THEN 1000 END AS step FROM part)
+    SELECT s.path AS file, s.import, d.path AS target FROM f s JOIN f d ON d.id = s.id + s.step AND d.dir = s.dir WHERE CASE s.kind WHEN 0 THEN TRUE WHEN 3 THEN suffix(d.path, '.java') AND suffix(s.path, '.java') ELSE NOT suffix(d.path, '.java') END""")
+def code_imports(spark, sf_dir):
+    """Files that the import statements of a tree in four languages stand for."""
+    t = read(spark, sf_dir, "part").select(F.expr(_PATH_OF).alias("file"), F.expr(_IMPORT).alias("import"))
+    return R.import_targets(t, t.select(F.col("file").alias("path")))

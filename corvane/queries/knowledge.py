@@ -140,7 +140,7 @@ def unified_search(spark, sf_dir):
     return out.union(top("events", "errors", "event_id", "props", (F.col("event_type") == "error") & F.col("props").contains("7"), 10, F.desc("event_id")))
 
 
-@query(f"""WITH {calls_sql(0.99)} SELECT n_name AS community, count(DISTINCT c_custkey) AS classes, count(o_orderkey) AS files, round(avg(o_totalprice), 2) AS mean_size FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+@query(f"""WITH {calls_sql(0.0)} SELECT n_name AS community, count(DISTINCT c_custkey) AS classes, count(o_orderkey) AS files, round(avg(o_totalprice), 2) AS mean_size FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def graph_drilldown(spark, sf_dir):
     """Classes and files of each community."""
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -165,10 +165,10 @@ def name_suffixes(spark, sf_dir):
     return p.select("p_brand", "p_partkey", F.concat("p_name", F.when(F.col("r") > 1, F.concat(F.lit("-"), (F.col("r") - 1).cast("string"))).otherwise("")).alias("name"))
 
 
-@query("""SELECT file, symbol, arg_max(id, pos) AS id FROM (SELECT p_brand AS file, p_name AS symbol, p_partkey AS id, p_partkey AS pos FROM part) GROUP BY 1, 2""")
+@query("""SELECT p_brand AS file, p_name AS symbol, arg_max(p_partkey, (p_size, p_retailprice, p_partkey)) AS id FROM part GROUP BY 1, 2""")
 def symbol_map(spark, sf_dir):
     """Of each symbol of a file the last definition."""
-    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file"), F.col("p_name").alias("symbol")).agg(F.max_by("p_partkey", "p_partkey").alias("id"))
+    return read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("file"), F.col("p_name").alias("symbol")).agg(F.max_by("p_partkey", F.struct("p_size", "p_retailprice", "p_partkey")).alias("id"))
 
 
 _FAMILIES = f"""{calls_sql(1.0)}, s AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nxt FROM part),
@@ -197,10 +197,13 @@ def identity_languages(spark, sf_dir):
     return o.withColumn("share", F.round(F.col("files") / total, 4))
 
 
-@query("""SELECT max(o_orderdate) > TIMESTAMP '1998-06-01' AS newer, count(*) <> 15000 AS other_count FROM orders""")
+@query("""SELECT o_orderpriority AS folder, max(o_orderdate) > max(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END) AS newer, count(*) <> count(CASE WHEN o_orderstatus <> 'P' THEN 1 END) AS other_count FROM orders GROUP BY 1""")
 def change_detector(spark, sf_dir):
-    """Whether any file is newer than the map or their number differs."""
-    return read(spark, sf_dir, "orders").agg((F.max("o_orderdate") > F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")).alias("newer"), (F.count("*") != 15000).alias("other_count"))
+    """Whether any file of a folder is newer than its map, or their number differs; the map was made with the last finished order and lacks partial ones."""
+    o = read(spark, sf_dir, "orders")
+    map_ = o.groupBy(F.col("o_orderpriority").alias("folder")).agg(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))).alias("made"), F.count_if(F.col("o_orderstatus") != "P").alias("files"))
+    now = o.groupBy(F.col("o_orderpriority").alias("folder")).agg(F.max("o_orderdate").alias("last"), F.count("*").alias("n"))
+    return now.join(map_, "folder").select("folder", (F.col("last") > F.col("made")).alias("newer"), (F.col("n") != F.col("files")).alias("other_count"))
 
 
 @query("""WITH d AS (SELECT d.doc_id, d.source, d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 1) SELECT doc_id, source, trim(regexp_split_to_array(text, '\\n')[1]) AS title FROM d WHERE contains(lower(text), 'erre')""")
@@ -217,12 +220,12 @@ def legacy_migration(spark, sf_dir):
     return e.select((F.col("event_id") * 2 + F.col("k")).alias("id"), F.when(F.col("k") == 0, "decide").otherwise("supersede").alias("kind"), (F.col("ts") + F.make_dt_interval(secs=F.col("k"))).alias("date"))
 
 
-@query(f"""SELECT 'security' AS report, CAST(id AS VARCHAR) AS subject, rule AS detail FROM ({SQL["security_scan"]}) UNION ALL SELECT 'dead code', CAST(p_partkey AS VARCHAR), p_name FROM ({SQL["dead_symbols"]}) UNION ALL SELECT 'conventions', CAST(c_custkey AS VARCHAR), name FROM ({SQL["naming_violations"]})
+@query(f"""SELECT 'security' AS report, CAST(id AS VARCHAR) AS subject, rule AS detail FROM ({SQL["security_scan"]}) UNION ALL SELECT 'dead code', CAST(id AS VARCHAR), name FROM ({SQL["dead_symbols"]}) UNION ALL SELECT 'conventions', CAST(c_custkey AS VARCHAR), name FROM ({SQL["naming_violations"]})
     UNION ALL SELECT 'drift', src, dst FROM ({SQL["layer_violations"]}) UNION ALL SELECT 'breaking changes', CAST(p_partkey AS VARCHAR), status FROM ({SQL["breaking_diff"]}) WHERE status <> 'added'""")
 def audit_findings(spark, sf_dir):
     """Findings of all checks with the report that they belong to."""
     f = C.findings(C.lines_of(read(spark, sf_dir, "documents"), "doc_id", "text")).select(F.lit("security").alias("report"), F.col("id").cast("string").alias("subject"), F.col("rule").alias("detail"))
-    dead = QUERIES["dead_symbols"](spark, sf_dir).select(F.lit("dead code"), F.col("p_partkey").cast("string"), "p_name")
+    dead = QUERIES["dead_symbols"](spark, sf_dir).select(F.lit("dead code"), F.col("id").cast("string"), "name")
     names = QUERIES["naming_violations"](spark, sf_dir).select(F.lit("conventions"), F.col("c_custkey").cast("string"), "name")
     layers = QUERIES["layer_violations"](spark, sf_dir).select(F.lit("drift"), "src", "dst")
     diff = QUERIES["breaking_diff"](spark, sf_dir).where("status <> 'added'").select(F.lit("breaking changes"), F.col("p_partkey").cast("string"), "status")

@@ -21,7 +21,7 @@ def graph(spark, sf_dir) -> Graph:
         "MEMBER_OF": t("customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")),
         "DEFINES": t("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst")),
         "USES": t("lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), F.col("l_discount").alias("discount")),
-        "CALLS": calls(spark, sf_dir, 0.99),
+        "CALLS": calls(spark, sf_dir, 0.0),
     }
     return Graph(nodes, rels)
 
@@ -36,7 +36,7 @@ def pattern_two_hops(spark, sf_dir):
     return graph(spark, sf_dir).query("MATCH (f:File {status: 'F'})-[:DEFINES]->(c:Class)-[:MEMBER_OF]->(n:Community) RETURN n.name AS community, count(*) AS files")
 
 
-@query(f"WITH {calls_sql(0.99)} SELECT DISTINCT b.p_name AS callee FROM calls JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE starts_with(a.p_name, 'small') AND a.p_brand <> b.p_brand")
+@query(f"WITH {calls_sql(0.0)} SELECT DISTINCT b.p_name AS callee FROM calls JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst WHERE starts_with(a.p_name, 'small') AND a.p_brand <> b.p_brand")
 def pattern_callees(spark, sf_dir):
     return graph(spark, sf_dir).query("MATCH (a:Function)-[:CALLS]->(b:Function) WHERE a.name STARTS WITH 'small' AND a.file <> b.file RETURN DISTINCT b.name AS callee")
 
