@@ -1,11 +1,12 @@
 """Suffix sorting of a shard by external induced sorting, with common-prefix values carried along.
 
-Only the leftmost S-type suffixes are sorted by themselves: their substrings are named, and the string of
-names is ranked in turn. From them the L-type suffixes are induced in ascending order and from these the
+Only the leftmost S-type suffixes are sorted by themselves: their substrings are named, and where names are tied the string
+of names is sorted by the same induction, recursively. From them the L-type suffixes are induced in ascending order and from these the
 S-type ones in descending order. The priority queue of each pass orders tuples (first symbol, rank of the
-suffix behind it); as ranks only grow while a pass runs, it is one queue a symbol, first in, first
-out. Tuples carry the common prefix with the tuple before them: one more than the least common prefix
-between the suffixes that induced the two. Queues are numpy blocks; what exceeds their room is on disk.
+suffix behind it). Bytes are few symbols, so there it is one queue a symbol, first in, first
+out, as ranks only grow while a pass runs; names are many, so there it is a heap with sorted runs. Both are on disk beyond their room. Tuples of bytes carry
+the common prefix with the tuple before them: one more than the least common prefix
+between the suffixes that induced the two.
 
 Prefixes are compared up to a cap. Suffixes that agree so far are neighbours in an order that is
 otherwise open, and their common prefix is the cap.
@@ -16,50 +17,104 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 
-#: Bytes of queued tuples that stay in memory.
-QUEUE_BYTES = 64 << 20
+#: Bytes of queued tuples that stay in memory, and tuples that a heap holds.
+QUEUE_BYTES, HEAP = 2 << 20, 1 << 16
 _FAR = np.int32(1 << 30)
-#: Symbols packed into one number: 9 bits each, and what follows the end of a named substring.
-_PACK, _END = 7, 511
+#: Symbols of bytes packed into one number: 9 bits each.
+_PACK = 7
 
 
 class Queues:
-    """For each symbol a queue of blocks (positions, common prefixes), on disk once all hold more than their room."""
+    """For each symbol a queue of blocks (positions, common prefixes); once all hold more than their room they go on in a file a symbol."""
 
     def __init__(self, symbols: int, room: int) -> None:
-        self.blocks: list[list] = [[] for _ in range(symbols)]
-        self.room, self.held, self.files, self.folder = room, 0, 0, None
+        self.blocks: list[list[np.ndarray]] = [[] for _ in range(symbols)]
+        self.filed: list[bool] = [False] * symbols
+        self.room, self.held, self.folder = room, 0, None
 
     def put(self, symbol: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        block = np.stack([at.astype(np.int32), lcp])
-        if self.held + block.nbytes > self.room:
+        block = np.stack([at.astype(np.int32), lcp], axis=1)
+        self.blocks[symbol].append(block)
+        self.held += block.nbytes
+        if self.held > self.room:
             self.folder = self.folder or tempfile.mkdtemp(prefix="queues-")
-            name = f"{self.folder}/{self.files}.npy"
-            self.files += 1
-            np.save(name, block)
-            self.blocks[symbol].append(name)
-        else:
-            self.held += block.nbytes
-            self.blocks[symbol].append(block)
+            for s, blocks in enumerate(self.blocks):
+                if blocks:
+                    with open(f"{self.folder}/{s}", "ab") as f:
+                        f.writelines(b.tobytes() for b in blocks)
+                    self.filed[s], self.blocks[s] = True, []
+            self.held = 0
 
     def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
         """All that is queued for the symbol, in order."""
         blocks, self.blocks[symbol] = self.blocks[symbol], []
+        self.held -= sum(b.nbytes for b in blocks)
+        if self.filed[symbol]:
+            path = f"{self.folder}/{symbol}"
+            blocks.insert(0, np.fromfile(path, np.int32).reshape(-1, 2))
+            os.unlink(path)
+            self.filed[symbol] = False
         if not blocks:
             return None
-        got = []
-        for b in blocks:
-            if isinstance(b, str):
-                got.append(np.load(b))
-                os.unlink(b)
-            else:
-                self.held -= b.nbytes
-                got.append(b)
-        at, lcp = np.concatenate(got, axis=1) if len(got) > 1 else got[0]
-        return at, lcp
+        all_ = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
+        return np.ascontiguousarray(all_[:, 0]), np.ascontiguousarray(all_[:, 1])
+
+    def close(self) -> None:
+        if self.folder:
+            shutil.rmtree(self.folder, ignore_errors=True)
+
+
+class DiskHeap:
+    """A priority queue of numbers; what exceeds its room lies on disk, in sorted runs that are read block by block. A number may have up to 192 bits."""
+
+    BLOCK, WIDE = 4096, 24
+
+    def __init__(self, room: int = HEAP) -> None:
+        self.room, self.heap, self.heads, self.runs, self.folder = max(2, room), [], [], [], None
+
+    def push(self, item: int) -> None:
+        heappush(self.heap, item)
+        if len(self.heap) > self.room:
+            self.spill()
+
+    def spill(self) -> None:
+        """The larger half goes."""
+        self.heap.sort()
+        self.folder = self.folder or tempfile.mkdtemp(prefix="heap-")
+        path, gone = f"{self.folder}/{len(self.runs)}", self.heap[self.room // 2 :]
+        with open(path, "wb") as f:
+            f.writelines(x.to_bytes(self.WIDE, "big") for x in gone)
+        del self.heap[self.room // 2 :]
+        self.runs.append(self._read(path))
+        self._next(len(self.runs) - 1)
+
+    def _read(self, path: str) -> Iterator[int]:
+        with open(path, "rb") as f:
+            while block := f.read(self.BLOCK * self.WIDE):
+                for k in range(0, len(block), self.WIDE):
+                    yield int.from_bytes(block[k : k + self.WIDE], "big")
+        os.unlink(path)
+
+    def _next(self, r: int) -> None:
+        if (item := next(self.runs[r], None)) is not None:
+            heappush(self.heads, (item, r))
+
+    def least(self) -> int | None:
+        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
+            return self.heads[0][0]
+        return self.heap[0] if self.heap else None
+
+    def pop(self) -> int:
+        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
+            item, r = heappop(self.heads)
+            self._next(r)
+            return item
+        return heappop(self.heap)
 
     def close(self) -> None:
         if self.folder:
@@ -111,18 +166,14 @@ def _types(text: np.ndarray) -> np.ndarray:
     return smaller
 
 
-def _packed(text: np.ndarray) -> np.ndarray:
-    """The _PACK symbols from each position on, in one number that orders as they do."""
-    out = np.zeros(len(text), np.int64)
-    for k in range(min(_PACK, len(text))):
-        out[: len(text) - k] |= text[k:].astype(np.int64) << 9 * (_PACK - 1 - k)
+def _packed(text: np.ndarray, bits: int = 9) -> np.ndarray:
+    """As many symbols from each position on as fit into one number that orders as they do."""
+    out, pack = np.zeros(len(text), np.int64), 63 // bits
+    for k in range(min(pack, len(text))):
+        out[: len(text) - k] |= text[k:].astype(np.int64) << bits * (pack - 1 - k)
     return out
 
 
-#: By how many symbols of a packed number count: what the others are replaced by.
-_FILL = np.array([(1 << 9 * (_PACK - k)) - 1 for k in range(_PACK + 1)], np.int64)
-
-
 def _split(name: np.ndarray, tied: np.ndarray, order: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Names of the tied, which order sorts by name and key, told apart by key; returns those still tied.
 
@@ -137,32 +188,99 @@ def _split(name: np.ndarray, tied: np.ndarray, order: np.ndarray, key: np.ndarra
     return tied[np.repeat(size > 1, size)]
 
 
-def _names(text: np.ndarray, packed: np.ndarray, lms: np.ndarray) -> np.ndarray:
+def _names(text: np.ndarray, packed: np.ndarray, lms: np.ndarray, bits: int = 9) -> np.ndarray:
     """Ranks of the substrings from each LMS position to the next, both ends included; a sentinel's is its number."""
+    pack = 63 // bits
+    fill = np.array([(1 << bits * (pack - k)) - 1 for k in range(pack + 1)], np.int64)  # what the symbols behind the first k are replaced by
     ends = np.append(lms[1:] + 1, len(text))
     sentinel = np.flatnonzero(text[lms] == 0)
     ends[sentinel] = lms[sentinel] + 1
     name = np.zeros(len(lms), np.int64)
     tied, at = np.arange(len(lms)), lms.copy()
     while len(tied):
-        key = packed[np.minimum(at[tied], len(text) - 1)] | _FILL[np.minimum(ends[tied] - at[tied], _PACK)]
+        key = packed[np.minimum(at[tied], len(text) - 1)] | fill[np.minimum(ends[tied] - at[tied], pack)]
         tied = _split(name, tied, np.lexsort((key, name[tied])) if name.any() else np.argsort(key), key)
-        at[tied] += _PACK
+        at[tied] += pack
         tied = tied[at[tied] <= ends[tied]]  # one that ends just here sorts behind those that go on
     name[sentinel] = np.arange(len(sentinel))  # they are the least group and differ by their number
     return name
 
 
-def _ranked(name: np.ndarray, cap: int) -> np.ndarray:
-    """Ranks of the suffixes of the string of names over the first cap symbols of text: every name covers two or more."""
-    n, h = len(name), 1
-    tied = np.flatnonzero(np.bincount(name, minlength=n)[name] > 1)
-    while len(tied) and 2 * h <= cap + 2:
-        behind = tied + h
-        key = np.where(behind < n, name[np.minimum(behind, n - 1)] + 1, 0)
-        tied = _split(name, tied, np.argsort(name[tied] * (n + 2) + key), key)
-        h *= 2
-    return name
+def _ranked(name: np.ndarray, room: int = HEAP) -> np.ndarray:
+    """Ranks of the suffixes of a string of names, a name being the least rank of its group; equal names are told apart by what follows.
+
+    Only stretches of tied names, each with the name behind it, are sorted: that one is alone, so no comparison goes beyond. Their string is sorted by
+    induction from its own S-type minima, whose names are ranked in the same way.
+    """
+    tied = np.bincount(name, minlength=len(name))[name] > 1
+    if not tied.any():
+        return name
+    keep = tied | np.concatenate([[False], tied[:-1]])
+    at = np.flatnonzero(keep)
+    symbols = np.unique(name[at], return_inverse=True)[1] + 1
+    order = _induced(symbols, room)
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    group = np.flatnonzero(tied[at])
+    by_rank = group[np.lexsort((place[group], name[at[group]]))]
+    first = np.concatenate([[True], name[at[by_rank[1:]]] != name[at[by_rank[:-1]]]]) if len(by_rank) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    nth = np.arange(len(by_rank)) - np.repeat(start, np.diff(np.append(start, len(by_rank))))
+    out = name.copy()
+    out[at[by_rank]] = name[at[by_rank]] + nth
+    return out
+
+
+def _induced(symbols: np.ndarray, room: int) -> np.ndarray:
+    """Positions of all suffixes of a string of symbols from 1, in order; its end counts as less than any symbol."""
+    text = np.append(symbols, 0)
+    n = len(text)
+    small = _types(text)
+    is_lms = small.copy()
+    is_lms[1:] &= ~small[:-1]
+    is_lms[0] = n == 1
+    lms = np.flatnonzero(is_lms)
+    bits = max(9, int(text.max()).bit_length() + 1)
+    seeds = lms[np.argsort(_ranked(_names(text, _packed(text, bits), lms, bits), room), kind="stable")].tolist()
+    sym = text.tolist()
+    width = max(n, max(sym)).bit_length() + 1  # of symbol, sequence and position in a queued number
+    large = _scanned([sym[p] for p in seeds], seeds, sym, np.append(~small[:-1], False), width, room)
+    most = max(sym)
+    flipped = [most - x for x in sym]  # descending order is ascending in these
+    back = large[::-1]
+    out = _scanned([flipped[p] for p in back], back, flipped, small[:-1], width, room, True)
+    return np.array(out[::-1], np.int64)
+
+
+def _scanned(firsts: list[int], given: list[int], sym: list[int], wanted: np.ndarray, width: int, room: int, all_: bool = False) -> list[int]:
+    """What a pass induces: given suffixes and induced ones are scanned in order, and each induces the one before it, if that is of the wanted type.
+
+    Of one first symbol the induced come first. Returns the induced in order, with the given ones among them if all_.
+    """
+    ok, queue, out = wanted.tolist(), DiskHeap(room), []
+    heap, two, here = queue.heap, 2 * width, (1 << width) - 1
+    seq = i = 0
+    last = len(given)
+    try:
+        while True:
+            head = queue.least() if queue.heads else heap[0] if heap else None
+            if i < last and (head is None or firsts[i] < head >> two):
+                p = given[i]
+                i += 1
+                if all_:
+                    out.append(p)
+            elif head is None:
+                return out
+            else:
+                p = (queue.pop() if queue.heads else heappop(heap)) & here
+                out.append(p)
+            if p and ok[p - 1]:
+                seq += 1
+                heappush(heap, sym[p - 1] << two | seq << width | p - 1)
+                if len(heap) > queue.room:
+                    queue.spill()
+    finally:
+        queue.close()
 
 
 def _prefixes(text: np.ndarray, packed: np.ndarray, at: np.ndarray, cap: int) -> np.ndarray:
@@ -186,7 +304,7 @@ def _prefixes(text: np.ndarray, packed: np.ndarray, at: np.ndarray, cap: int) ->
     return lcp
 
 
-def suffixes(text: np.ndarray, cap: int, room: int = QUEUE_BYTES):
+def suffixes(text: np.ndarray, cap: int, room: int = QUEUE_BYTES, heap: int = HEAP):
     """Yields (positions, common prefix with the one before) of all suffixes but the sentinels', in order, by first symbol.
 
     text: symbols from 1, every part ended by a sentinel 0; the sentinels differ from each other.
@@ -197,7 +315,7 @@ def suffixes(text: np.ndarray, cap: int, room: int = QUEUE_BYTES):
     is_lms[0] = text[0] == 0
     lms = np.flatnonzero(is_lms)
     packed = _packed(text)
-    order = lms[np.argsort(_ranked(_names(text, packed, lms), cap), kind="stable")]
+    order = lms[np.argsort(_ranked(_names(text, packed, lms), heap), kind="stable")]
     seed_lcp = _prefixes(text, packed, order, cap)
     del packed
     symbols = int(text.max()) + 1

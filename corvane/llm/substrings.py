@@ -15,6 +15,8 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
+from heapq import merge
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -260,26 +262,59 @@ class _Finer:
             shutil.rmtree(self.folder, ignore_errors=True)
 
     def _file(self, path: str) -> Iterator[pa.RecordBatch]:
-        """Equal fragments are joined, as they come, with the earliest; the distinct ones are sorted."""
-        earliest: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        """Rows in sorted runs of `room` bytes; merged, equal fragments follow each other: all but the earliest are marked, and the distinct ones go to shards."""
+        runs, held, size = [], [], 0
         with pa.OSFile(path) as file, pa.ipc.open_stream(file) as stream:
             for b in stream:
-                out: list[tuple[int, int, int]] = []
-                for anchor, doc, start, own, raw in zip(*(x.to_pylist() for x in b.columns)):
-                    here, was = (doc, start, own), earliest.get((anchor, raw))
-                    if was is None or here < was:
-                        earliest[anchor, raw] = here
-                    if was is not None and here != was:
-                        doc, start, _ = max(here, was)
-                        out.append((doc, start, start + len(raw)))
-                if out:
-                    yield _marked(*(np.array(x, np.int64) for x in zip(*out)))
+                held += zip(*(b.column(c).to_pylist() for c in ("anchor", "bytes", "doc", "start", "own")))
+                size += b.nbytes
+                if size > self.room:
+                    runs.append(self._run(f"{path}-{len(runs)}", held))
+                    held, size = [], 0
         os.unlink(path)
-        rows = sorted((anchor, *place, raw) for (anchor, raw), place in earliest.items())
-        del earliest
-        step = max(1, self.room // 4096)
-        batches = (pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows[i : i + step]), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc", "start", "own", "bytes"]) for i in range(0, len(rows), step))
-        yield from _Shards(self.length, self.gram, self.room).marks(batches)
+        if held:
+            runs.append(self._run(f"{path}-{len(runs)}", held))
+        del held
+        out: list[tuple[int, int, int]] = []
+        for (anchor, raw, doc, start, _), first in self._merged(runs):
+            if (doc, start) != first:
+                out.append((doc, start, start + len(raw)))
+            if len(out) == 1 << 16:
+                yield _marked(*(np.array(x, np.int64) for x in zip(*out)))
+                out = []
+        if out:
+            yield _marked(*(np.array(x, np.int64) for x in zip(*out)))
+
+        def distinct() -> Iterator[pa.RecordBatch]:
+            rows = (r for r, first in self._merged(runs) if r[2:4] == first)
+            while some := list(islice(rows, max(1, self.room // 4096))):
+                anchor, raw, doc, start, own = zip(*some)
+                yield pa.record_batch([pa.array(x, t) for x, t in zip((anchor, doc, start, own, raw), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["anchor", "doc", "start", "own", "bytes"])
+
+        yield from _Shards(self.length, self.gram, self.room).marks(distinct())
+
+    def _run(self, path: str, rows: list[tuple]) -> str:
+        rows.sort()
+        types = [("anchor", pa.int64()), ("bytes", pa.binary()), ("doc", pa.int64()), ("start", pa.int64()), ("own", pa.int32())]
+        with pa.ipc.new_stream(path, pa.schema(types), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for lo in range(0, len(rows), 256):
+                out.write_batch(pa.record_batch([pa.array(x, t) for x, (_, t) in zip(zip(*rows[lo : lo + 256]), types)], names=[n for n, _ in types]))
+        return path
+
+    @staticmethod
+    def _merged(runs: list[str]) -> Iterator[tuple[tuple, tuple[int, int]]]:
+        """Rows of all runs in order, each with the place (doc, start) of the first row that has its anchor and bytes."""
+
+        def read(path: str) -> Iterator[tuple]:
+            with pa.OSFile(path) as file, pa.ipc.open_stream(file) as stream:
+                for b in stream:
+                    yield from zip(*(c.to_pylist() for c in b.columns))
+
+        key = first = None
+        for row in merge(*map(read, runs)):
+            if row[:2] != key:
+                key, first = row[:2], row[2:4]
+            yield row, first
 
 
 _REMOVED = "id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string"

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from corvane.llm.induced import suffixes
+from corvane.llm.induced import DiskHeap, _induced, suffixes
 from corvane.llm.substrings import repeats_removed
 from llm import cases
 
@@ -81,3 +81,46 @@ def test_suffix_order_and_common_prefixes():
             a, b = suffix(at[k - 1]), suffix(at[k])
             same = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
             assert lcp[k] == min(same, cap)
+
+
+@pytest.mark.parametrize("room", [2, 16, 1 << 17])
+def test_recursive_induction_sorts_suffixes_with_heaps_on_disk(room):
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        s = rng.integers(1, int(rng.integers(2, 30)), int(rng.integers(1, 200)))
+        s = np.concatenate([s, s[: len(s) // 2], s]) if rng.random() < 0.5 else s
+        assert _induced(s, room).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+
+
+def test_heap_gives_all_in_order_from_disk():
+    rng = np.random.default_rng(8)
+    heap, held, out = DiskHeap(5), [], []
+    for k in range(2000):
+        if held and rng.random() < 0.45:
+            out.append(heap.pop())
+            assert out[-1] == min(held)
+            held.remove(out[-1])
+        x = int(rng.integers(50)) << (150 if k % 2 else 20) | k
+        held.append(x)
+        heap.push(x)
+    assert heap.least() == min(held) and len(heap.runs) > 50
+    while held:
+        held.remove(heap.pop())
+    assert heap.least() is None
+    heap.close()
+
+
+def test_a_shard_of_many_times_the_room_is_sorted():
+    """Queues of 64 KB and heaps of 1,000 tuples for 400,000 bytes whose halves repeat each other."""
+    rng = np.random.default_rng(9)
+    half = rng.integers(1, 5, 200_000)
+    other = half.copy()
+    other[rng.integers(0, 200_000, 300)] = 5
+    text = np.concatenate([half, [0], other, [0]]).astype(np.int16)
+    found = sum(int((lcp >= 100).sum()) for _, lcp in suffixes(text, 100, room=1 << 16, heap=1000))
+    strings = {}
+    for part in (half, other):
+        raw = part.astype(np.uint8).tobytes()
+        for s in range(len(raw) - 99):
+            strings[raw[s : s + 100]] = strings.get(raw[s : s + 100], -1) + 1
+    assert found == sum(strings.values()) > 50_000
