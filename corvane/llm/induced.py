@@ -4,7 +4,7 @@ Only the leftmost S-type suffixes are sorted by themselves: their substrings are
 of names is sorted by the same induction, recursively. From them the L-type suffixes are induced in ascending order and from these the
 S-type ones in descending order. The priority queue of each pass orders tuples (first symbol, rank of the
 suffix behind it). Bytes are few symbols, so there it is one queue a symbol, first in, first
-out, as ranks only grow while a pass runs; names are many, so there it is a heap with sorted runs. Both are on disk beyond their room. Tuples of bytes carry
+out, as ranks only grow while a pass runs; names are many, so there it is a heap of symbols with a queue each, and sorted runs. Both are on disk beyond their room. Tuples of bytes carry
 the common prefix with the tuple before them: one more than the least common prefix
 between the suffixes that induced the two.
 
@@ -22,7 +22,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 
-#: Bytes of queued tuples that stay in memory, and tuples that a heap holds.
+#: Bytes of queued tuples that stay in memory, and tuples of names that do.
 QUEUE_BYTES, HEAP = 2 << 20, 1 << 16
 _FAR = np.int32(1 << 30)
 #: Symbols of bytes packed into one number: 9 bits each.
@@ -69,52 +69,70 @@ class Queues:
             shutil.rmtree(self.folder, ignore_errors=True)
 
 
-class DiskHeap:
-    """A priority queue of numbers; what exceeds its room lies on disk, in sorted runs that are read block by block. A number may have up to 192 bits."""
+class ManyQueues:
+    """A priority queue by symbol, of symbols without number, first in, first out for each; what exceeds the room goes to disk in runs sorted by symbol.
 
-    BLOCK, WIDE = 4096, 24
+    Symbols are kept in a heap. A run is older than what came after it, so of one symbol the runs come first, in their order, then what is in memory.
+    """
 
-    def __init__(self, room: int = HEAP) -> None:
-        self.room, self.heap, self.heads, self.runs, self.folder = max(2, room), [], [], [], None
+    BLOCK = 4096
 
-    def push(self, item: int) -> None:
-        heappush(self.heap, item)
-        if len(self.heap) > self.room:
-            self.spill()
+    def __init__(self, room: int = HEAP) -> None:
+        self.room, self.held, self.of, self.order, self.heads, self.runs, self.folder = room, 0, {}, [], [], [], None
 
-    def spill(self) -> None:
-        """The larger half goes."""
-        self.heap.sort()
+    def spill(self, but: int) -> None:
+        """All but one symbol's go to disk."""
         self.folder = self.folder or tempfile.mkdtemp(prefix="heap-")
-        path, gone = f"{self.folder}/{len(self.runs)}", self.heap[self.room // 2 :]
-        with open(path, "wb") as f:
-            f.writelines(x.to_bytes(self.WIDE, "big") for x in gone)
-        del self.heap[self.room // 2 :]
-        self.runs.append(self._read(path))
+        gone = np.array([(s, p) for s in sorted(self.of) if s != but for p in self.of[s]], np.int64).reshape(-1, 2)
+        np.save(f"{self.folder}/{len(self.runs)}.npy", gone)
+        self.of = {s: q for s, q in self.of.items() if s == but}
+        self.order = list(self.of)
+        self.held = sum(map(len, self.of.values()))
+        self.runs.append(self._read(f"{self.folder}/{len(self.runs)}.npy"))
         self._next(len(self.runs) - 1)
 
-    def _read(self, path: str) -> Iterator[int]:
-        with open(path, "rb") as f:
-            while block := f.read(self.BLOCK * self.WIDE):
-                for k in range(0, len(block), self.WIDE):
-                    yield int.from_bytes(block[k : k + self.WIDE], "big")
+    def _read(self, path: str) -> Iterator[tuple[int, int]]:
+        run = np.load(path, mmap_mode="r")
+        for lo in range(0, len(run), self.BLOCK):
+            yield from run[lo : lo + self.BLOCK].tolist()
         os.unlink(path)
 
     def _next(self, r: int) -> None:
         if (item := next(self.runs[r], None)) is not None:
-            heappush(self.heads, (item, r))
+            heappush(self.heads, (item[0], r, item[1]))
+
+    def put(self, symbol: int, position: int, but: int = -1) -> None:
+        if (q := self.of.get(symbol)) is None:
+            self.of[symbol] = [position]
+            heappush(self.order, symbol)
+        else:
+            q.append(position)
+        self.held += 1
+        if self.held > self.room:
+            self.spill(but)
 
     def least(self) -> int | None:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            return self.heads[0][0]
-        return self.heap[0] if self.heap else None
-
-    def pop(self) -> int:
-        if self.heads and (not self.heap or self.heads[0][0] < self.heap[0]):
-            item, r = heappop(self.heads)
+        """The least symbol that has anything."""
+        a, b = self.order[0] if self.order else None, self.heads[0][0] if self.heads else None
+        return b if a is None else a if b is None else min(a, b)
+
+    def open(self, symbol: int) -> list[int]:
+        """All of the least symbol, in order; what is put to it meanwhile is appended."""
+        first = []
+        while self.heads and self.heads[0][0] == symbol:
+            _, r, position = heappop(self.heads)
+            first.append(position)
             self._next(r)
-            return item
-        return heappop(self.heap)
+        if self.order and self.order[0] == symbol:
+            first += self.of[symbol]
+        else:
+            heappush(self.order, symbol)
+        self.of[symbol] = first
+        return first
+
+    def done(self, symbol: int) -> None:
+        heappop(self.order)
+        self.held -= min(self.held, len(self.of.pop(symbol)))
 
     def close(self) -> None:
         if self.folder:
@@ -242,43 +260,58 @@ def _induced(symbols: np.ndarray, room: int) -> np.ndarray:
     lms = np.flatnonzero(is_lms)
     bits = max(9, int(text.max()).bit_length() + 1)
     seeds = lms[np.argsort(_ranked(_names(text, _packed(text, bits), lms, bits), room), kind="stable")].tolist()
-    sym = text.tolist()
-    width = max(n, max(sym)).bit_length() + 1  # of symbol, sequence and position in a queued number
-    large = _scanned([sym[p] for p in seeds], seeds, sym, np.append(~small[:-1], False), width, room)
-    most = max(sym)
-    flipped = [most - x for x in sym]  # descending order is ascending in these
-    back = large[::-1]
-    out = _scanned([flipped[p] for p in back], back, flipped, small[:-1], width, room, True)
+    sym, most = text.tolist(), int(text.max())
+    large = _scanned(seeds, sym, np.append(~small[:-1], False), room, False)
+    out = _scanned(large[::-1], [most - x for x in sym], small[:-1], room, True)  # descending order is ascending in these
     return np.array(out[::-1], np.int64)
 
 
-def _scanned(firsts: list[int], given: list[int], sym: list[int], wanted: np.ndarray, width: int, room: int, all_: bool = False) -> list[int]:
+def _scanned(given: list[int], sym: list[int], wanted: np.ndarray, room: int, all_: bool) -> list[int]:
     """What a pass induces: given suffixes and induced ones are scanned in order, and each induces the one before it, if that is of the wanted type.
 
     Of one first symbol the induced come first. Returns the induced in order, with the given ones among them if all_.
     """
-    ok, queue, out = wanted.tolist(), DiskHeap(room), []
-    heap, two, here = queue.heap, 2 * width, (1 << width) - 1
-    seq = i = 0
-    last = len(given)
+    ok, queue, out = wanted.tolist(), ManyQueues(room), []
+    of, order = queue.of, queue.order
+    i, last = 0, len(given)
     try:
         while True:
-            head = queue.least() if queue.heads else heap[0] if heap else None
-            if i < last and (head is None or firsts[i] < head >> two):
+            s = queue.least() if queue.heads else order[0] if order else None
+            if i < last and (s is None or sym[given[i]] < s):
                 p = given[i]
                 i += 1
                 if all_:
                     out.append(p)
-            elif head is None:
+                if p and ok[p - 1]:
+                    t = sym[p - 1]
+                    if (q := of.get(t)) is None:
+                        of[t] = [p - 1]
+                        heappush(order, t)
+                    else:
+                        q.append(p - 1)
+                    queue.held += 1
+                    if queue.held > room:
+                        queue.spill(-1)
+                        of, order = queue.of, queue.order
+                continue
+            if s is None:
                 return out
-            else:
-                p = (queue.pop() if queue.heads else heappop(heap)) & here
-                out.append(p)
-            if p and ok[p - 1]:
-                seq += 1
-                heappush(heap, sym[p - 1] << two | seq << width | p - 1)
-                if len(heap) > queue.room:
-                    queue.spill()
+            line = queue.open(s)
+            of, order = queue.of, queue.order
+            for p in line:  # it grows while it is read
+                if p and ok[p - 1]:
+                    t = sym[p - 1]
+                    if (q := of.get(t)) is None:
+                        of[t] = [p - 1]
+                        heappush(order, t)
+                    else:
+                        q.append(p - 1)
+                    queue.held += 1
+                    if queue.held > room:
+                        queue.spill(s)
+                        of, order = queue.of, queue.order
+            out += line
+            queue.done(s)
     finally:
         queue.close()
 

@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from corvane.llm.induced import DiskHeap, _induced, suffixes
+from corvane.llm.induced import ManyQueues, _induced, suffixes
 from corvane.llm.substrings import repeats_removed
 from llm import cases
 
@@ -92,22 +92,19 @@ def test_recursive_induction_sorts_suffixes_with_heaps_on_disk(room):
         assert _induced(s, room).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_heap_gives_all_in_order_from_disk():
+def test_queues_of_many_symbols_give_all_in_order_from_disk():
     rng = np.random.default_rng(8)
-    heap, held, out = DiskHeap(5), [], []
+    queue, put, got = ManyQueues(5), {}, {}
     for k in range(2000):
-        if held and rng.random() < 0.45:
-            out.append(heap.pop())
-            assert out[-1] == min(held)
-            held.remove(out[-1])
-        x = int(rng.integers(50)) << (150 if k % 2 else 20) | k
-        held.append(x)
-        heap.push(x)
-    assert heap.least() == min(held) and len(heap.runs) > 50
-    while held:
-        held.remove(heap.pop())
-    assert heap.least() is None
-    heap.close()
+        x = int(rng.integers(50))
+        queue.put(x, k)
+        put.setdefault(x, []).append(k)
+    assert len(queue.runs) > 50
+    while (x := queue.least()) is not None:
+        got[x] = list(queue.open(x))
+        queue.done(x)
+    queue.close()
+    assert list(got) == sorted(put) and got == put
 
 
 def test_a_shard_of_many_times_the_room_is_sorted():
