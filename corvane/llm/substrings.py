@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import ROW, numbered, released, written
 from .induced import suffixes
 from .textarrays import Chunk, chunks
 
@@ -58,7 +58,7 @@ def _grams(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np
     return h, least, np.arange(len(least)) + length <= ends
 
 
-_DOCS = "id bigint, sha string, n_bytes bigint, anchors array<bigint>"
+_DOCS = "id bigint, file bigint, at bigint, sha string, n_bytes bigint, anchors array<bigint>"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
                 third[2:] = (v[2:] == v[:-2]) & (owner[2:] == owner[:-2])
                 anchors, ends = v[~third].view(np.int64), np.searchsorted(owner[~third], np.arange(c.hi - c.lo + 1))
             shas = [hashlib.sha256(c.data[a:z].tobytes()).hexdigest() for a, z in zip(c.bounds[:-1], c.bounds[1:])]
-            yield pa.record_batch([b[0].slice(c.lo, c.hi - c.lo), pa.array(shas), pa.array(np.diff(c.bounds)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(anchors))], names=["id", "sha", "n_bytes", "anchors"])
+            own = [b[k].slice(c.lo, c.hi - c.lo) for k in (0, 2, 3)]
+            yield pa.record_batch([*own, pa.array(shas), pa.array(np.diff(c.bounds)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(anchors))], names=["id", "file", "at", "sha", "n_bytes", "anchors"])
 
 
 def _compressed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -88,7 +89,7 @@ def _compressed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         for c in chunks(b[1]):
             long_ = np.flatnonzero(np.diff(c.bounds) >= length)
             raw = [c.data[c.bounds[k] : c.bounds[k + 1]].tobytes() for k in long_]
-            yield pa.record_batch([b[0].slice(c.lo, c.hi - c.lo).take(pa.array(long_)), pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string()), pa.array([pack(x) for x in raw], pa.binary())], names=["id", "sha", "packed"])
+            yield pa.record_batch([*(b[k].slice(c.lo, c.hi - c.lo).take(pa.array(long_)) for k in (2, 3)), pa.array([pack(x) for x in raw], pa.binary())], names=["file", "at", "packed"])
 
 
 def _runs(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -317,7 +318,7 @@ class _Finer:
             yield row, first
 
 
-_REMOVED = "id bigint, sha string, n_removed bigint, n_spans bigint, kept_sha256 string"
+_REMOVED = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +338,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.update(text[at:])
             out.append((gone, spans, kept.hexdigest()))
         n, s, k = zip(*out) if out else ((), (), ())
-        yield pa.record_batch([b.column("id"), b.column("sha"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.string())], names=["id", "sha", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.record_batch([b.column("doc"), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(k, pa.string())], names=["doc", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", room: int = SHARD_BYTES) -> DataFrame:
@@ -349,26 +350,28 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     all. A null id comes first; rows that repeat id and text are one document and have the same
     result; another text of the same id is a document of its own, and of these the one with the lesser digest comes first.
 
-    Long documents but whole copies have numbers in the order of id and digest, which fragments and marks carry as doc.
+    Long documents but whole copies have numbers in the order of id and digest, which fragments and marks carry as doc; texts are
+    found again by their place in the table.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = numbered(docs)
+    texts = texts.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at"))
     known = written(texts.mapInArrow(lambda b: _anchors(b, length, gram), _DOCS), "repeats-anchors")
     long_ = known.where(F.col("n_bytes") >= length)
     first = long_.groupBy("sha").agg(F.min("id").alias("first"))
-    ranked = long_.select("id", "sha").distinct().join(first, "sha")
-    whole = written(ranked.where(F.col("id") != F.col("first")).select("id", "sha"), "repeats-copies")
-    numbers = ranked.where(F.col("id") == F.col("first")).select("id", "sha").orderBy("id", "sha")
+    ranked = long_.select("id", "sha", "file", "at").join(first, "sha")
+    whole = written(ranked.where(F.col("id") != F.col("first")).select("id", "sha").distinct(), "repeats-copies")
+    numbers = ranked.where(F.col("id") == F.col("first")).groupBy("id", "sha").agg(F.min(F.struct("file", "at")).alias("r")).select("id", "sha", "r.*").orderBy("id", "sha")
     numbers = written(numbers.withColumn("doc", F.monotonically_increasing_id()), "repeats-numbers")  # written once, so numbers hold
 
-    each = long_.join(numbers, ["id", "sha"]).select("doc", F.explode("anchors").alias("anchor"))
+    each = long_.join(numbers, ["id", "sha", "file", "at"]).select("doc", F.explode("anchors").alias("anchor"))
     again = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     wanted = each.join(again, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = written(wanted.join(numbers, "doc"), "repeats-wanted")
+    wanted = written(wanted.join(numbers.select("doc", "file", "at"), "doc"), "repeats-wanted")
     del each, again
     released(docs.sparkSession)
 
-    packed = texts.mapInArrow(lambda b: _compressed(b, length), "id bigint, sha string, packed binary")
-    found = written(packed.join(wanted, ["id", "sha"]).mapInArrow(lambda b: _fragments(b, length, gram), _FRAGMENTS), "repeats-fragments")
+    packed = texts.mapInArrow(lambda b: _compressed(b, length), "file bigint, at bigint, packed binary")
+    found = written(packed.join(wanted, ["file", "at"]).mapInArrow(lambda b: _fragments(b, length, gram), _FRAGMENTS), "repeats-fragments")
     released(docs.sparkSession)
 
     key = ["anchor", "f1", "f2"]
@@ -377,10 +380,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     copies = found.select(*key, "doc", "start", "size").join(at, key).where((F.col("doc") != F.col("_d")) | (F.col("start") != F.col("_s")))
     shards = distinct.select("anchor", "doc", "start", "own", "bytes").repartition("anchor").sortWithinPartitions("anchor")
     marks = copies.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("z")).union(shards.mapInArrow(lambda b: _Shards(length, gram, room).marks(b), _MARKS))
-    marks = written(marks.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("marks")).join(numbers, "doc"), "repeats-marks")
+    marks = written(marks.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("marks")).join(numbers.select("doc", "file", "at"), "doc"), "repeats-marks")
     released(docs.sparkSession)
 
-    gone = packed.join(marks, ["id", "sha"]).mapInArrow(_removed, _REMOVED).dropDuplicates(["id", "sha"])
+    gone = packed.join(marks, ["file", "at"]).mapInArrow(_removed, _REMOVED).join(numbers.select("doc", "id", "sha"), "doc").drop("doc")
     copy = whole.select("id", "sha", F.lit(True).alias("copy"))
     out = known.select("id", "sha", "n_bytes").join(gone, ["id", "sha"], "left").join(copy, ["id", "sha"], "left")
     pick = lambda full, part, none: F.when(F.col("copy"), full).otherwise(F.coalesce(F.col(part), none))
