@@ -33,6 +33,8 @@ from .textarrays import Chunk, chunks
 LENGTH, GRAM = 100, 32
 #: Bytes of fragments whose suffixes are sorted together; those of one anchor always are.
 SHARD_BYTES = 3 << 19
+#: Texts that are unpacked at a time.
+ROWS = 256
 NO_ID = -(2**63)
 
 
@@ -119,7 +121,7 @@ _FRAGMENTS = "anchor bigint, f1 bigint, f2 bigint, doc bigint, start bigint, siz
 def _fragments(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """The stretches of strings around each text's repeated anchors."""
     unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
+    for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
         texts = pa.array([unpack(x.as_py()) for x in b.column("packed")], pa.large_binary()).view(pa.large_string())
         wanted, doc = b.column("anchors"), b.column("doc").to_numpy()
         for c in chunks(texts):
@@ -323,7 +325,7 @@ _REMOVED = "doc bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor().decompress
-    for b in batches:
+    for b in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
         out: list[tuple[int, int, str]] = []
         for packed, marks in zip(b.column("packed"), b.column("marks").to_pylist()):
             text, kept, at, gone, spans = unpack(packed.as_py()), hashlib.sha256(), 0, 0, 0
@@ -370,8 +372,10 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     del each, again
     released(docs.sparkSession)
 
-    packed = texts.mapInArrow(lambda b: _compressed(b, length), "file bigint, at bigint, packed binary")
-    found = written(packed.join(wanted, ["file", "at"]).mapInArrow(lambda b: _fragments(b, length, gram), _FRAGMENTS), "repeats-fragments")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # packed texts are few bytes and much work, so they stay dealt
+    dealt = lambda d: d.repartition(parts, "file", "at")
+    packed = dealt(texts.mapInArrow(lambda b: _compressed(b, length), "file bigint, at bigint, packed binary"))
+    found = written(packed.join(dealt(wanted), ["file", "at"]).mapInArrow(lambda b: _fragments(b, length, gram), _FRAGMENTS), "repeats-fragments")
     released(docs.sparkSession)
 
     key = ["anchor", "f1", "f2"]
@@ -383,7 +387,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     marks = written(marks.groupBy("doc").agg(F.collect_list(F.struct("a", "z")).alias("marks")).join(numbers.select("doc", "file", "at"), "doc"), "repeats-marks")
     released(docs.sparkSession)
 
-    gone = packed.join(marks, ["file", "at"]).mapInArrow(_removed, _REMOVED).join(numbers.select("doc", "id", "sha"), "doc").drop("doc")
+    gone = packed.join(dealt(marks), ["file", "at"]).mapInArrow(_removed, _REMOVED).join(numbers.select("doc", "id", "sha"), "doc").drop("doc")
     copy = whole.select("id", "sha", F.lit(True).alias("copy"))
     out = known.select("id", "sha", "n_bytes").join(gone, ["id", "sha"], "left").join(copy, ["id", "sha"], "left")
     pick = lambda full, part, none: F.when(F.col("copy"), full).otherwise(F.coalesce(F.col(part), none))
