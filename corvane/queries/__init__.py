@@ -1,6 +1,6 @@
 """All queries of the library with their SQL."""
 
-from . import activity, graph, knowledge, lifecycle, memory, pattern, search, text  # noqa: F401
+from . import activity, graph, knowledge, lifecycle, memory, pattern, search, text, workspace  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -17,9 +17,9 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def accepted(records: DataFrame) -> DataFrame:
-    """Records that a log takes: no longer than RECORD as JSON, and without injection in any text."""
+    """Records that a log takes: no longer than RECORD as JSON, on one line, and without injection in any text, however deep."""
     json = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
-    return records.where((F.octet_length(json) <= RECORD) & ~injected(json))
+    return records.where((F.octet_length(json) <= RECORD) & ~json.rlike(r"(?<!\\)(?:\\\\)*\\[nr]") & ~injected(json))
 
 
 def append_log(records: DataFrame, path: str) -> None:
@@ -45,6 +45,11 @@ def load_version(spark: SparkSession, root: str, version: int | None = None) ->
     return df.where(F.col("v") == v).drop("v")
 
 
+def versions(df: DataFrame) -> DataFrame:
+    """(v, rows) of all versions of a table that is read from its root."""
+    return df.groupBy("v").agg(F.count("*").alias("rows"))
+
+
 def endpoints(files: DataFrame) -> DataFrame:
     """(file, method, path, summary) of OpenAPI descriptions (path, text)."""
     paths = F.from_json(F.get_json_object("text", "$.paths"), "map<string,map<string,struct<summary:string>>>")
@@ -85,6 +90,22 @@ def git_log(lines: DataFrame) -> DataFrame:
     return c.withColumn("ts", F.try_to_timestamp(F.substring("date", 1, 19), F.lit("yyyy-MM-dd HH:mm:ss"))).where("ts IS NOT NULL")
 
 
+def git_stats(lines: DataFrame) -> DataFrame:
+    """(hash, ts, author, path, added, removed) from lines (n, value) of a log formatted as %H|%ai|%an|%s with --numstat; n is the line's number within its file (file).
+
+    A file of a log is read in order; binary files count as 0.
+    """
+    from pyspark.sql import Window
+
+    head = F.col("value").rlike(r"^[0-9a-f]{7,40}\|")
+    of = F.last(F.when(head, F.col("value")), ignorenulls=True).over(Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    p, h = F.split("value", "\t", 3), F.split("head", r"\|", 4)
+    rows = lines.withColumn("head", of).where(~head & (F.size(p) == 3) & F.col("head").isNotNull())
+    count = lambda c: F.coalesce(F.expr(f"try_cast({c} AS bigint)"), F.lit(0))
+    r = rows.select(h[0].alias("hash"), F.try_to_timestamp(F.substring(h[1], 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), h[2].alias("author"), p[0].alias("a"), p[1].alias("r"), p[2].alias("path"))
+    return r.select("hash", "ts", "author", "path", count("a").alias("added"), count("r").alias("removed"))
+
+
 def vectors_without(index: DataFrame, ids: DataFrame | None = None, namespace: str | None = None) -> DataFrame:
     """A vector index (id, namespace, ...) without some ids, or without a whole namespace."""
     if ids is not None:
