@@ -37,8 +37,8 @@ def accesses(history: Column, as_of: float) -> Column:
 def superseders(memories: DataFrame, least: float = 0.9) -> DataFrame:
     """(id, by): for each of memories (id, category, content) the first later one of its category that holds more than `least` of its weight.
 
-    Equal texts are one text. A text that holds so much of another has one of that text's rarest tokens, all that make up the rest and one more, so
-    candidates come from an equi-join on these; similarities are exact.
+    Equal texts are one text. Of a text's rarest tokens, twice what it may lack by weight, one that holds so much of it has half; candidates come from an
+    equi-join on these and are summed up before whole texts are compared. Similarities are exact.
     """
     m = memories.select("id", "category", F.coalesce("content", F.lit("")).alias("content")).withColumn("key", F.concat("category", F.lit(":"), F.md5("content")))
     texts = m.groupBy("key").agg(F.first("category").alias("category"), F.first("content").alias("content"))
@@ -46,8 +46,13 @@ def superseders(memories: DataFrame, least: float = 0.9) -> DataFrame:
     whole = Window.partitionBy("key")
     df = c.groupBy("category", "token").agg(F.count("*").alias("df"))
     r = c.join(df, ["category", "token"]).withColumns({"total": F.greatest(F.sum("n").over(whole), F.lit(1.0)), "before": F.coalesce(F.sum("n").over(whole.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
-    rare = r.where(F.col("before") <= F.col("total") * (1 - least) + 1e-9).select(F.col("key").alias("a"), "category", "token", "total")
-    pairs = rare.join(c.select(F.col("key").alias("b"), "category", "token"), ["category", "token"]).where("a <> b").select("a", "b", "total").distinct()
+    slack = F.col("total") * (1 - least)
+    rare = r.where(F.col("before") <= 2 * slack + 1e-9).withColumns({"part": F.sum("n").over(whole), "slack": slack})
+    rare = rare.select(F.col("key").alias("a"), "category", "token", "total", "part", "slack", F.col("n").alias("na"))
+    there = r.select(F.col("key").alias("b"), "category", "token", F.col("n").alias("nb"), F.col("total").alias("total_b"))
+    near = rare.join(there, ["category", "token"]).where((F.col("a") != F.col("b")) & (F.col("total_b") >= F.col("total") - F.col("slack") - 1e-9))
+    near = near.groupBy("a", "b", "total", "part", "slack").agg(F.sum(F.least("na", "nb")).alias("has"))
+    pairs = near.where(F.col("has") >= F.col("part") - F.col("slack") - 1e-9).select("a", "b", "total")
     both = pairs.join(c.select(F.col("key").alias("a"), "token", F.col("n").alias("na")), "a").join(c.select(F.col("key").alias("b"), "token", F.col("n").alias("nb")), ["b", "token"])
     links = both.groupBy("a", "b", "total").agg(F.sum(F.least("na", "nb")).alias("shared")).where(F.col("shared") > F.col("total") * least + 1e-9).select("a", "b")
     links = links.union(c.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())  # a text with tokens holds itself
