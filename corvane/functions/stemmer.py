@@ -18,9 +18,22 @@ STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic",
 STEP4 = dict.fromkeys(["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"], "")
 
 
+class _Kinds(dict):
+    """v for vowels, c for all else; y is left to what is before it."""
+
+    def __missing__(self, _: int) -> str:
+        return "c"
+
+
+_KINDS = _Kinds({ord(ch): "v" for ch in "aeiou"} | {ord("y"): "y"})
+
+
 def shape(word: str) -> str:
     """v for a vowel, c for a consonant; y is a vowel after a consonant."""
-    return "".join("v" if ch in "aeiou" or (ch == "y" and i and word[i - 1] not in "aeiou") else "c" for i, ch in enumerate(word))
+    kinds = word.translate(_KINDS)
+    if "y" not in kinds:
+        return kinds
+    return "".join(k if k != "y" else "v" if i and kinds[i - 1] != "v" else "c" for i, k in enumerate(kinds))
 
 
 def measure(word: str) -> int:
@@ -34,6 +47,8 @@ def short_end(word: str) -> bool:
 
 
 def replaced(word: str, rules: dict[str, str], above: int) -> str:
+    if not word.endswith(tuple(rules)):
+        return word
     for suffix, by in rules.items():
         if word.endswith(suffix):
             rest = word.removesuffix(suffix)
@@ -45,10 +60,9 @@ def past(word: str) -> str:
     """Takes off eed, ed and ing."""
     if word.endswith("eed"):
         return word[:-1] if measure(word[:-3]) > 0 else word
-    m = re.fullmatch("(.*?)(ed|ing)", word)
-    if not m or "v" not in shape(m[1]):
+    rest = word[:-2] if word.endswith("ed") else word[:-3] if word.endswith("ing") else None
+    if rest is None or "v" not in shape(rest):
         return word
-    rest = m[1]
     if re.search("(at|bl|iz)$", rest):
         return rest + "e"
     if re.search(r"([^aeioulsz])\1$", rest):
@@ -56,11 +70,14 @@ def past(word: str) -> str:
     return rest + "e" if measure(rest) == 1 and short_end(rest) else rest
 
 
+_PLURAL = re.compile("(ss)es$|(i)es$|(ss)$|s$")
+
+
 def stem(word: str) -> str:
     """The stem of a word; one or two letters stay."""
     if len(word) <= 2:
         return word
-    w = re.sub("(ss)es$|(i)es$|(ss)$|s$", lambda m: m[1] or m[2] or m[3] or "", word.lower())
+    w = _PLURAL.sub(lambda m: m[1] or m[2] or m[3] or "", word.lower())
     w = past(w)
     if w.endswith("y") and "v" in shape(w[:-1]):
         w = w[:-1] + "i"
