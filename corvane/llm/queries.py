@@ -74,7 +74,25 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op4_repeated_substrings, op5_fair_mix, op6_chat_windows, op7_packed_sequences, op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        *(op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op4_repeated_substrings, op5_fair_mix, op6_chat_windows, op7_packed_sequences),
+        *(op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup, op12_token_alignment, op13_token_counts),
+    )
+}
 
 
 def _crc_entry(c: int) -> int:
