@@ -74,6 +74,12 @@ def op7_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .alignment import alignments
 
@@ -90,7 +96,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         *(op1_secret_scan, op2_stratified_shards, op3_merkle_fingerprints, op4_repeated_substrings, op5_fair_mix, op6_chat_windows, op7_packed_sequences),
-        *(op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup, op12_token_alignment, op13_token_counts),
+        *(op8_near_dedup, op9_boosted_quality, op10_grace_exact_dedup, op11_phrases, op12_token_alignment, op13_token_counts),
     )
 }
 
@@ -192,4 +198,20 @@ SQL = {
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_phrases": r"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+        p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS w FROM w, range(1, 5) r(m) WHERE len(w) >= m),
+        f AS (SELECT lang, w, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+        c AS (SELECT c.lang, c.w, c.f AS a, k, l.f AS l, r.f AS r, 2000000::HUGEINT * c.f // (l.f + r.f) AS score FROM f c JOIN range(1, 4) t(k) ON k < len(c.w)
+              JOIN f l ON l.lang = c.lang AND l.w = c.w[1:k] JOIN f r ON r.lang = c.lang AND r.w = c.w[k + 1:]),
+        b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, k) = 1),
+        s AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len(w)), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])))) AS w FROM f WHERE len(w) > 2),
+        x AS (SELECT lang, w, max(f) AS f FROM s GROUP BY ALL),
+        n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+        o AS (SELECT b.lang, array_to_string(b.w, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN x ON x.lang = b.lang AND x.w = b.w WHERE x.f IS NULL OR 100::HUGEINT * x.f < 80::HUGEINT * a),
+        k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+        SELECT k.lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k JOIN n ON n.lang = k.lang WHERE rank <= 2000
+    """,
 }
