@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import re
 import uuid
+from contextlib import redirect_stdout, suppress
+from io import StringIO
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,13 +47,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def numbered(df: DataFrame) -> DataFrame:
     """df with the columns ROW, which stay the same whenever and by whomever a row is read again.
 
-    A row of a Parquet table has them by its place: a 64-bit digest of its file's path, and its
-    number there. Any other table is written first, with numbers of its own.
+    A row of a Parquet table that is read as it is, but for filters and columns, has them by its place: a 64-bit digest of
+    its file's path, and its number there. Any other table, as after a join, a union or explode, is written first,
+    with numbers of its own. Columns of df with these names are replaced.
     """
-    try:
-        return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
-    except AnalysisException:
-        return written(df.select("*", F.lit(0).cast("bigint").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1])), "numbered")
+    df = df.drop(*ROW)
+    if _bare(df):
+        with suppress(AnalysisException):
+            return df.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+    return written(df.select("*", F.lit(0).cast("bigint").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1])), "numbered")
+
+
+def _bare(df: DataFrame) -> bool:
+    """Whether df's plan is one scan of files with filters and projections, none of them of chance: then each row of a file comes once."""
+    plan = StringIO()
+    with redirect_stdout(plan):
+        df.explain()
+    steps = re.findall(r"^[ :+*()\d-]*([A-Z]\w+)", plan.getvalue().replace("== Physical Plan ==", ""), re.M)
+    chance = re.search(r"\b(rand|randn|randstr|uniform|uuid|shuffle|monotonically_increasing_id|spark_partition_id)\(", plan.getvalue(), re.I)
+    return not chance and steps.count("FileScan") == 1 and not set(steps) - {"FileScan", "Project", "Filter", "ColumnarToRow"}
+
+
+def known_id(col: str) -> Column:
+    """An id with a flag: it compares and joins as the id, and null is a value of its own, before all others."""
+    i = F.col(col).cast("bigint")
+    return F.struct(i.isNotNull().alias("known"), F.coalesce(i, F.lit(0)).alias("value"))
+
+
+def real_id(col: str) -> Column:
+    return F.when(F.col(f"{col}.known"), F.col(f"{col}.value"))
 
 
 def shuffled_key(seed: str, *cols: str) -> Column:

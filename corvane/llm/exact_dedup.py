@@ -28,8 +28,6 @@ from .common import ROW, written
 TABLE_BYTES = 48 << 20
 #: Spill files that one level partitions into.
 FANOUT = 16
-#: Stands for a null id; it sorts before every other.
-NO_ID = -(2**63)
 
 _SPILL = pa.schema([("content", pa.large_binary()), ("row", pa.list_(pa.int64()))])
 
@@ -135,7 +133,7 @@ def grace(records: Iterator[tuple[bytes, tuple]], room: int = TABLE_BYTES, fanou
             shutil.rmtree(folder, ignore_errors=True)
 
 
-_LOCAL = "doc bigint, file bigint, at bigint, part bigint, rep bigint, lead boolean, n bigint, content binary"
+_LOCAL = "known bigint, doc bigint, file bigint, at bigint, part bigint, rep bigint, lead boolean, n bigint, content binary"
 
 
 def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
@@ -146,28 +144,35 @@ def _local(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBa
         for b in batches:
             ids, files, ats = (b[i].to_pylist() for i in (0, 1, 2))
             for i, f, a, c in zip(ids, files, ats, b[3].to_pylist()):
-                yield c or b"", (NO_ID if i is None else i, f, a)
+                yield c or b"", (int(i is not None), i or 0, f, a)
 
     for t in grace(records(), room):
         for lo in range(0, len(t.contents), 2000):
             some = range(lo, min(lo + 2000, len(t.contents)))
-            docs = np.concatenate([np.frombuffer(t.rows[e], np.int64).reshape(-1, 3) for e in some])
-            sizes = np.array([len(t.rows[e]) // 3 for e in some])
+            docs = np.concatenate([np.frombuffer(t.rows[e], np.int64).reshape(-1, 4) for e in some])
+            sizes = np.array([len(t.rows[e]) // 4 for e in some])
             starts = np.cumsum(sizes) - sizes
             lead = np.zeros(len(docs), bool)
             content = [None] * len(docs)
             for e, s, n in zip(some, starts, sizes):
-                at = s + int(np.argmax(docs[s : s + n, 0]))
+                at = s + int(np.lexsort(docs[s : s + n, 1::-1].T)[-1])
                 lead[at] = True
                 content[at] = t.contents[e]
             yield pa.record_batch(
-                [*(pa.array(docs[:, k]) for k in range(3)), pa.array(np.full(len(docs), part)), pa.array(np.repeat(np.arange(rep, rep + len(sizes)), sizes)), pa.array(lead), pa.array(np.repeat(sizes, sizes)), pa.array(content, pa.binary())],
-                names=["doc", "file", "at", "part", "rep", "lead", "n", "content"],
+                [
+                    *(pa.array(docs[:, k]) for k in range(4)),
+                    pa.array(np.full(len(docs), part)),
+                    pa.array(np.repeat(np.arange(rep, rep + len(sizes)), sizes)),
+                    pa.array(lead),
+                    pa.array(np.repeat(sizes, sizes)),
+                    pa.array(content, pa.binary()),
+                ],
+                names=["known", "doc", "file", "at", "part", "rep", "lead", "n", "content"],
             )
             rep += len(sizes)
 
 
-_GLOBAL = "part bigint, rep bigint, keep bigint, stays boolean, size bigint, sha string"
+_GLOBAL = "part bigint, rep bigint, keep_known bigint, keep bigint, stays boolean, size bigint, sha string"
 
 
 def _global(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordBatch]:
@@ -175,21 +180,20 @@ def _global(batches: Iterator[pa.RecordBatch], room: int) -> Iterator[pa.RecordB
 
     def records():
         for b in batches:
-            doc, part, rep, n = (b[i].to_pylist() for i in range(4))
-            yield from zip(b[4].to_pylist(), zip(doc, part, rep, n))
+            yield from zip(b[5].to_pylist(), zip(*(b[i].to_pylist() for i in range(5))))
 
     for t in grace(records(), room):
-        out, shas = [[], [], [], [], []], []
+        out, shas = [[] for _ in range(6)], []
         for content, rows in zip(t.contents, t.rows):
-            r = np.frombuffer(rows, np.int64).reshape(-1, 4)
-            best = np.lexsort((-r[:, 2], -r[:, 1], r[:, 0]))[-1]
+            r = np.frombuffer(rows, np.int64).reshape(-1, 5)
+            best = np.lexsort((-r[:, 3], -r[:, 2], r[:, 1], r[:, 0]))[-1]
             stays = np.zeros(len(r), bool)
             stays[best] = True
-            for o, v in zip(out, (r[:, 1], r[:, 2], np.full(len(r), r[best, 0]), stays, np.full(len(r), r[:, 3].sum()))):
+            for o, v in zip(out, (r[:, 2], r[:, 3], np.full(len(r), r[best, 0]), np.full(len(r), r[best, 1]), stays, np.full(len(r), r[:, 4].sum()))):
                 o.append(v)
             shas += [hashlib.sha256(content).hexdigest()] * len(r)
         if t.rows:
-            yield pa.record_batch([*(pa.array(np.concatenate(o)) for o in out), pa.array(shas)], names=["part", "rep", "keep", "stays", "size", "sha"])
+            yield pa.record_batch([*(pa.array(np.concatenate(o)) for o in out), pa.array(shas)], names=["part", "rep", "keep_known", "keep", "stays", "size", "sha"])
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", room: int = TABLE_BYTES) -> DataFrame:
@@ -207,12 +211,13 @@ def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """exact_groups of docs that come from numbered, with the columns ROW of each row."""
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc"), *ROW, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("content"))
     local = written(texts.mapInArrow(lambda b: _local(b, room), _LOCAL), "exact-local")
-    distinct = local.where("lead").select("doc", "part", "rep", "n", "content")
+    distinct = local.where("lead").select("known", "doc", "part", "rep", "n", "content")
     spread = distinct.repartition(F.xxhash64("content"), F.length("content"))
     classes = spread.mapInArrow(lambda b: _global(b, room), _GLOBAL)
-    members = local.select("doc", F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), "part", "rep", "lead")
-    null_id = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
+    members = local.select("known", "doc", F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), "part", "rep", "lead")
+    ids = F.when(F.col("known") > 0, F.col("doc")).alias("doc_id"), F.when(F.col("keep_known") > 0, F.col("keep")).alias("keep_id")
+    kept = (F.col("lead") & F.col("stays")).alias("kept")
     return (
         members.join(classes, ["part", "rep"])
-        .select(*ROW, null_id("doc").alias("doc_id"), null_id("keep").alias("keep_id"), F.col("size").alias("group_size"), (F.col("lead") & F.col("stays")).alias("kept"), F.col("sha").alias("text_sha256"))
+        .select(*ROW, *ids, F.col("size").alias("group_size"), kept, F.col("sha").alias("text_sha256"))
     )

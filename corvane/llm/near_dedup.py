@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, written
+from .common import ROW, known_id, numbered, real_id, written
 from .components import components
 from .textarrays import SPACE, Chunk, chunks, mix
 
@@ -37,7 +37,6 @@ BITS, DIFFER = 4, 106
 PAIRS, BLOCK = 1024, 256
 #: Arrivals that a round draws at a time, over all shingles that are still drawing, and for one of them.
 ARRIVALS, OF_ONE = 200_000, 64
-NO_ID = -(2**63)
 _OWNER = np.uint64(48)
 _LOW = np.uint64((1 << 48) - 1)
 _ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * 0x5851F42D4C957F2D * k & (2**64 - 1)) for k in range(1, 2 * WORDS + 1)]
@@ -95,7 +94,7 @@ def sketches(owner: np.ndarray, ids: np.ndarray, weight: np.ndarray, n: int, m:
     return holds.reshape(n, m)
 
 
-_SKETCH = "id bigint, sha string, file bigint, at bigint, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
+_SKETCH = "id struct<known:boolean,value:bigint>, sha string, file bigint, at bigint, d1 bigint, d2 bigint, n int, bands array<bigint>, sketch array<bigint>"
 
 
 def _bands(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -235,7 +234,8 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
     is open; what is left of buckets that hold several classes is compared across classes, block by block, so no link that the
     bands propose is lost. Sketches sort out most pairs in the join itself.
     """
-    texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), text_sha(F.col(text_col)).alias("sha"), F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at"))
+    place = [F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at")]
+    texts = docs.select(known_id(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("text"), text_sha(F.col(text_col)).alias("sha"), *place)
     sketched = written(texts.mapInArrow(lambda b: _sketch(b, bands, rows), _SKETCH), "near-sketches")
     own = sketched.groupBy("d1", "d2", "n").agg(F.min(F.struct("id", "sha", "file", "at", "bands", "sketch")).alias("r")).select("d1", "d2", "n", "r.*")
     own = written(own.orderBy("id", "sha", "file", "at").withColumn("doc", F.monotonically_increasing_id()), "near-distinct")  # written once, so numbers hold
@@ -276,6 +276,6 @@ def near_rows(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, id_col: str
     head = [F.when(is_head, F.col(c)).alias(f"head_{c}") for c in ("file", "at")]
     classes = own.select("d1", "d2", "n", "doc", "id", "file", "at").join(of, "doc", "left").select("d1", "d2", "n", F.coalesce("class", "id").alias("class"), *head)
     all_rows = sketched.select("id", "sha", "file", "at", "d1", "d2", "n").join(classes, ["d1", "d2", "n"])
-    real = lambda c: F.when(F.col(c) != F.lit(NO_ID), F.col(c))
     kept = F.col("file").eqNullSafe(F.col("head_file")) & F.col("at").eqNullSafe(F.col("head_at"))
-    return all_rows.select(F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), real("id").alias("doc_id"), F.col("sha").alias("text_sha256"), real("class").alias("class_id"), kept.alias("kept"))
+    ids = real_id("id").alias("doc_id"), F.col("sha").alias("text_sha256"), real_id("class").alias("class_id")
+    return all_rows.select(F.col("file").alias(ROW[0]), F.col("at").alias(ROW[1]), *ids, kept.alias("kept"))

@@ -145,13 +145,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     """Trees for labels.quality from at most `sample` labelled rows outside the held-out third.
 
-    Unlabelled, null and other labels are left out; of several labels of an id the largest counts. The sample's
-    ids and labels, at most `sample` rows, are broadcast, and its statistics come to the driver.
+    Unlabelled, null and other labels are left out; of several labels of an id the largest counts, of several texts of an
+    id the one with the least digest. The sample's ids and labels, at most `sample` rows, are broadcast, and its
+    statistics, a row an id, come to the driver.
     """
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     own = own.withColumn("k", shuffled_key("quality", "doc_id")).orderBy("k").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id").select("text", "y", "k")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
+    one = F.min(F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), "text", "y")).alias("one")
+    rows = rows.groupBy("k").agg(one).select("one.text", "one.y", "k")
     got = sorted(rows.mapInArrow(_count, "x array<double>, y int, k string").toLocalIterator(), key=lambda r: (r["k"], r["x"]))
     return grow(np.array([r["x"] for r in got]).reshape(len(got), len(STATISTICS)), np.array([r["y"] for r in got], float))
 

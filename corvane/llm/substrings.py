@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, numbered, released, written
+from .common import ROW, known_id, numbered, real_id, released, written
 from .induced import suffixes
 from .textarrays import Chunk, chunks
 
@@ -35,7 +35,6 @@ LENGTH, GRAM = 100, 32
 SHARD_BYTES = 3 << 19
 #: Texts that are unpacked at a time.
 ROWS = 256
-NO_ID = -(2**63)
 
 
 def _slide(x: np.ndarray, width: int, f: np.ufunc) -> np.ndarray:
@@ -60,7 +59,7 @@ def _grams(c: Chunk, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np
     return h, least, np.arange(len(least)) + length <= ends
 
 
-_DOCS = "id bigint, file bigint, at bigint, sha string, n_bytes bigint, anchors array<bigint>"
+_DOCS = "id struct<known:boolean,value:bigint>, file bigint, at bigint, sha string, n_bytes bigint, anchors array<bigint>"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -356,7 +355,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     found again by their place in the table.
     """
     texts = numbered(docs)
-    texts = texts.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at"))
+    texts = texts.select(known_id(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(ROW[0]).alias("file"), F.col(ROW[1]).alias("at"))
     known = written(texts.mapInArrow(lambda b: _anchors(b, length, gram), _DOCS), "repeats-anchors")
     long_ = known.where(F.col("n_bytes") >= length)
     first = long_.groupBy("sha").agg(F.min("id").alias("first"))
@@ -392,7 +391,7 @@ def repeats_removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_
     out = known.select("id", "sha", "n_bytes").join(gone, ["id", "sha"], "left").join(copy, ["id", "sha"], "left")
     pick = lambda full, part, none: F.when(F.col("copy"), full).otherwise(F.coalesce(F.col(part), none))
     return out.select(
-        F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc_id"),
+        real_id("id").alias("doc_id"),
         "n_bytes",
         pick(F.col("n_bytes"), "n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         pick(F.lit(1), "n_spans", F.lit(0)).cast("bigint").alias("n_spans"),
