@@ -24,24 +24,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return passed(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """Rows of docs by their places: what the operators read, and the row as a whole, whatever its columns are called."""
+    whole = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("whole")
+    return numbered(docs.select("doc_id", "text", "source", whole))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
-    rows = numbered(docs)
-    return rows.join(exact_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select(docs.columns)
+    rows = _rows(docs)
+    return rows.join(exact_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select("whole.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the least id."""
-    rows = numbered(docs)
-    return rows.join(near_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select(docs.columns)
+    rows = _rows(docs)
+    return rows.join(near_rows(rows).where("kept").select(*ROW), ROW, "left_semi").select("whole.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in its order: whole documents, once or twice; one in service when the budget ends stays if half of it was served."""
-    rows = numbered(docs)
+    rows = _rows(docs)
     copies = mix(rows, keep=tuple(ROW)).where((2 * F.col("taken") >= F.col("size")) & ((F.col("size") > 0) | (F.col("pass") == 0)))
     copies = copies.select(*ROW, "pass", F.col("vfinish").alias("_vfinish"))
-    return rows.join(copies, ROW).orderBy("_vfinish", "source", "doc_id", "pass").select(docs.columns)
+    return rows.join(copies, ROW).orderBy("_vfinish", "source", "doc_id", "pass").select("whole.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
