@@ -23,7 +23,7 @@ from .common import written
 #: Rows of the sketch, cells of a slice, and bits of the filter a row at most: 32 MB.
 ROWS, SLICE, FILTER = 2, 1 << 22, 1 << 28
 #: Words that a task counts at a time, distinct words it knows, and bytes of a text that are split at a time.
-WORDS, KNOWN, SEGMENT = 1 << 20, 1 << 20, 1 << 22
+WORDS, KNOWN, SEGMENT = 1 << 19, 1 << 19, 1 << 22
 #: The longest phrase in words.
 LONGEST = 4
 #: Groups that each language's phrases are dealt to before the first of all are taken.
@@ -148,8 +148,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Itera
             continue
         first = np.flatnonzero(np.append(True, hashed[1:] != hashed[:-1]))
         hashed, count = hashed[first], np.minimum(np.diff(np.append(first, len(hashed))), least)
-        rows = []
         for row in range(ROWS):
+            rows = []
             cell, n = _cell(hashed, row, bits), count
             if row:
                 order = np.argsort(cell, kind="stable")
@@ -158,8 +158,8 @@ def _sketched(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Itera
             cell, n = cell[first], np.add.reduceat(n, first)
             for some in np.split(np.arange(len(cell)), np.flatnonzero(np.diff(cell // SLICE)) + 1):
                 rows.append((row, int(cell[some[0]] // SLICE), _planes(np.diff(cell[some] % SLICE, prepend=0)), _planes(n[some])))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
-        yield pa.record_batch(columns, names=["row", "slice", "gaps", "counts"])
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.record_batch(columns, names=["row", "slice", "gaps", "counts"])
 
 
 _BITS = "row int, slice bigint, bits binary"
