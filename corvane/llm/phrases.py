@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from .common import written
 
 #: Rows of the sketch, cells of a slice, and bits of the filter a row at most: 32 MB.
 ROWS, SLICE, FILTER = 2, 1 << 22, 1 << 28
+#: Bytes of text a cell: some ten phrases begin there, far fewer than the least count.
+CELL = 16
 #: Words that a task counts at a time, distinct words it knows, and bytes of a text that are split at a time.
 WORDS, KNOWN, SEGMENT = 1 << 19, 1 << 19, 1 << 22
 #: The longest phrase in words.
@@ -129,12 +132,12 @@ def _cell(hashed: np.ndarray, row: int, bits: int) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, byte by byte: the upper ones are mostly zero and compress well."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Unsigned 32-bit numbers, compressed byte by byte: the upper ones are mostly zero."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 _SKETCH = "row int, slice bigint, gaps binary, counts binary"
@@ -262,7 +265,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, filter_bits: int = FILTER, l
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    bits = max((SLICE - 1).bit_length(), (size // 2).bit_length())  # a phrase of each length begins at a word; words are 6 bytes or so
+    bits = max((SLICE - 1).bit_length(), (size // CELL).bit_length())
     kept = docs.sparkSession.sparkContext.broadcast(sketch_filter(texts, bits, least, filter_bits))
     counts = texts.mapInArrow(lambda b: _exact(b, bits, kept.value), _COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return written(counts.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
