@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.cut import cut
+from .automaton import symbols_in
 from .code import resolved_calls
 
 # Endings that an import may stand for, in order; roots of Java sources; confidence of a call by how it was found.
@@ -52,16 +52,9 @@ def import_targets(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def contained(texts: DataFrame, symbols: DataFrame, id_col: str, text_col: str, least: int = LEAST, signs: str = "A-Za-z0-9_") -> DataFrame:
-    """(id, symbol) where a symbol of `least` or more of these signs is anywhere in the text, within longer words too.
-
-    A symbol in a text lies within one run of such signs. Each distinct run of all texts is taken apart once, and its parts are equi-joined with the symbols.
-    """
-    s = symbols.select("symbol").where(F.length("symbol") >= least).distinct()
-    runs = cut(texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(f"[{signs}]{{{least},}}"), F.lit(0)))).alias("run")), "runs")  # texts are read once
-    n = F.length("run")
-    parts = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n - least + 1), lambda a: F.transform(F.sequence(F.lit(least), n - a + 1), lambda k: F.substring(F.col("run"), a, k)))))
-    of_run = runs.select("run").distinct().select("run", parts.alias("symbol")).join(s, "symbol").distinct()
-    return runs.join(of_run, "run").select("id", "symbol").distinct()
+    """(id, symbol) where a symbol of `least` or more of these signs is anywhere in the text, within longer words too."""
+    s = symbols.where(F.col("symbol").rlike(f"^[{signs}]{{{least},}}\\z"))
+    return symbols_in(texts, s, id_col, text_col).select("id", F.explode("symbols").alias("symbol")).distinct()
 
 
 def calls_between(symbols: DataFrame, imports: DataFrame, sources: DataFrame | None = None, invocations: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import code as C
 from ..operators import graph as G
 from ..operators import resolve as R
+from ..operators.automaton import symbols_in
+from ..operators.louvain import louvain, undirected
+from ..plans.cut import cut
 from .base import calls, calls_sql, query, read, rounded
 
 _STRICT = calls_sql(0.99)
@@ -125,17 +128,42 @@ def autolink_mentions(spark, sf_dir):
     return R.contained(read(spark, sf_dir, "documents"), s, "doc_id", "text", 4, "A-Za-z")
 
 
+@query("""WITH s AS (SELECT DISTINCT c_name AS symbol, c_custkey AS class FROM customer UNION SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')), -item_id FROM benchmark)
+    SELECT DISTINCT conv_id AS decision, class FROM conversations JOIN s ON contains(text, symbol) WHERE role = 'assistant' AND length(symbol) >= 4""")
+def autolink_decisions(spark, sf_dir):
+    """What assistants settle in conversations, linked to every class whose name of four letters or more it contains: classes are customers and words of the benchmark."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("symbol"), (-F.col("item_id")).alias("class"))
+    s = read(spark, sf_dir, "customer").select(F.col("c_name").alias("symbol"), F.col("c_custkey").alias("class")).union(words).where(F.length("symbol") >= 4).distinct()
+    said = read(spark, sf_dir, "conversations").where("role = 'assistant'")
+    hit = symbols_in(said, s, "conv_id", "text").select(F.col("id").alias("decision"), F.explode("symbols").alias("symbol"))
+    return hit.distinct().join(s, "symbol").select("decision", "class").distinct()
+
+
+@query("""WITH s AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS symbol FROM benchmark), h AS (SELECT page_id, symbol FROM pages JOIN s ON contains(html, symbol) WHERE length(symbol) >= 3)
+    SELECT symbol, count(*) AS pages, min(page_id) AS first FROM h GROUP BY 1""")
+def symbol_uses(spark, sf_dir):
+    """For each symbol of three signs or more the pages whose source contains it."""
+    s = read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).alias("symbol"))
+    hit = R.contained(read(spark, sf_dir, "pages"), s, "page_id", "html")
+    return hit.groupBy("symbol").agg(F.count("*").alias("pages"), F.min("id").alias("first"))
+
+
 @query()
 def community_membership(spark, sf_dir):
-    """Communities of the graph of certain calls."""
-    return G.communities(calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2))
+    """Communities of the graph of certain calls, by modularity."""
+    return louvain(calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2))
 
 
 @query()
 def community_modularity(spark, sf_dir):
-    """How good the communities of the graph of certain calls are."""
-    e = calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2)
-    return R.modularity(e, G.communities(e)).select(rounded(F.col("modularity")).alias("modularity"))
+    """How good communities of the graph of certain calls are, by moves and by label propagation: their number, nodes and modularity."""
+    e = undirected(calls(spark, sf_dir, 1.0).withColumn("weight", F.col("confidence") * 2))
+    out = None
+    for method, found in (("moves", louvain(e)), ("labels", cut(G.communities(e), "communities"))):
+        sizes = found.agg(F.countDistinct("community").alias("communities"), F.count("*").alias("nodes"))  # one row
+        row = R.modularity(e, found).crossJoin(sizes).select(F.lit(method).alias("method"), "communities", "nodes", rounded(F.col("modularity")).alias("modularity"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query("""WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages) SELECT s[1] AS community, replace(min(array_to_string(s[1:3], '/')), '/', '-') AS name, count(*) AS members FROM p GROUP BY 1""")
@@ -160,13 +188,13 @@ def layout_hashed(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", at(1).alias("x"), at(9).alias("y"))
 
 
-@query(f"""WITH {calls_sql(0.0, 'R')} SELECT 'function' AS type, p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls) AND p_name NOT LIKE '%test%' AND NOT starts_with(p_name, '_') AND p_name NOT IN ('main', 'cli', 'setup', 'configure')
-    UNION ALL SELECT 'class', c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_name NOT LIKE '%test%' AND NOT starts_with(c_name, '_')""")
+@query(f"""WITH {calls_sql(0.0)} SELECT 'function' AS type, p_partkey AS id, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT dst FROM calls) AND p_name NOT LIKE '%test%' AND NOT starts_with(p_name, '_') AND p_name NOT IN ('main', 'cli', 'setup', 'configure')
+    UNION ALL SELECT 'class', c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_name NOT LIKE '%test%' AND NOT starts_with(c_name, '_')""")
 def dead_symbols(spark, sf_dir):
-    """Functions of a project that nothing there calls and classes that none of its files refers to, but for tests, private names and entry points."""
+    """Functions that nothing calls and classes that no file refers to, but for tests, private names and entry points."""
     named = lambda t, key, name: read(spark, sf_dir, t).select(F.col(key).alias("id"), F.col(name).alias("name")).where(~F.col("name").contains("test") & ~F.col("name").startswith("_"))
-    functions = C.unused(named("part", "p_partkey", "p_name").where(~F.col("name").isin("main", "cli", "setup", "configure")), calls(spark, sf_dir, 0.0, "R"), "id")
-    refers = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
+    functions = C.unused(named("part", "p_partkey", "p_name").where(~F.col("name").isin("main", "cli", "setup", "configure")), calls(spark, sf_dir, 0.0), "id")
+    refers = read(spark, sf_dir, "orders").select((-F.col("o_orderkey")).alias("src"), F.col("o_custkey").alias("dst"))
     classes = C.unused(named("customer", "c_custkey", "c_name"), refers, "id")
     return functions.select(F.lit("function").alias("type"), "id", "name").union(classes.select(F.lit("class"), "id", "name"))
 

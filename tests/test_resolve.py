@@ -74,3 +74,20 @@ def test_fold_equals_plain_fold():
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(15)], k=rng.randint(0, 9)))) for i in range(250)]
     assert [g["ids"] for g in K.fold(rows)] == plain_fold(rows)
+
+
+def test_symbols_of_any_signs_and_number(spark):
+    """Against plain search: one pass and several, a long run, repeated and odd symbols."""
+    from corvane.operators.automaton import symbols_in
+
+    texts = [(1, "ab abc abcd"), (2, "a.b é漢\n漢字"), (3, ""), (4, None), (5, "x" * 300_000 + "needle" + "y" * 700_000), (5, "again ab")]
+    names = ["ab", "abc", "b", "a.b", "漢", "é漢", "needle", "xn", "none", "", None, "ab", "\n漢", "xxy"]
+    t = spark.createDataFrame(texts, "id long, text string")
+    s = spark.createDataFrame([(n,) for n in names], "symbol string")
+    want = sorted((i, sorted({n for n in names if n and n in x})) for i, x in texts if x is not None)
+    assert sorted((r.id, r.symbols) for r in symbols_in(t, s, "id", "text").collect()) == want
+    split = {}
+    for r in symbols_in(t.where("id <> 5"), s, "id", "text", room=5).collect():
+        split.setdefault(r.id, set()).update(r.symbols)
+    assert split == {i: set(x) for i, x in want if i != 5}
+    assert [r.symbols for r in symbols_in(t.where("id = 1"), s.limit(0), "id", "text").collect()] == [[]]
