@@ -1,8 +1,11 @@
 """Graph pattern queries as DataFrame plans: a subset of Cypher that reads.
 
     MATCH (f:File)-[:DEFINES]->(c:Class {name: $n}), (c)<-[d:USES]-(x) WHERE x.path CONTAINS 'a' AND NOT c.name IN ['b']
-    RETURN DISTINCT c.id AS id, count(*) AS n ORDER BY n DESC SKIP 5 LIMIT 10
+    WITH c, count(*) AS n ORDER BY n DESC LIMIT 100 WHERE n > 1
+    MATCH (c)-[:MEMBER_OF]->(m:Community)
+    RETURN DISTINCT c.id AS id, n, m.name AS community ORDER BY n DESC SKIP 5 LIMIT 10
 
+A WITH ends a stage: the nodes and values that it names are what the next one knows, one row a group where it aggregates.
 Nodes are tables by label, each with the column id; relationships are tables by type with src, dst and properties. Every
 relationship is one join on ids, so the optimizer orders them and pushes filters and columns down to the tables.
 """
@@ -29,6 +32,8 @@ class CypherError(ValueError):
 class Graph:
     nodes: dict[str, DataFrame] = field(default_factory=dict)
     rels: dict[str, DataFrame] = field(default_factory=dict)
+    #: The labels of a relationship's ends, for those that are written.
+    ends: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     def query(self, text: str, **params) -> DataFrame:
         return _Plan(self, text, params).run()
@@ -49,6 +54,7 @@ class _Plan:
             self.tokens.append((kind, re.sub(r"\\(.)", r"\1", s[1:-1]) if s else n or p or (w.upper() if kind == "word" else w)))
         self.frame: DataFrame | None = None
         self.known: dict[str, list[str]] = {}
+        self.values: set[str] = set()
         self.filters: list[Column] = []
         self.unnamed = 0
 
@@ -177,6 +183,8 @@ class _Plan:
             return self.call(t.lower())
         if self.take("."):
             return self.column(t, self.name())
+        if t in self.values:
+            return F.col(f"`{t}`")
         if t in self.known:
             return self.column(t, "id")
         raise CypherError(f"no {t}")
@@ -235,50 +243,89 @@ class _Plan:
     # the query
     def run(self) -> DataFrame:
         self.need("MATCH")
+        self.patterns()
+        while self.take("WITH"):
+            self.stage()
+            if self.take("MATCH"):
+                self.patterns()
+        self.need("RETURN")
+        distinct, keys, aggregates, names = self.take("DISTINCT"), [], [], []
+        while True:
+            e, label = self.item()
+            names.append(label)
+            (aggregates if self.aggregated else keys).append(e.alias(label))
+            if not self.take(","):
+                break
+        df = self.frame.groupBy(*keys).agg(*aggregates).select(*names) if aggregates else self.frame.select(*keys)
+        df = self.ordered(df.distinct() if distinct else df, names)
+        if self.at < len(self.tokens):
+            raise CypherError(f"unread: {self.tokens[self.at][1]}")
+        return df
+
+    def patterns(self) -> None:
+        """Patterns up to a WHERE, and its filter."""
         while True:
             self.path()
             if not (self.take(",") or self.take("MATCH")):
                 break
         if self.take("WHERE"):
             self.filters.append(self.either())
-        df = self.frame
         for f in self.filters:
-            df = df.where(f)
-        self.need("RETURN")
-        distinct, keys, aggregates, names = self.take("DISTINCT"), [], [], []
+            self.frame = self.frame.where(f)
+        self.filters = []
+
+    def item(self) -> tuple[Column, str]:
+        start, self.aggregated = self.at, False
+        e = self.either()
+        return e, self.name() if self.take("AS") else "".join(t for _, t in self.tokens[start : self.at]).replace(".", "_")
+
+    def stage(self) -> None:
+        """The items of a WITH: nodes and relationships keep their columns, other values have the names they get."""
+        distinct, nodes, keys, aggregates = self.take("DISTINCT"), [], [], []
         while True:
-            start, self.aggregated = self.at, False
-            e = self.either()
-            label = self.name() if self.take("AS") else "".join(t for _, t in self.tokens[start : self.at]).replace(".", "_")
-            names.append(label)
-            (aggregates if self.aggregated else keys).append(e.alias(label))
+            kind, t = self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
+            alone = self.at + 1 == len(self.tokens) or self.tokens[self.at + 1][1] in (",", "WHERE", "ORDER", "SKIP", "LIMIT", "MATCH", "RETURN", "WITH")
+            if kind == "name" and t in self.known and alone:
+                self.at += 1
+                nodes.append(t)
+            else:
+                e, label = self.item()
+                if label in self.known:
+                    raise CypherError(f"{label} is there already")
+                (aggregates if self.aggregated else keys).append((e, label))
             if not self.take(","):
                 break
-        df = df.groupBy(*keys).agg(*aggregates).select(*names) if aggregates else df.select(*keys)
-        df = df.distinct() if distinct else df
+        columns = [f"{n}.{c}" for n in nodes for c in self.known[n]]
+        names = [label for _, label in keys + aggregates]
+        kept = [F.col(f"`{c}`") for c in columns]
+        keyed = [*kept, *[e.alias(label) for e, label in keys]]
+        df = self.frame.groupBy(*keyed).agg(*[e.alias(label) for e, label in aggregates]) if aggregates else self.frame.select(*keyed)
+        self.frame = self.ordered(df.distinct() if distinct else df, names, [f"`{c}`" for c in columns])
+        self.known, self.values = {n: self.known[n] for n in nodes}, set(names)
+        if self.take("WHERE"):
+            self.frame = self.frame.where(self.either())
+
+    def ordered(self, df: DataFrame, names: list[str], rest: list[str] = []) -> DataFrame:  # noqa: B006
+        """df in the order that follows, if one does, ties by all names and the rest, and of its rows those that are asked for."""
         order = []
         if self.take("ORDER"):
             self.need("BY")
             while True:
                 label = self.name()
                 while self.take("."):
-                    label += "_" + self.name()
-                if label not in names:
+                    label += ("_" if f"`{label}.{self.tokens[self.at][1]}`" not in rest else ".") + self.name()
+                if label not in names and f"`{label}`" not in rest:
                     raise CypherError(f"order by a returned name, not {label}")
-                order.append(F.desc(label) if self.take("DESC") else F.asc(label))
+                order.append(F.desc(f"`{label}`") if self.take("DESC") else F.asc(f"`{label}`"))
                 self.take("ASC")
                 if not self.take(","):
                     break
         skip, limit = self.number("SKIP"), self.number("LIMIT")
         if order or skip is not None or limit is not None:
-            df = df.orderBy(*order, *names)
+            df = df.orderBy(*order, *[f"`{n}`" for n in names], *rest)
         if skip:
             df = df.offset(skip)
-        if limit is not None:
-            df = df.limit(limit)
-        if self.at < len(self.tokens):
-            raise CypherError(f"unread: {self.tokens[self.at][1]}")
-        return df
+        return df if limit is None else df.limit(limit)
 
     def number(self, word: str) -> int | None:
         if not self.take(word):

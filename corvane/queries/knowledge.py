@@ -9,7 +9,7 @@ from ..functions import signals as G
 from ..operators import code as C
 from ..operators import memory as M
 from . import graph  # noqa: F401
-from .base import AS_OF, MEM, QUERIES, SQL, calls, calls_sql, memories, query, read, rounded
+from .base import AS_OF, MEM, QUERIES, SQL, calls, calls_sql, contents, memories, query, read, rounded
 
 from .memory import _RET, _scored
 
@@ -234,7 +234,9 @@ def audit_findings(spark, sf_dir):
 
 @query()
 def greedy_cluster_compress(spark, sf_dir):
-    """Memories of each category, merged and clustered in order over the whole table."""
-    from ..operators.compress import compressed
+    """Memories of each category, merged and clustered in order over the whole table; members are a cluster's ids."""
+    from ..operators.compress import folded
 
-    return compressed(memories(spark, sf_dir).where(F.col("timestamp") <= AS_OF), None)
+    rows, clusters = folded(contents(spark, sf_dir).where(F.col("timestamp") <= AS_OF))
+    members = rows.groupBy("category", "leader").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return members.join(clusters, ["category", "leader"]).select("category", "leader", "members", "merged", "pattern")
