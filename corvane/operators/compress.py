@@ -110,12 +110,6 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
 
 
-def _numbered_words(words: Column) -> Column:
-    """Each word with how often it came before, so that sets of them overlap as the words' counts do."""
-    ordered = F.array_sort(words)
-    return F.transform(ordered, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(ordered, w) + 1).cast("string")))
-
-
 def _joined_texts(rows: DataFrame, by: str, order: str) -> DataFrame:
     """(by, n, text): the texts of each group in order, joined and cut at LONGEST; of a group of one its whole text. Few members fill it, so no more meet."""
     w = Window.partitionBy(by).orderBy(order)
@@ -155,11 +149,12 @@ def folded(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     kept = _joined_texts(m.select("kept", "node", "text"), "kept", "node").withColumnRenamed("kept", "node")
     kept = cut(kept.join(m.select("node", "group", "words"), "node"), "fold")
-    counts = kept.withColumn("signs", _numbered_words(_words(F.col("text")))).where(F.size("signs") > 0).select("group", "node", "signs")
-    each = counts.select("group", "node", F.explode("signs").alias("sign")).select("group", "node", F.substring_index("sign", " ", 1).alias("word"))
-    each = cut(each.groupBy("group", "node", "word").agg(F.count("*").alias("n")), "fold")
+    each = kept.select("group", "node", F.explode(_words(F.col("text"))).alias("word")).groupBy("group", "node", "word").agg(F.count("*").cast("int").alias("n"))
+    each = cut(each, "fold")
+    signs = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat("word", F.lit(" "), i.cast("string")))  # sets of them overlap as counts do
+    counts = each.groupBy("node").agg(F.flatten(F.collect_list(signs)).alias("signs"))
     holds = lambda a, b: F.size(F.array_intersect(a, b)) >= CLUSTER * F.size(a)
-    led = first_fit(counts.select("node", "signs"), _rarest(each, 1 - CLUSTER, True).select("node", key), each.select("node", key), holds)
+    led = first_fit(counts, _rarest(each, 1 - CLUSTER, True).select("node", key), each.select("node", key), holds)
     kept = cut(kept.join(led, "node", "left").withColumn("leader", F.coalesce("leader", "node")), "fold")
 
     texts = _joined_texts(kept.select("leader", "node", "text"), "leader", "node")
