@@ -3,8 +3,7 @@
 Weights are whole numbers of millionths, so sums are exact and the same graph gives the same communities whatever the
 order in which tasks end. In a round every node knows the community whose modularity it would raise most. Half of the nodes
 move at once; should that not raise the modularity, since moves in one round can spoil each other, only moves that are the best of
-both communities they touch are made. No two of those touch the same community, so their gains add up. The first level begins with the
-communities of a few rounds of label propagation.
+both communities they touch are made. No two of those touch the same community, so their gains add up.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
-from .graph import communities
 
 UNIT = 1_000_000
 RESOLUTION, LEAST_GAIN, LEAST_MEMBERS = 0.5, 2e-3, 2
@@ -71,12 +69,9 @@ class _Level:
         best = touched.groupBy("c").agg(F.max_by("node", F.struct("more", "node")).alias("node"))
         return moves.join(best.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node"), "node", "left_semi")
 
-    def settled(self, least_gain: float, start: DataFrame | None = None) -> DataFrame:
-        """State (node, label, degree) when no round raises the modularity by least_gain any more; start has the first (node, community) of nodes that are not alone."""
-        state = self.nodes.select("node", F.col("node").alias("label"), "degree")
-        if start is not None:
-            state = state.join(start, "node", "left").select("node", F.coalesce("community", "node").alias("label"), "degree")
-        state = cut(state, "louvain")
+    def settled(self, least_gain: float) -> DataFrame:
+        """State (node, label, degree) when no round raises the modularity by least_gain any more."""
+        state = cut(self.nodes.select("node", F.col("node").alias("label"), "degree"), "louvain")
         choices = self.choices(state)
         q = self.modularity(choices)
         for r in count():
@@ -116,7 +111,7 @@ def louvain(edges: DataFrame, resolution: float = RESOLUTION, least_gain: float
     """(node, community) from edges (src, dst, weight); a community has its least node's name, those of fewer members are left out.
 
     Both directions of a pair are one edge, the heavier counts. A level ends when no round raises the modularity by
-    least_gain, all levels when a level joins nothing. Names have to be numbers, as in label propagation. Null ends and weights that are not positive are left out; fewer than three
+    least_gain, all levels when a level joins nothing. Null ends and weights that are not positive are left out; fewer than three
     nodes give no community.
     """
     now = level(undirected(edges), resolution)
@@ -125,11 +120,8 @@ def louvain(edges: DataFrame, resolution: float = RESOLUTION, least_gain: float
     if now is None or now.nodes.limit(3).count() < 3:
         return empty
     member = now.nodes.select("node", F.col("node").alias("label"))
-    start = communities(undirected(edges), 5)
-    start = start.join(start.groupBy("community").agg(F.min("node").alias("least")), "community").select("node", F.col("least").alias("community"))
     while True:
-        state = now.settled(least_gain, start)
-        start = None
+        state = now.settled(least_gain)
         if state.where("node <> label").isEmpty():
             break
         up = state.select(F.col("node").alias("label"), F.col("label").alias("_up"))
