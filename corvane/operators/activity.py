@@ -58,3 +58,10 @@ def sessions(events: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """(key, start, end, n): runs of events with less than the gap between them; the end is the last event and the gap."""
     g = events.groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+
+
+def settled(changes: DataFrame, key: str, ts: str, tie: str, quiet: int) -> DataFrame:
+    """(key, tie, n): the last change of each burst, a run of changes less than `quiet` seconds apart, and how many it had."""
+    at = F.struct(F.col(ts), F.col(tie))
+    g = changes.groupBy(key, F.session_window(F.col(ts).cast("timestamp"), f"{quiet} seconds").alias("w")).agg(F.max(at).alias("l"), F.count("*").alias("n"))
+    return g.select(key, F.col(f"l.{tie}").alias(tie), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
+from ..operators import breakers
 from ..operators import collections as C
 from .base import query, read
 
@@ -137,6 +138,28 @@ def circuit_breaker_state(spark, sf_dir):
     return A.breaker(e, "tool", "s", F.col("event_type") == "error", 3600).select("event_id", "user_id", "failures", "open")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS s, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS r FROM events),
+    f(user_id, event_id, r, state, fails, opened) AS (SELECT user_id, event_id, r, 'closed', CASE WHEN bad THEN [s] ELSE CAST([] AS BIGINT[]) END, CAST(NULL AS BIGINT) FROM e WHERE r = 1
+        UNION ALL SELECT user_id, event_id, r, found, CASE WHEN found = 'open' THEN fails WHEN bad THEN now ELSE CAST([] AS BIGINT[]) END,
+            CASE WHEN found = 'open' THEN opened WHEN NOT bad THEN NULL WHEN len(now) >= 2 OR found = 'half-open' THEN s ELSE opened END
+        FROM (SELECT e.*, f.fails, f.opened, CASE WHEN f.opened IS NULL THEN 'closed' WHEN e.s - f.opened >= 86400 THEN 'half-open' ELSE 'open' END AS found,
+            list_append(list_filter(f.fails, lambda t: e.s - t < 172800), e.s) AS now FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+    SELECT user_id, event_id, state FROM f""")
+def breaker_states(spark, sf_dir):
+    """Closed, open or half-open, as each call finds the breaker of its user: two failures in two days open it, after a day a call is let through."""
+    e = read(spark, sf_dir, "events")
+    out = breakers.breaker_states(e, F.col("user_id"), "event_id", F.unix_seconds(F.col("ts").cast("timestamp")), F.col("event_type") == "error", 172800, 86400, 2)
+    return out.select(F.col("key").cast("bigint").alias("user_id"), F.col("id").alias("event_id"), "state")
+
+
+@query("""WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM e)
+    SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, count(*) AS n FROM s GROUP BY user_id, k""")
+def settled_changes(spark, sf_dir):
+    """The last change of each burst, an hour without another ending it."""
+    return A.settled(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3600)
+
+
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
     SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS end, count(*) AS n FROM s GROUP BY user_id, k""")
 def episodes_sessions(spark, sf_dir):
