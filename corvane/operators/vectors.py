@@ -23,6 +23,23 @@ def top3_vote(rows: DataFrame, positive: list[list[float]], negative: list[list[
     return rows.select(id_col, vec_col).mapInPandas(vote, f"{id_col} bigint, pos double, neg double")
 
 
+def cell(r: pd.DataFrame, q: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
+    """(query, id, score): the k rows (id, vec) with the largest inner product of each query (query, vec), ties by id."""
+    empty = pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    if not len(r) or not len(q):
+        return empty
+    r = r.sort_values("id")
+    x, ids = np.stack(r["vec"].to_numpy()).astype(np.float64), r["id"].to_numpy()
+    out = []
+    for lo in range(0, len(q), 256):
+        some = q.iloc[lo : lo + 256]
+        s = np.round(np.stack(some["vec"].to_numpy()).astype(np.float64) @ x.T, 9)
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        out.append(pd.DataFrame({"query": np.repeat(some["query"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
+    got = pd.concat(out)
+    return got[got["score"] >= least]
+
+
 def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, least: float = 0.05, parts: int | None = None, block: int = 16384) -> DataFrame:
     """(query, id, score, place): for each query (query, vec) the k rows (id, vec) with the largest inner product, ties by id.
 
@@ -37,21 +54,6 @@ def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, least: float = 0.
     left = rows.select("id", "vec", at(parts, "id").alias("p")).withColumn("b", everywhere(blocks))
     right = queries.select("query", "vec", at(blocks, "query").alias("b")).withColumn("p", everywhere(parts))
 
-    def cell(r: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(r) or not len(q):
-            return empty
-        r = r.sort_values("id")
-        x, ids = np.stack(r["vec"].to_numpy()).astype(np.float64), r["id"].to_numpy()
-        out = []
-        for lo in range(0, len(q), 256):
-            some = q.iloc[lo : lo + 256]
-            s = np.round(np.stack(some["vec"].to_numpy()).astype(np.float64) @ x.T, 9)
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(some["query"].to_numpy(), best.shape[1]), "id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
-        got = pd.concat(out)
-        return got[got["score"] >= least]
-
-    cells = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(cell, "query bigint, id bigint, score double")
+    cells = left.groupBy("p", "b").cogroup(right.groupBy("p", "b")).applyInPandas(lambda r, q: cell(r, q, k, least), "query bigint, id bigint, score double")
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return cells.withColumn("place", F.row_number().over(w).cast("bigint")).where(F.col("place") <= k)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.words import DECISION_SENTENCES, INSTRUCTION_STARTS, OTHER_SENTENCES, QUESTION_STARTS
 from ..operators import activity as A
 from ..operators import lifecycle as L
 from ..operators import search as S
@@ -160,3 +163,48 @@ def mutation_debounce(spark, sf_dir):
 def injected_once(spark, sf_dir):
     """Memories that a session is told of: each id once an hour."""
     return _throttled(spark, sf_dir, 3600, "user_id")
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'assistant' THEN 'AssistantMessage' ELSE 'Prompt' END AS kind, text FROM conversations WHERE text IS NOT NULL")
+def transcript_source(spark, sf_dir):
+    """Conversations as transcripts, read back by the data source: every text of every message."""
+    from ..plans.cut import shared_folder
+    from ..sources.readers import Transcripts
+
+    spark.dataSource.register(Transcripts)
+    part = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("data")))
+    data = F.struct(F.concat_ws(":", "conv_id", "turn").alias("message_id"), part.alias("content"))
+    kind = F.when(F.col("role") == "assistant", "AssistantMessage").otherwise("Prompt")
+    path = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "conversations").select(F.to_json(F.struct(kind.alias("kind"), data.alias("data")))).write.option("compression", "none").text(path)
+    t = spark.read.format("transcripts").option("suffix", ".txt").load(path)
+    ids = F.split("message_id", ":")
+    return t.select(ids[0].cast("bigint").alias("conv_id"), ids[1].cast("bigint").alias("turn"), "kind", "text")
+
+
+_STARTS = "|".join(QUESTION_STARTS + INSTRUCTION_STARTS)
+_REFS = ", ".join("({}, {}, '{}')".format(-1 - i, i < len(DECISION_SENTENCES), s.replace("'", "''")) for i, s in enumerate(DECISION_SENTENCES + OTHER_SENTENCES))
+_ENDS = "regexp_replace({}, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, {_ENDS.format('text')} AS t FROM conversations),
+    p AS (SELECT *, list_filter(list_transform(string_split_regex(t, '[.!?\\n]'), lambda x: {_ENDS.format('x')}), lambda x: length(x) > 10) AS parts
+        FROM m WHERE length(t) >= 10 AND NOT regexp_matches(lower(t), '^({_STARTS}) ')),
+    u0 AS (SELECT conv_id, turn, 0 AS place, t AS s FROM p UNION ALL SELECT conv_id, turn, 1, t FROM p WHERE len(parts) = 0
+        UNION ALL SELECT conv_id, turn, i, parts[i] FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+    u AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY conv_id, turn, place) AS id FROM u0), refs(id, yes, s) AS (VALUES {_REFS}),
+    tok AS (SELECT id, unnest({TOKENS.format('s')}) AS token FROM (SELECT id, s FROM u UNION ALL SELECT id, s FROM refs)), {COUNTS},
+    size AS MATERIALIZED (SELECT id, sqrt(sum(n * n)) AS l FROM own GROUP BY 1),
+    sim AS (SELECT a.id, r.yes, b.id AS ref, round(sum(a.n * b.n / x.l / y.l), 9) AS d FROM own a JOIN own b ON a.token = b.token AND b.id < 0 AND a.id > 0
+        JOIN size x ON x.id = a.id JOIN size y ON y.id = b.id JOIN refs r ON r.id = b.id GROUP BY 1, 2, 3),
+    near AS (SELECT id, yes, round(sum(d) / 3, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY id, yes ORDER BY d DESC) AS k FROM sim) WHERE k <= 3 GROUP BY 1, 2),
+    v AS (SELECT u.*, coalesce(p.d, 0) AS p, coalesce(n.d, 0) AS n FROM u LEFT JOIN near p ON p.id = u.id AND p.yes LEFT JOIN near n ON n.id = u.id AND NOT n.yes)
+    SELECT s.conv_id, s.turn, CAST(s.place AS BIGINT) AS place, s.s AS decision, round((s.p - s.n) / (s.p + s.n), 6) AS confidence
+    FROM v s JOIN v w ON w.conv_id = s.conv_id AND w.turn = s.turn AND w.place = 0 AND w.p > w.n WHERE s.place > 0 AND s.p > s.n AND (s.p - s.n) / (s.p + s.n) > 0.25
+    QUALIFY row_number() OVER (PARTITION BY s.conv_id, s.turn ORDER BY s.place) <= 3""")
+def captured_decisions(spark, sf_dir):
+    """Sentences of messages that state decisions, three a message at most."""
+    from ..operators import intent
+
+    c = intent.captured(read(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return c.select("conv_id", "turn", "place", "decision", rounded(F.col("confidence")).alias("confidence"))

@@ -188,3 +188,13 @@ def graph_rrf_merge(spark, sf_dir):
     v = _vectors(spark, sf_dir).where("label < 3")
     g = S.ranked(v, [F.col("id")], 20).join(v.select("id", "label"), "id").select("id", (1 / (61 + F.col("rank")) + 0.5 / (1 + F.col("label"))).alias("s"))
     return kw.union(g).groupBy("id").agg(rounded(F.sum("s")).alias("score"))
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """The ten nearest vectors of every vector whose id 50 divides, by an inverted file over all of them."""
+    from ..operators import ivf
+
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    found = ivf.search(ivf.build(rows), rows.where("id % 50 = 0").withColumnRenamed("id", "query"))
+    return found.select("query", "id", rounded(F.col("score")).alias("score"), "place")
