@@ -81,8 +81,15 @@ def validation(text: Column) -> Column:
     )
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries of ASCII words at its ends."""
+    if pattern.startswith(r"\b"):
+        pattern = "(?<![A-Za-z0-9_])" + pattern[2:]
+    return pattern[:-2] + "(?![A-Za-z0-9_])" if pattern.endswith(r"\b") else pattern
+
+
 def injected(text: Column) -> Column:
-    return text.rlike("(?i)" + "|".join(f"(?:{p})" for p in W.INJECTION_PATTERNS))
+    return text.rlike("(?i)" + "|".join(f"(?:{ascii_bounds(p)})" for p in W.INJECTION_PATTERNS))
 
 
 def redacted(text: Column) -> Column:
