@@ -17,6 +17,7 @@ from ..functions import words as W
 from ..functions.stemmer import stem
 from ..plans.cut import cut
 from ..plans.ranks import ranked as place
+from .coded import coded, listed
 
 #: Weight of a synonym that a text lacks.
 SYNONYM = 0.49
@@ -116,32 +117,51 @@ def lookback(rows: DataFrame, pos: str, text_col: str, k: int, least: float, bel
     return r.groupBy("stretch").applyInPandas(one, "a bigint, b bigint, sim double")
 
 
-def similar_sets(sets: DataFrame, least: float) -> DataFrame:
+#: Passes over the rarest tokens of sets, so that bitmaps beside each of them are never all on disk at once.
+PASSES = 8
+
+
+def similar_sets(sets: DataFrame, least: float, once: bool = False) -> DataFrame:
     """Pairs (a, b, jaccard) of a < b whose token sets (id, tokens: distinct array) have a Jaccard similarity of `least` or more.
 
-    Tokens are 64-bit hashes, in the order of their frequency in all sets. Two such sets share one of the rarest tokens of each: of n tokens only the first
-    n - ceil(least n) + 1 are joined. In the join, what two sets can share by the places of such a token, and how many bits of their bitmaps differ, which
-    are no more than their tokens that do, sort out most pairs; candidates are verified on the whole sets.
+    If `once`, equal sets are one, by their least id. Tokens are made of 64-bit hashes, in the order of their frequency in all sets. Two such sets share one of the
+    rarest tokens of each: of n tokens only the first n - ceil(least n) + 1 are joined. In the join, what two sets can share by the places of such a token, and how
+    many bits of their bitmaps differ, which are no more than their tokens that do, sort out most pairs, and then how many of the joined tokens they share; candidates are verified on the whole sets. The join goes
+    over a share of all tokens at a time and the verification over a share of all pairs, so that what is shuffled at once stays below the size of the sets.
     """
-    words = 8  # of a bitmap
-    h = cut(sets.select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")), "sets")
-    each = h.select("id", F.explode("tokens").alias("t"))
-    ranked = each.join(each.groupBy("t").agg(F.count("*").alias("df")), "t")
-    ordered = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("o"))
-    bit = lambda k: F.aggregate("o", F.lit(0).cast("bigint"), lambda a, t: F.when(F.pmod(t, F.lit(words)) == k, a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(t, 3), F.lit(64)).cast("int")))).otherwise(a))
-    ordered = cut(ordered.select("id", "o", F.size("o").alias("n"), F.array(*[bit(k) for k in range(words)]).alias("bits")), "sets")
+    words = 16  # of a bitmap
+    h = sets.where("id IS NOT NULL AND size(tokens) > 0").select("id", F.transform("tokens", lambda t: F.xxhash64(t)).alias("t"))
+    d = coded(h, listed(h.select(F.explode("t").alias("t"))), words).select("id", F.col("codes").alias("o"), F.size("codes").alias("n"), "bits")
+    if once:  # by a digest of 128 bits
+        d = d.groupBy(F.md5(F.concat_ws(",", "o"))).agg(F.min(F.struct("id", "o", "n", "bits")).alias("s")).select("s.*")
+    ordered = cut(d, "sets")
     rare = ordered.select("id", "n", "bits", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("p", "t"))
-    a, b = rare.alias("a"), rare.alias("b")
-    room = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + F.least("a.p", "b.p")
-    close = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (room * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-9)
-    differ = reduce(Column.__add__, [F.bit_count(F.get(F.col("a.bits"), F.lit(k)).bitwiseXOR(F.get(F.col("b.bits"), F.lit(k)))) for k in range(words)])
-    close &= differ * (1 + least) <= (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are few bytes and much work, so they stay dealt
-    pairs = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).repartition(parts, "a", "b").distinct()
-    x = ordered.select(F.col("id").alias("a"), F.col("o").alias("x"))
-    y = ordered.select(F.col("id").alias("b"), F.col("o").alias("y"))
-    full = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
-    return full.select("a", "b", (F.col("i") / (F.size("x") + F.size("y") - F.col("i"))).alias("jaccard")).where(F.col("jaccard") >= least - 1e-12)
+
+    def pass_(k: int) -> DataFrame:
+        some = rare.where(F.pmod(F.xxhash64("t"), F.lit(PASSES)) == k)
+        a, b = some.alias("a"), some.alias("b")
+        room = F.least(F.col("a.n") - F.col("a.p"), F.col("b.n") - F.col("b.p")) + F.least("a.p", "b.p")
+        close = (F.col("a.t") == F.col("b.t")) & (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9) & (room * (1 + least) >= (F.col("a.n") + F.col("b.n")) * least - 1e-9)
+        differ = reduce(Column.__add__, [F.bit_count(F.get(F.col("a.bits"), F.lit(k)).bitwiseXOR(F.get(F.col("b.bits"), F.lit(k)))) for k in range(words)])
+        close &= differ * (1 + least) <= (F.col("a.n") + F.col("b.n")) * (1 - least) + 1e-9
+        both = a.join(b, close).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb"))
+        return cut(both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i")), "pairs")
+
+    shared = reduce(DataFrame.union, [pass_(k) for k in range(PASSES)]).repartition(parts, "a", "b").groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("i"))
+    rest = F.ceil(F.greatest("na", "nb") * least - 1e-9) - 1  # of the tokens of either, those that are not joined
+    pairs = cut(shared.where((F.col("i") + rest) * (1 + least) >= (F.col("na") + F.col("nb")) * least - 1e-9).select("a", "b"), "pairs")
+    shares = max(2, -(-pairs.count() // max(ordered.count(), 1)))
+
+    def verified(k: int) -> DataFrame:
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(shares)) == k
+        x = ordered.where(mine("id")).select(F.col("id").alias("a"), F.col("o").alias("x"))
+        y = ordered.select(F.col("id").alias("b"), F.col("o").alias("y"))
+        full = pairs.where(mine("a")).join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("x", "y")))
+        found = full.select("a", "b", (F.col("i") / (F.size("x") + F.size("y") - F.col("i"))).alias("jaccard"))
+        return cut(found.where(F.col("jaccard") >= least - 1e-12), "pairs")
+
+    return reduce(DataFrame.union, [verified(k) for k in range(shares)])
 
 
 def dot(a: Column, b: Column) -> Column:

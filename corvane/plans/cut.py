@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,9 +20,22 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def no_leftovers(spark: SparkSession) -> Iterator[None]:
+    """Within it, what an action has shuffled is removed from disk when the action ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, tag: str = "round") -> DataFrame:
-    """df, written as Parquet and read again."""
+    """df, written as Parquet and read again. What the write has shuffled is gone then."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with no_leftovers(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -53,10 +53,8 @@ def stemmed_df(spark, sf_dir):
     SELECT a, b, round(i / (len(x.t) + len(y.t) - i), 6) AS jaccard FROM p JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE i / (len(x.t) + len(y.t) - i) >= 0.7""")
 def jaccard_pairs(spark, sf_dir):
     """Pairs of distinct word sets with a Jaccard similarity of 0.7 or more; equal sets are one."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda x: x != ""))).alias("tokens"))
-    first = F.min(F.struct(F.col("doc_id").alias("id"), "tokens")).alias("s")  # equal sets by a digest of 128 bits
-    sets = d.where(F.size("tokens") > 0).groupBy(F.md5(F.array_join("tokens", " "))).agg(first).select("s.*")
-    return S.similar_sets(sets, 0.7).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.filter(F.split(F.trim(F.lower("text")), r"\s+"), lambda x: x != "")).alias("tokens"))
+    return S.similar_sets(d, 0.7, once=True).select("a", "b", rounded(F.col("jaccard")).alias("jaccard"))
 
 
 _LOOK = f"""WITH {DOC_COUNTS}, tot AS (SELECT id, greatest(sum(n), 1.0) AS total FROM cnt GROUP BY 1),

@@ -1,5 +1,7 @@
 import random
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from corvane.functions import text as X
 from corvane.operators import code as C
 from corvane.operators import lifecycle as L
 from corvane.operators import search as S
+from corvane.operators.coded import coded, listed
+from corvane.plans.cut import cut
 from corvane.plans.ranks import ranked
 
 DAY, NOW = 86400.0, 1.7e9
@@ -146,6 +150,34 @@ def test_similar_sets_equal_all_pairs(spark):
     assert {(r.a, r.b) for r in S.similar_sets(d, 0.5).collect()} == want and want
 
 
+def test_equal_sets_are_one(spark):
+    sets = [(3, ["a", "b", "c", "d"]), (1, ["d", "c", "b", "a"]), (2, ["a", "b", "c", "d", "e"]), (None, ["a", "b", "c"]), (4, []), (5, ["x"])]
+    got = S.similar_sets(spark.createDataFrame(sets, "id long, tokens array<string>"), 0.7, once=True)
+    assert [(r.a, r.b, r.jaccard) for r in got.collect()] == [(1, 2, 0.8)]
+
+
+def test_codes_of_listed_and_other_tokens(spark):
+    d = spark.createDataFrame([(1, [7, 9, 7, -5]), (2, [9]), (3, [])], "id long, t array<bigint>")
+    known = listed(spark.createDataFrame([(7,), (9,), (9,), (9,), (7,), (-5,)], "t long"))
+    assert known.tolist() == [7, 9] and listed(spark.createDataFrame([(7,), (9,), (9,), (9,), (7,)], "t long"), 1).tolist() == [9]
+    got = {r.id: (r.codes[1:], r.times) for r in coded(d, known).collect()}
+    assert got[1] == ([0, 1], [1, 2, 1]) and got[2] == ([], [1]) and got[3] == ([], [])
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        return {f for d in folder.iterdir() if d.name.startswith("blockmgr") for f in d.rglob("shuffle_*.data")}
+
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getParent())
+    before = files()
+    cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):  # removed beside the action
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_ranks_and_lookback(spark):
     d = spark.createDataFrame([(i, (i * 37) % 101) for i in range(101)], "id long, x long")
     assert all(r["rank"] == r.x + 1 for r in ranked(d, [F.col("x")]).collect())
