@@ -25,24 +25,26 @@ def listed(tokens: DataFrame, most: int = LISTED) -> np.ndarray:
         if room < 0:
             break
         least = r["df"]
-    of = df.where(F.col("df") >= least).toPandas()
-    return of["t"].to_numpy(np.int64)[np.lexsort((of["t"], of["df"]))]
+    of = df.where(F.col("df") >= least).toArrow()
+    t, often = of["t"].to_numpy().astype(np.int64), of["df"].to_numpy()
+    return t[np.lexsort((t, often))]
 
 
 def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
     """rows (..., t: array of 64-bit hashes), each t once, sorted from rare to frequent, as codes: the place among the listed tokens, or for any other a
-    negative number made of its hash. times is how often the text has each, bits a bitmap of the codes of so many 64-bit words.
+    negative number made of its hash. times is how often the text has each, or the sum of its weights if rows have them (w: array, an integer for each of t), bits a
+    bitmap of the codes of so many 64-bit words.
 
     Codes are equal where tokens are, but for two of the other tokens whose hashes agree in 63 bits.
     """
     order = np.argsort(tokens)
     shared = rows.sparkSession.sparkContext.broadcast((tokens[order], order.astype(np.int32)))
-    names = [c for c in rows.columns if c != "t"]
+    names, weighed = [c for c in rows.columns if c not in ("t", "w")], "w" in rows.columns
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, places = shared.value
         for b in batches:
-            lists = b.column(b.num_columns - 1)
+            lists = b.column(len(names))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())
             at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
@@ -55,7 +57,10 @@ def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
             new = np.ones(len(code), bool)
             new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(code))).astype(np.int32)
+            if weighed:
+                times = np.diff(np.append(0, np.cumsum(b.column(len(names) + 1).flatten().to_numpy(zero_copy_only=False)[by], dtype=np.int64))[np.append(first, len(code))]).astype(np.int32)
+            else:
+                times = np.diff(np.append(first, len(code))).astype(np.int32)
             ends = np.zeros(len(sizes) + 1, np.int32)
             np.cumsum(np.bincount(row[first], minlength=len(sizes)), out=ends[1:])
             bits = np.zeros(len(sizes) * words, np.int64)
@@ -65,4 +70,4 @@ def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
             yield pa.record_batch([*arrays, pa.ListArray.from_arrays(ends, kept), pa.ListArray.from_arrays(ends, times), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * words, bits)], names=[*names, "codes", "times", "bits"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
-    return rows.select(*names, "t").mapInArrow(each, f"{schema}, codes array<bigint>, times array<int>, bits array<bigint>")
+    return rows.select(*names, "t", *["w"] * weighed).mapInArrow(each, f"{schema}, codes array<bigint>, times array<int>, bits array<bigint>")

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import words as W
 from ..plans.cut import cut
-from ..plans.ranks import ranked
-from .rounds import first_fit
+from ..plans.ranks import placed
+from .blocks import Rule, buckets, first_fit
+from .coded import coded, listed
 
 MERGE, CLUSTER, LONGEST = 0.5, 0.5, 500
 
@@ -110,64 +111,60 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
 
 
-def _joined_texts(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """(by, n, text): the texts of each group in order, joined and cut at LONGEST; of a group of one its whole text. Few members fill it, so no more meet."""
-    w = Window.partitionBy(by).orderBy(order)
-    few = rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= LONGEST // 4 + 1)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.substring("text", 1, LONGEST).alias("text")))), lambda x: x["text"])
-    first = few.groupBy(by).agg(F.substring(F.array_join(texts, " | "), 1, LONGEST).alias("_joined"), F.max_by("text", -F.col("_place")).alias("_own"))
-    n = rows.groupBy(by).agg(F.count("*").alias("n"))
-    return first.join(n, by).select(by, "n", F.when(F.col("n") > 1, F.col("_joined")).otherwise(F.col("_own")).alias("text"))
+def _joined_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
+    """(by, text): the texts (node, text) of each group's rows (by, node) in order, joined and cut at LONGEST. Few members fill it, so no more meet."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy("node"))
+    few = cut(rows.select(by, "node", place.alias("_place")).where(F.col("_place") <= LONGEST // 4 + 1), "fold")
+    of = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.substring("text", 1, LONGEST).alias("text")))), lambda x: x["text"])
+    return few.join(texts, "node").groupBy(by).agg(F.substring(F.array_join(of, " | "), 1, LONGEST).alias("text"))
 
 
-def _rarest(words: DataFrame, share: float, least_over: bool) -> DataFrame:
-    """Of the words (group, node, word, n) of each node the rarest of its group, as many as make up more than a share of all it has."""
-    often = words.groupBy("group", "word").agg(F.sum("n").alias("often"))
-    w = Window.partitionBy("node").orderBy("often", "word")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked_ = words.join(often, ["group", "word"]).withColumns({"_before": before, "_all": F.sum("n").over(Window.partitionBy("node"))})
-    return ranked_.where((F.col("_before") <= share * F.col("_all")) if least_over else (F.col("_before") < F.floor(share * F.col("_all")) + 1))
+_MERGED = Rule(MERGE, lambda shared, a, b: shared * (1 + MERGE) > MERGE * (a + b))
+_LED = Rule(CLUSTER, lambda shared, a, b: shared >= CLUSTER * a)
 
 
 def folded(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What fold gives over each category (id, category, content), without a task that holds a category.
 
     The first table is (category, id, kept, leader): the memory that each one is merged into, and the cluster's leader. The second is (category, leader,
-    merged, pattern) of each cluster. Memories are taken by id, then text; a null text is empty, and memories without words stay alone. Memories of the same words are decided once.
+    merged, pattern) of each cluster. Memories are taken by id, then text; a null text is empty, and memories without words stay alone. Words are compared as 64-bit hashes.
     """
-    m = ranked(memories.select("id", F.coalesce("category", F.lit("")).alias("group"), F.coalesce("content", F.lit("")).alias("text")), [F.col("group"), F.col("id"), F.col("text")], "node")
-    m = cut(m.withColumn("words", F.array_sort(F.array_distinct(_words(F.col("text"))))), "fold")
-    key = F.xxhash64("group", "word").alias("key")
-
-    same = m.where(F.size("words") > 0).groupBy("group", "words").agg(F.min("node").alias("node"))
-    word = same.select("group", "node", F.explode("words").alias("word"), F.lit(1).alias("n"))
-    rare = _rarest(word, 1 - MERGE, False).select("node", key)
-    more_than = lambda a, b: F.size(F.array_intersect(a, b)) * (1 + MERGE) > MERGE * (F.size(a) + F.size(b))
-    merged = first_fit(same.select("node", F.col("words").alias("signs")), rare, rare, more_than)
-    of = same.join(merged, "node").select("group", "words", F.col("leader").alias("kept"))
-    m = cut(m.join(of, ["group", "words"], "left").withColumn("kept", F.coalesce("kept", "node")), "fold")
-
-    kept = _joined_texts(m.select("kept", "node", "text"), "kept", "node").withColumnRenamed("kept", "node")
-    kept = cut(kept.join(m.select("node", "group", "words"), "node"), "fold")
-    each = kept.select("group", "node", F.explode(_words(F.col("text"))).alias("word")).groupBy("group", "node", "word").agg(F.count("*").cast("int").alias("n"))
-    each = cut(each, "fold")
-    signs = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat("word", F.lit(" "), i.cast("string")))  # sets of them overlap as counts do
-    counts = each.groupBy("node").agg(F.flatten(F.collect_list(signs)).alias("signs"))
-    holds = lambda a, b: F.size(F.array_intersect(a, b)) >= CLUSTER * F.size(a)
-    led = first_fit(counts, _rarest(each, 1 - CLUSTER, True).select("node", key), each.select("node", key), holds)
-    kept = cut(kept.join(led, "node", "left").withColumn("leader", F.coalesce("leader", "node")), "fold")
-
-    texts = _joined_texts(kept.select("leader", "node", "text"), "leader", "node")
+    m = memories.select("id", F.coalesce("category", F.lit("")).alias("group"), F.coalesce("content", F.lit("")).alias("text"))
+    m = placed(m, [F.col("group"), F.col("id"), F.col("text")], "node")
+    groups = cut(m.groupBy("group").agg(F.min("node").alias("_first")), "fold")
+    places, parts = buckets(groups)
+    hashes = lambda d: d.select("node", "group", F.transform(_words(F.col("text")), lambda w: F.xxhash64("group", w)).alias("t"))
+    tokens = listed(hashes(m).select(F.explode(F.array_distinct("t")).alias("t")))
+    part = F.pmod(F.xxhash64("group"), F.lit(parts))
+    numbers = lambda d: coded(hashes(d), tokens, 1).where(F.size("codes") > 0).select("node", "group", "codes", F.col("times").alias("n"))
+    dealt = lambda d: d.join(groups, "group").withColumn("bucket", (F.floor((F.col("node") - F.col("_first")) / places) * parts + part).cast("bigint")).drop("_first")
+
+    words = cut(dealt(numbers(m)), "fold")
+    merged = first_fit(words.drop("n"), _MERGED)
+    of = cut(m.select("node", "group", "id").join(merged, "node", "left").select("node", "group", "id", F.coalesce("leader", "node").alias("kept")), "fold")
+
+    many = of.groupBy("kept").agg(F.count("*").alias("n")).where("n > 1").select("kept")
+    mixed = cut(of.select("kept", "node").join(many, "kept"), "fold")
+    joined = cut(_joined_texts(mixed, m.select("node", "text"), "kept").withColumnRenamed("kept", "node"), "fold")
+    alone = words.join(mixed.select("node"), "node", "left_anti")
+    again = dealt(numbers(joined.join(of.select("node", "group"), "node"))).select(*alone.columns)
+    led = first_fit(cut(alone.unionByName(again), "fold"), _LED)
+    kept = cut(of.where("kept = node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader")), "fold")
+
+    texts = m.join(mixed.select("node"), "node", "left_anti").select("node", "text").unionByName(joined)
+    texts = _joined_texts(kept, texts, "leader")
     stop = F.array(*map(F.lit, sorted(W.STOP_WORDS)))
-    shared = kept.select("leader", F.explode("words").alias("word")).where((F.length("word") > 2) & ~F.array_contains(stop, F.col("word"))).groupBy("leader", "word").agg(F.count("*").alias("held"))
-    common = shared.join(texts.select("leader", "n"), "leader").where((F.col("n") >= 3) & (F.col("held") >= 0.6 * F.col("n")))
+    n = cut(kept.groupBy("leader").agg(F.count("*").alias("n")).where("n >= 3"), "fold")
+    held = m.join(cut(kept.join(n.select("leader"), "leader"), "fold"), "node").select("leader", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    shared = held.where((F.length("word") > 2) & ~F.array_contains(stop, F.col("word"))).groupBy("leader", "word").agg(F.count("*").alias("held"))
+    common = cut(shared.join(n, "leader").where(F.col("held") >= 0.6 * F.col("n")), "fold")
     place = F.row_number().over(Window.partitionBy("leader").orderBy("word"))
     common = common.withColumn("_p", place).where("_p <= 10").groupBy("leader").agg(F.array_sort(F.collect_list("word")).alias("pattern"))
     none = F.array().cast("array<string>")
-    clusters = texts.join(common.where(F.size("pattern") >= 2), "leader", "left").select("leader", F.substring("text", 1, LONGEST).alias("merged"), F.coalesce("pattern", none).alias("pattern"))
-    name = m.select(F.col("node"), F.col("id"))
-    rows = m.select("group", "id", "kept").join(kept.select(F.col("node").alias("kept"), "leader"), "kept")
+    clusters = texts.join(common.where(F.size("pattern") >= 2), "leader", "left").select("leader", F.col("text").alias("merged"), F.coalesce("pattern", none).alias("pattern"))
+    name = of.select("node", "id")
+    rows = of.select("group", "id", "kept").join(kept.select(F.col("node").alias("kept"), "leader"), "kept")
     ids = lambda d, c: d.join(name.select(F.col("node").alias(c), F.col("id").alias("_id")), c).drop(c).withColumnRenamed("_id", c)
-    clusters = ids(clusters.join(m.select(F.col("node").alias("leader"), "group"), "leader"), "leader")
+    clusters = ids(clusters.join(of.select(F.col("node").alias("leader"), "group"), "leader"), "leader")
     rows = ids(ids(rows, "kept"), "leader")
     return rows.select(F.col("group").alias("category"), "id", "kept", "leader"), clusters.select(F.col("group").alias("category"), "leader", "merged", "pattern")
