@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from .coded import sliced
 
 #: Codes and items of a block, at most; a bucket of some 256 items is in one block.
 CODES, ITEMS = 1 << 21, 1 << 14
@@ -271,7 +272,7 @@ def _compared(d: DataFrame, block: Items, rule: Rule, later: bool) -> tuple[Data
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _block(name, shared)
-        for b in batches:
+        for b in sliced(batches, 2048):
             x = Items.of(b)
             got = block.first_alike(x, rule, later)
             hit = np.flatnonzero(got >= 0)

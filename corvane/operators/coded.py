@@ -16,6 +16,13 @@ LISTED = 1 << 20
 _RARE = np.int64(-(1 << 63))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, which bounds what a task holds of long texts."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def listed(tokens: DataFrame, most: int = LISTED) -> np.ndarray:
     """The hashes of the most frequent tokens of (t: 64-bit hash), a row a text that has it, from rare to frequent; `most` at most, and of one frequency all or none."""
     df = cut(tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "frequency")
@@ -43,7 +50,7 @@ def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, places = shared.value
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(len(names))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             sizes = np.diff(lists.offsets.to_numpy())

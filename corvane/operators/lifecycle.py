@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,10 @@ from ..functions import text as X
 from ..functions import words as W
 from ..plans.cut import cut
 from ..plans.ranks import ranked
+from .blocks import Rule, first_later
+from .coded import coded, listed, sliced
 from .memory import DAY, mapped, retention
-from .search import contains, counts, vector
+from .search import contains, vector
 
 # Similarities from which a memory refreshes another, supersedes it, and makes it more certain; how many of the latest it is compared with.
 REFRESH, SUPERSEDE, BOOST = 0.85, 0.6, 0.8
@@ -37,29 +40,24 @@ def accesses(history: Column, as_of: float) -> Column:
 def superseders(memories: DataFrame, least: float = 0.9) -> DataFrame:
     """(id, by): for each of memories (id, category, content) the first later one of its category that holds more than `least` of its weight.
 
-    Equal texts are one text. Of a text's rarest tokens, twice what it may lack by weight, one that holds so much of it has half; candidates come from an
-    equi-join on these and are summed up before whole texts are compared. Similarities are exact.
+    Texts are arrays of the codes of their stems. They are compared block by block where they lie, by their rarest stems first; one that has found its superseder is
+    compared no more. Stems are told apart by 64-bit hashes, weights are counted in hundredths.
     """
-    m = memories.select("id", "category", F.coalesce("content", F.lit("")).alias("content")).withColumn("key", F.concat("category", F.lit(":"), F.md5("content")))
-    texts = m.groupBy("key").agg(F.first("category").alias("category"), F.first("content").alias("content"))
-    c = cut(counts(texts, "key", "content").withColumnRenamed("id", "key").join(texts.select("key", "category"), "key"), "superseders")
-    whole = Window.partitionBy("key")
-    df = c.groupBy("category", "token").agg(F.count("*").alias("df"))
-    r = c.join(df, ["category", "token"]).withColumns({"total": F.greatest(F.sum("n").over(whole), F.lit(1.0)), "before": F.coalesce(F.sum("n").over(whole.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
-    slack = F.col("total") * (1 - least)
-    rare = r.where(F.col("before") <= 2 * slack + 1e-9).withColumns({"part": F.sum("n").over(whole), "slack": slack})
-    rare = rare.select(F.col("key").alias("a"), "category", "token", "total", "part", "slack", F.col("n").alias("na"))
-    there = r.select(F.col("key").alias("b"), "category", "token", F.col("n").alias("nb"), F.col("total").alias("total_b"))
-    near = rare.join(there, ["category", "token"]).where((F.col("a") != F.col("b")) & (F.col("total_b") >= F.col("total") - F.col("slack") - 1e-9))
-    near = near.groupBy("a", "b", "total", "part", "slack").agg(F.sum(F.least("na", "nb")).alias("has"))
-    pairs = near.where(F.col("has") >= F.col("part") - F.col("slack") - 1e-9).select("a", "b", "total")
-    both = pairs.join(c.select(F.col("key").alias("a"), "token", F.col("n").alias("na")), "a").join(c.select(F.col("key").alias("b"), "token", F.col("n").alias("nb")), ["b", "token"])
-    links = both.groupBy("a", "b", "total").agg(F.sum(F.least("na", "nb")).alias("shared")).where(F.col("shared") > F.col("total") * least + 1e-9).select("a", "b")
-    links = links.union(c.select(F.col("key").alias("a"), F.col("key").alias("b")).distinct())  # a text with tokens holds itself
-    asked = m.select("id", F.col("key").alias("a")).join(links, "a").select("id", F.col("b").alias("key"), F.lit(0).alias("member"))
-    line = asked.unionByName(m.select("id", "key", F.lit(1).alias("member")))
-    later = F.last(F.when(F.col("member") == 1, F.col("id")), ignorenulls=True).over(Window.partitionBy("key").orderBy(F.desc("id"), "member").rowsBetween(Window.unboundedPreceding, 0))
-    return line.withColumn("by", later).where("member = 0 AND by IS NOT NULL").groupBy("id").agg(F.min("by").alias("by"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            found = [vector(text) for text in b.column(2).to_pylist()]
+            weights = pa.array([[round(100 * n) for n in v.values()] for v in found], pa.list_(pa.int32()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([list(v) for v in found], pa.list_(pa.string())), weights], names=["id", "group", "tokens", "w"])
+
+    m = memories.select(F.col("id").cast("bigint").alias("id"), F.col("category").alias("group"), F.col("content").cast("string").alias("content")).where("id IS NOT NULL AND group IS NOT NULL")
+    v = m.mapInArrow(each, "id bigint, group string, tokens array<string>, w array<int>").where(F.size("tokens") > 0)
+    h = cut(v.select(F.col("id").alias("node"), "group", F.transform("tokens", lambda t: F.xxhash64("group", t)).alias("t"), "w"), "superseders")
+    c = coded(h, listed(h.select(F.explode("t").alias("t"))), 1).select("node", "group", "codes", F.col("times").alias("n"))
+    in_order = c.repartitionByRange("node").sortWithinPartitions("node")
+    items = cut(in_order.withColumn("bucket", F.shiftright(F.monotonically_increasing_id(), 8)), "superseders")
+    holds = Rule(least, lambda shared, a, b: shared > a * least + 1e-7, 0.15)
+    return first_later(items, holds).groupBy(F.col("node").alias("id")).agg(F.min("later").alias("by"))
 
 
 def sweep(memories: DataFrame, as_of: float, most: int = 200, weak: float = 0.15) -> DataFrame:

@@ -93,6 +93,14 @@ def test_superseders_equal_all_pairs(spark):
     assert got == want
 
 
+def test_superseders_join_no_rows_of_stems(spark):
+    """Texts are compared as arrays, where they lie; joined stems filled the disk."""
+    rows = [(1, "bug", "one two three"), (2, "bug", "one two three"), (2, "bug", "four five"), (3, "bug", "four five six"), (4, None, "one two three"), (None, "bug", "one two three")]
+    by = L.superseders(spark.createDataFrame(rows, "id bigint, category string, content string"))
+    assert {(r.id, r.by) for r in by.collect()} == {(1, 2), (2, 3)}
+    assert "token" not in by._jdf.queryExecution().toString()
+
+
 def test_access_history_is_bounded(spark):
     d = spark.createDataFrame([(1, 3, 5, None, [float(k) for k in range(20)]), (2, 0, 0, None, [])], "id bigint, recall_count int, access_count int, last_accessed_at double, access_history array<double>")
     r = {x.id: x for x in L.accessed(d, spark.createDataFrame([(1,)], "id bigint"), 99.0).collect()}
