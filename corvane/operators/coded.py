@@ -37,10 +37,10 @@ def listed(tokens: DataFrame, most: int = LISTED) -> np.ndarray:
     return t[np.lexsort((t, often))]
 
 
-def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
+def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8, parity: bool = False) -> DataFrame:
     """rows (..., t: array of 64-bit hashes), each t once, sorted from rare to frequent, as codes: the place among the listed tokens, or for any other a
     negative number made of its hash. times is how often the text has each, or the sum of its weights if rows have them (w: array, an integer for each of t), bits a
-    bitmap of the codes of so many 64-bit words.
+    bitmap of the codes of so many 64-bit words; with parity a bit is set if an odd number of codes falls on it.
 
     Codes are equal where tokens are, but for two of the other tokens whose hashes agree in 63 bits.
     """
@@ -72,7 +72,7 @@ def coded(rows: DataFrame, tokens: np.ndarray, words: int = 8) -> DataFrame:
             np.cumsum(np.bincount(row[first], minlength=len(sizes)), out=ends[1:])
             bits = np.zeros(len(sizes) * words, np.int64)
             kept = code[first]
-            np.bitwise_or.at(bits, row[first] * words + kept % words, np.int64(1) << (kept // words % 64))
+            (np.bitwise_xor if parity else np.bitwise_or).at(bits, row[first] * words + kept % words, np.int64(1) << (kept // words % 64))
             arrays = [b.column(k) for k in range(len(names))]
             yield pa.record_batch([*arrays, pa.ListArray.from_arrays(ends, kept), pa.ListArray.from_arrays(ends, times), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * words, bits)], names=[*names, "codes", "times", "bits"])
 

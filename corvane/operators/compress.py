@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import words as W
-from ..plans.cut import cut
+from ..plans.cut import cut, dropped
 from ..plans.ranks import placed
 from .blocks import Rule, buckets, first_fit
 from .coded import coded, listed
 
 MERGE, CLUSTER, LONGEST = 0.5, 0.5, 500
+#: Of the bitmap of a text's words; texts of more words than that are hardly told by it.
+BITS = 4096
 
 
 def jaccard(a: set, b: set) -> float:
@@ -108,18 +110,18 @@ _SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPACE), "")
 
 
 def _joined_texts(rows: DataFrame, texts: DataFrame, by: str) -> DataFrame:
     """(by, text): the texts (node, text) of each group's rows (by, node) in order, joined and cut at LONGEST. Few members fill it, so no more meet."""
     place = F.row_number().over(Window.partitionBy(by).orderBy("node"))
     few = cut(rows.select(by, "node", place.alias("_place")).where(F.col("_place") <= LONGEST // 4 + 1), "fold")
-    of = F.transform(F.array_sort(F.collect_list(F.struct("_place", F.substring("text", 1, LONGEST).alias("text")))), lambda x: x["text"])
-    return few.join(texts, "node").groupBy(by).agg(F.substring(F.array_join(of, " | "), 1, LONGEST).alias("text"))
+    of = F.transform(F.array_sort(F.collect_list(F.struct("_place", "text"))), lambda x: x["text"])
+    return few.join(texts.select("node", F.substring("text", 1, LONGEST).alias("text")), "node").groupBy(by).agg(F.substring(F.array_join(of, " | "), 1, LONGEST).alias("text"))
 
 
-_MERGED = Rule(MERGE, lambda shared, a, b: shared * (1 + MERGE) > MERGE * (a + b))
+_MERGED = Rule(MERGE, lambda shared, a, b: shared * (1 + MERGE) > MERGE * (a + b), both=MERGE / (1 + MERGE))
 _LED = Rule(CLUSTER, lambda shared, a, b: shared >= CLUSTER * a)
 
 
@@ -136,7 +138,7 @@ def folded(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashes = lambda d: d.select("node", "group", F.transform(_words(F.col("text")), lambda w: F.xxhash64("group", w)).alias("t"))
     tokens = listed(hashes(m).select(F.explode(F.array_distinct("t")).alias("t")))
     part = F.pmod(F.xxhash64("group"), F.lit(parts))
-    numbers = lambda d: coded(hashes(d), tokens, 1).where(F.size("codes") > 0).select("node", "group", "codes", F.col("times").alias("n"))
+    numbers = lambda d: coded(hashes(d), tokens, BITS // 64, parity=True).where(F.size("codes") > 0).select("node", "group", "codes", F.col("times").alias("n"), "bits")
     dealt = lambda d: d.join(groups, "group").withColumn("bucket", (F.floor((F.col("node") - F.col("_first")) / places) * parts + part).cast("bigint")).drop("_first")
 
     words = cut(dealt(numbers(m)), "fold")
@@ -146,9 +148,12 @@ def folded(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = of.groupBy("kept").agg(F.count("*").alias("n")).where("n > 1").select("kept")
     mixed = cut(of.select("kept", "node").join(many, "kept"), "fold")
     joined = cut(_joined_texts(mixed, m.select("node", "text"), "kept").withColumnRenamed("kept", "node"), "fold")
-    alone = words.join(mixed.select("node"), "node", "left_anti")
+    alone = words.drop("bits").join(F.broadcast(mixed.select("node")), "node", "left_anti")  # else all words would be shuffled
     again = dealt(numbers(joined.join(of.select("node", "group"), "node"))).select(*alone.columns)
-    led = first_fit(cut(alone.unionByName(again), "fold"), _LED)
+    left = cut(alone.unionByName(again), "fold")
+    dropped(words)
+    led = first_fit(left, _LED)
+    dropped(left)
     kept = cut(of.where("kept = node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader")), "fold")
 
     texts = m.join(mixed.select("node"), "node", "left_anti").select("node", "text").unionByName(joined)

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,35 @@ def test_folding_writes_few_times_its_input(spark, tmp_path):
     members, clusters = K.folded(spark.read.parquet(f"{tmp_path}/in"))
     assert members.count() == 1500 and clusters.agg(F.count("*")).first()[0] > 1
     assert size(folder) - before < 4 * size(f"{tmp_path}/in")
+
+
+@pytest.mark.parametrize("words", [0, 1, 64])
+def test_sets_by_their_rare_codes_equal_all_pairs(words):
+    """With bitmaps of different lengths; hardly a pair that shares a frequent code alone is looked at."""
+    rnd, sets = random.Random(8), []
+    for i in range(400):
+        codes = {min(int(rnd.expovariate(0.004)), 1500) for _ in range(rnd.randrange(1, 120))}
+        if sets and rnd.random() < 0.3:
+            codes = set(rnd.choice(sets))
+            codes ^= {rnd.randrange(1500) for _ in range(rnd.randrange(len(codes) // 2 + 2))} or codes
+        sets.append(codes or {0})
+    order = [sorted(3000 - c if c < 700 else -c for c in k) for k in sets]  # places of frequent ones, hashes of others
+    bits = np.zeros((len(sets), max(words, 1)), np.uint64)
+    for i, k in enumerate(order):
+        for c in k:
+            bits[i, c % max(words, 1)] ^= np.uint64(1 << (c // max(words, 1) % 64))
+    ends = np.cumsum([0, *map(len, order)])
+    items = B.Items(np.arange(len(sets)) * 2, np.array(["x"] * len(sets), object), ends, np.concatenate(order), None, bits if words else None)
+    like = lambda a, b: len(a & b) / len(a | b) > K.MERGE
+    looked = []
+    rule = K._MERGED._replace(alike=lambda s, a, b: looked.append(len(s)) or K._MERGED.alike(s, a, b))
+    got = B._entries(items, rule).pairs(items, rule)
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if like(sets[i], sets[j])]
+    assert list(zip(*(x.tolist() for x in got))) == want and len(want) > 50
+    share = sum(1 for i in range(len(sets)) for j in range(i) if sets[i] & sets[j])
+    assert max(looked) < share / 4
+    leaders = []
+    for i in range(len(sets)):
+        if not any(like(sets[i], sets[j]) for j in leaders):
+            leaders.append(i)
+    assert sorted(set(B.fold(items, rule) // 2)) == leaders
